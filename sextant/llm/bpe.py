@@ -119,3 +119,10 @@ def looked_up(known: dict, parts: list, encode) -> list:
         if len(known) < REMEMBER:
             known.update(new)
     return values
+
+
+def few(batches, rows: int = 256):
+    """Batches of few rows, as the segments of a text take many times its memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -59,7 +59,7 @@ def char_offsets(path: str, text: str, packed: bytes) -> tuple[np.ndarray, np.nd
 
 
 def _encoded(batches, path: str, pattern: str | None, with_offsets: bool):
-    for batch in batches:
+    for batch in bpe.few(batches):
         texts = batch.column("__text").to_pylist()
         packed = encode_texts(path, texts, pattern)
         arrays = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in packed], pa.list_(pa.int32()))]
@@ -87,7 +87,7 @@ def encode(df: DataFrame, path: str, text: str = "text", pattern: str | None = P
 
 
 def _decoded(batches, path: str):
-    for batch in batches:
+    for batch in bpe.few(batches):
         ids = batch.column("ids").to_pylist()
         data = [decode_ids(path, np.array(x or [], "<u4").tobytes()) for x in ids]
         keep = [n for n in batch.schema.names if n != "ids"]
@@ -102,7 +102,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def _digested(batches, path: str, pattern: str | None):
-    for batch in batches:
+    for batch in bpe.few(batches):
         packed = encode_texts(path, batch.column("text").to_pylist(), pattern)
         yield pa.RecordBatch.from_arrays(
             [

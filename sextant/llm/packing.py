@@ -53,7 +53,7 @@ def encode_words(path: str, texts: list[str | None]) -> list[bytes]:
 
 def _pieces(batches, path: str, capacity: int, end: int):
     stop = np.array([end], "<u4").tobytes()
-    for batch in batches:
+    for batch in bpe.few(batches):
         ids, rows = batch.column("__id"), []
         for k, packed in enumerate(encode_words(path, batch.column("__text").to_pylist())):
             packed += stop

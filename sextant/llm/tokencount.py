@@ -85,7 +85,7 @@ def count_texts(path: str, texts: list[str | None], chunk: int = CHUNK, overlap:
 
 
 def _counted(batches, path: str, chunk: int, overlap: int):
-    for batch in batches:
+    for batch in bpe.few(batches):
         counts = count_texts(path, batch.column("__text").to_pylist(), chunk, overlap)
         keep = [n for n in batch.schema.names if n != "__text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
