@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bytebpe, packing, quality, simhash, suffixdedup, tokencount
+from sextant.llm import ann, bytebpe, packing, quality, sharding, simhash, suffixdedup, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,17 +29,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
 
 
+def op7_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 
+def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_dedup, op4_simhash, op5_byte_bpe, op6_quality_rules, op8_best_two_fit, op10_token_counts)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op4_simhash, op5_byte_bpe, op6_quality_rules, op7_rotated_codes, op8_best_two_fit, op9_minimax_shards, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
