@@ -4,18 +4,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sextant.llm import ann, bytebpe, packing, quality, sharding, simhash, suffixdedup, tokencount
+from sextant.llm import ann, bytebpe, packing, quality, sharding, simhash, suffixdedup, tokencount, toolcalls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), date="2026-01-01T00:00:00Z"))
+    return made.withColumnRenamed("key", "page_id").withColumn("record", F.decode("record", "UTF-8"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), 200)
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(*toolcalls.chat_calls(table(spark, sf_dir, "conversations")), toolcalls.CHAT_TOOLS)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -47,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_dedup, op4_simhash, op5_byte_bpe, op6_quality_rules, op7_rotated_codes, op8_best_two_fit, op9_minimax_shards, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_suffix_dedup, op3_tool_calls, op4_simhash, op5_byte_bpe, op6_quality_rules, op7_rotated_codes, op8_best_two_fit, op9_minimax_shards, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
