@@ -57,7 +57,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_suffix_dedup, op3_tool_calls, op4_simhash, op5_byte_bpe, op6_quality_rules, op7_rotated_codes, op8_best_two_fit, op9_minimax_shards, op10_token_counts)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_warc_derivatives, op2_suffix_dedup, op3_tool_calls, op4_simhash, op5_byte_bpe, op6_quality_rules, op7_rotated_codes, op8_best_two_fit, op9_minimax_shards, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,21 +26,33 @@ QUARTERS, BITS = 4, 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """Of lower-cased (A-Z) words' shingles: bit i is set if it is in over half of the XXH64 (seed 42) values."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of lower-cased (A-Z) words, repeats included; fewer words than `width` are one shingle."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
     last = min(width, len(words)) - 1
-    hashes = [xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[last : last + n].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > n, bitorder="little").view("<u8")[0])
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[last : last + n].tolist(), strict=True)], np.uint64)
+
+
+def votes(hashes: np.ndarray) -> np.uint64:
+    """Bit i is set if it is in over half of the hashes; of none, zero."""
+    tally = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8")
+        tally += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * tally > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """The SimHash of a text's shingles; zero without words."""
+    return int(votes(shingle_hashes(text, width)))
 
 
 def _fingerprinted(batches, width: int):

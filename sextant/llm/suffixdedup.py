@@ -115,8 +115,8 @@ def triggers(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     return x[new], lo[new], hi[last], h[new]
 
 
-def _block(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Ids, concatenated bytes and ends of a block's texts, always in the same order."""
+def _block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A block's rows, concatenated bytes and ends of its texts, always in the same order (rows equal in both may swap)."""
     table = table.take(pc.sort_indices(table, sort_keys=[("__id", "ascending"), ("__text", "ascending")]))
     text = table.column("__text").combine_chunks()
     if isinstance(text, pa.ChunkedArray):
@@ -124,7 +124,7 @@ def _block(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     wide = text.cast(pa.large_binary())
     offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
     data = np.frombuffer(wide.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if wide.buffers()[2] else np.empty(0, np.uint8)
-    return table.column("__id"), data, offsets[1:] - offsets[0]
+    return table, data, offsets[1:] - offsets[0]
 
 
 def _by_part(h: np.ndarray, parts: int):
@@ -350,7 +350,7 @@ def _meet(table: pa.Table, length: int) -> pa.Table:
 
 def _removed(docs: pa.Table, found: pa.Table, length: int, keep_text: bool) -> pa.Table:
     """A row per document of a block: what stays of it."""
-    ids, data, ends = _block(docs) if docs.num_rows else (pa.array([], pa.int64()), np.empty(0, np.uint8), np.empty(0, np.int64))
+    rows, data, ends = _block(docs) if docs.num_rows else (docs, np.empty(0, np.uint8), np.empty(0, np.int64))
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     r = np.concatenate([np.frombuffer(x, _RANGE) for x in found.column("ranges").to_pylist()]) if found.num_rows else np.empty(0, _RANGE)
     change = np.zeros(len(data) + 1, np.int32)
@@ -367,33 +367,40 @@ def _removed(docs: pa.Table, found: pa.Table, length: int, keep_text: bool) -> p
     at = np.concatenate([starts, ends[-1:]]) - lost[np.concatenate([starts, ends[-1:]])] if len(ends) else np.zeros(1, np.int64)
     bodies = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     columns = {
-        "doc_id": ids,
+        "doc_id": rows.column("__id"),
         "n_bytes": pa.array(ends - starts, pa.int64()),
         "n_removed": pa.array(lost[ends] - lost[starts], pa.int64()),
         "n_spans": pa.array(spans[ends] - spans[starts], pa.int64()),
         "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string()),
     }
     if keep_text:
-        columns["kept"] = pa.array(bodies, pa.binary())
+        columns["kept"] = pa.array([x.decode("utf-8", "ignore") for x in bodies], pa.string())
+    if "__row" in rows.schema.names:
+        columns["row"] = rows.column("__row")
     return pa.table(columns)
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", keep_text: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", keep_text: bool = False, carry: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """Removes every byte covered by a string of `length` bytes that starts in two places or more of the corpus.
 
     Texts are UTF-8 bytes (null: empty), matches stay within a document, and strings are judged on
     the input. Returns a row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed
-    runs), kept_sha256 and, with keep_text, `kept` (binary). Rows repeated whole are copies of each
-    other; null keys are kept; texts shorter than `length` stay as they are; other columns are left out.
+    runs), kept_sha256, with keep_text `kept` (what stays as text, without characters that were cut
+    into), and with carry `row` (a struct of those columns of the row). Rows repeated whole are copies of
+    each other; null keys are kept; texts shorter than `length` stay as they are.
     """
     spark = documents.sparkSession
     parts = partitions(spark)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    docs = documents.select(F.col(f"`{key}`").cast("long").alias("__id"), body.alias("__text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("__row")] if carry else []
+    docs = documents.select(F.col(f"`{key}`").cast("long").alias("__id"), body.alias("__text"), *row)
     docs = docs.withColumn("__block", F.pmod(F.xxhash64("__id", "__text"), F.lit(2 * parts)).cast("int")).repartition(parts, "__block")
-    asked = docs.groupBy("__block").applyInArrow(group_task(_ask, length, parts), "part int, block int, keys binary, counts binary")
+    bare = docs.drop("__row")
+    asked = bare.groupBy("__block").applyInArrow(group_task(_ask, length, parts), "part int, block int, keys binary, counts binary")
     flags = asked.groupBy("part").applyInArrow(group_task(_answer, hot), "__block int, keys binary, hot binary")
-    sent = docs.groupBy("__block").cogroup(flags.groupBy("__block")).applyInArrow(cogroup_task(_send, length, parts), "part int, block int, kind int, meta binary, text binary")
+    sent = bare.groupBy("__block").cogroup(flags.groupBy("__block")).applyInArrow(cogroup_task(_send, length, parts), "part int, block int, kind int, meta binary, text binary")
     found = sent.groupBy("part").applyInArrow(group_task(_meet, length), "__block int, ranges binary")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
+    if carry:
+        out += f", row {docs.schema['__row'].dataType.simpleString()}"
     return docs.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(cogroup_task(_removed, length, keep_text), out)
