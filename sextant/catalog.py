@@ -1,9 +1,11 @@
 """Registered queries of the engine and their SQL."""
 
+from sextant.plans import queries as registered
+
 
 def queries() -> dict:
-    return {}
+    return dict(registered.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registered.SQL)

@@ -39,7 +39,7 @@ def removed(cache: DataFrame, removals: DataFrame) -> DataFrame:
 def outcomes(requested: DataFrame, cache: DataFrame) -> DataFrame:
     """(path, outcome): not_cached, unsupported, or the number of occurrences as `tags` with checked."""
     found = requested.select("path").join(cache.select("path", "tags", "unsupported"), "path", "left")
-    state = F.when(F.col("unsupported").isNull(), "not_cached").when("unsupported", "unsupported").otherwise("checked")
+    state = F.when(F.col("unsupported").isNull(), "not_cached").when(F.col("unsupported"), "unsupported").otherwise("checked")
     return found.select("path", state.alias("outcome"), F.when(state == "checked", F.size("tags")).alias("tags"))
 
 
@@ -75,7 +75,7 @@ def dumped(cache: DataFrame) -> DataFrame:
     """The cache as text lines per path: path, hash, and either U or its occurrences."""
     tag = F.transform("tags", lambda t: F.concat_ws("\t", F.lit("T"), t["role"], t["line"].cast("string"), t["name"], t["kind"], t["expression"]))
     head = F.array(F.concat(F.lit("P\t"), "path"), F.concat(F.lit("H\t"), "hash"))
-    return cache.select(F.array_join(F.concat(head, F.when("unsupported", F.array(F.lit("U"))).otherwise(tag)), "\n").alias("value"))
+    return cache.select(F.array_join(F.concat(head, F.when(F.col("unsupported"), F.array(F.lit("U"))).otherwise(tag)), "\n").alias("value"))
 
 
 def loaded(blocks: DataFrame, value: str = "value") -> DataFrame:

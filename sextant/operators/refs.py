@@ -38,7 +38,7 @@ def symbol_in_node(sources: DataFrame, cache: DataFrame, name: str) -> DataFrame
     or has no parser gives a row that says so.
     """
     found = sources.join(cache.withColumn("cached", F.lit(True)), "path", "left")
-    state = F.when(F.col("cached").isNull(), "not_cached").when("unsupported", "unsupported").otherwise("checked")
+    state = F.when(F.col("cached").isNull(), "not_cached").when(F.col("unsupported"), "unsupported").otherwise("checked")
     hits = F.filter("tags", lambda t: t["name"] == name)
     rows = found.select("node", "path", state.alias("state"), F.explode_outer(F.when(state == "checked", hits)).alias("t"))
     return rows.where((F.col("state") != "checked") | F.col("t").isNotNull()).select("node", "path", "state", "t.role", "t.kind", "t.line")

@@ -20,7 +20,7 @@ def staleness(nodes: DataFrame, sources: DataFrame, current: DataFrame) -> DataF
     nodes: node, present, stored (digest or null). sources: node, path. current: path, hash (null: there
     but could not be hashed). Paths that current lacks are gone.
     """
-    now = sources.join(current.select("path", "hash", F.lit(True).alias("there")), "path", "left")
+    now = sources.select("node", "path").join(current.select("path", "hash", F.lit(True).alias("there")), "path", "left")
     per = now.groupBy("node").agg(
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("path")))), " ").alias("gone"),

@@ -107,7 +107,7 @@ def node_types(types: DataFrame, json: str = "json", rules: list[tuple[str, str
     for word in sorted(KINDS, key=len):  # the longest word that fits is tested last, so it is outermost
         kind = F.when(F.col("type").rlike(rf"^(?:{word}|{word.capitalize()})(?:_|[A-Z]|$)"), KINDS[word]).otherwise(kind)
     judged = each.where(settled.isNotNull() | F.col("type").rlike(DECLARES)).withColumn("kind", F.coalesce(settled, kind))
-    name = F.when("has_name", "name: (_) @name").otherwise("(identifier) @name")
+    name = F.when(F.col("has_name"), "name: (_) @name").otherwise("(identifier) @name")
     return judged.select("type", "kind", F.format_string("(%s %s) @definition.%s", F.col("type"), name, F.col("kind")).alias("pattern"))
 
 
