@@ -68,7 +68,7 @@ def block_items(text: Column, block: str) -> Column:
 
 def entries(text: Column, block: str, keys: tuple[str, ...]) -> Column:
     """The `- ...` entries of a block as structs of the keys' values, without quotes (null if an entry lacks one)."""
-    items = F.filter(F.split(F.concat(F.lit("\n"), block_items(text, block)), r"\n[ \t]*- "), lambda x: F.trim(x) != "")
+    items = F.filter(F.split(F.concat(F.lit("\n"), block_items(text, block)), r"\n[ \t]*- "), lambda x: x.rlike(r"\S"))
     value = lambda x, k: F.when(x.rlike(rf"(?m)^[ \t]*{k}:"), F.regexp_extract(x, rf'(?m)^[ \t]*{k}:[ \t]*"?(.*?)"?[ \t\r]*$', 1))
     return F.transform(items, lambda x: F.struct(*(value(x, k).alias(k) for k in keys)))
 

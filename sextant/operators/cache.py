@@ -54,20 +54,22 @@ def commit(cache: DataFrame, updates: DataFrame, removals: DataFrame, root: str)
     version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     merged(cache, updates, removals).repartitionByRange("path").sortWithinPartitions("path").write.parquet(version)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, current = (jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{n}") for n in ("_CURRENT.new", "_CURRENT"))
+    new, current = (jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{n}") for n in ("CURRENT.new", "CURRENT"))
     fs = current.getFileSystem(conf)
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(current, False)
-    if not fs.rename(new, current):
-        raise OSError(f"cannot point {root} to {version}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri() if current.toUri().getScheme() else fs.getUri(), conf)
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context.rename(fs.makeQualified(new), fs.makeQualified(current), how)
     return version
 
 
 def current(spark, root: str) -> DataFrame:
     """The cache's current version."""
-    at = spark.read.text(f"{root.rstrip('/')}/_CURRENT").first()[0]
+    at = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
     return spark.read.parquet(at)
 
 
