@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sextant.llm.common import cogroup_task, group_task, partitions
 
@@ -400,7 +401,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, text: str = "text
     flags = asked.groupBy("part").applyInArrow(group_task(_answer, hot), "__block int, keys binary, hot binary")
     sent = bare.groupBy("__block").cogroup(flags.groupBy("__block")).applyInArrow(cogroup_task(_send, length, parts), "part int, block int, kind int, meta binary, text binary")
     found = sent.groupBy("part").applyInArrow(group_task(_meet, length), "__block int, ranges binary")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
+    out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text)
     if carry:
-        out += f", row {docs.schema['__row'].dataType.simpleString()}"
+        out = out.add("row", docs.schema["__row"].dataType)
     return docs.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(cogroup_task(_removed, length, keep_text), out)
