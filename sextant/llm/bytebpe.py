@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from sextant.llm import bpe
 from sextant.llm.common import batches_task
@@ -80,9 +81,9 @@ def encode(df: DataFrame, path: str, text: str = "text", pattern: str | None = P
     """
     out = [c for c in df.columns if c.lower() not in ("ids", "starts", "ends", "__text")]
     data = df.select(*(F.col(f"`{c}`") for c in out), F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = data.drop("__text").schema.add("ids", "array<int>")
+    schema = data.drop("__text").schema.add("ids", ArrayType(IntegerType()))
     if offsets:
-        schema = schema.add("starts", "array<int>").add("ends", "array<int>")
+        schema = schema.add("starts", ArrayType(IntegerType())).add("ends", ArrayType(IntegerType()))
     return data.mapInArrow(batches_task(_encoded, path, None if path.endswith(".json") else pattern, offsets), schema)
 
 

@@ -133,7 +133,9 @@ def _by_part(h: np.ndarray, parts: int):
     p = (h >> np.uint64(20)) % np.uint64(parts)
     order = np.argsort(p, kind="stable")
     p = p[order]
-    cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else []
+    if not len(p):
+        return order, []
+    cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     return order, [(int(p[a]), a, b) for a, b in zip(cut, [*cut[1:], len(p)], strict=True)]
 
 
@@ -311,9 +313,11 @@ def _meet(table: pa.Table, length: int) -> pa.Table:
     out: list = [[], []]
 
     def put(blocks: np.ndarray, ranges: np.ndarray):
+        if not len(blocks):
+            return
         order = np.argsort(blocks, kind="stable")
         blocks = blocks[order]
-        cut = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else []
+        cut = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
         for a, b in zip(cut, [*cut[1:], len(blocks)], strict=True):
             out[0].append(int(blocks[a]))
             out[1].append(ranges[order[a:b]].tobytes())
