@@ -41,3 +41,35 @@ def mentions(edges: DataFrame) -> DataFrame:
 def unsettled(docs: DataFrame, values: str, settled: tuple[str, ...], key: str = "node") -> DataFrame:
     """(key, value) of listed values outside a settled vocabulary."""
     return docs.select(key, F.explode(values).alias("value")).where(~F.col("value").isin(*settled))
+
+
+def outbound(tags: DataFrame, name: str) -> DataFrame:
+    """Occurrences in the files that define an entity, the definition first and references in order of line: (path, line, role, kind, name)."""
+    own = tags.where((F.col("role") == "def") & (F.col("name") == name)).select("path").distinct()
+    return tags.join(own, "path", "left_semi").select("path", "line", "role", "kind", "name").orderBy("path", "role", "line", "kind", "name")
+
+
+def inbound(tags: DataFrame, entities: DataFrame, slug: str) -> DataFrame:
+    """(slug, kind) of entities (path, slug) whose files refer to a slug, itself left out."""
+    named = tags.where((F.col("role") == "ref") & (F.col("name") == slug)).select("path", "kind")
+    return named.join(entities, "path").where(F.col("slug") != slug).select("slug", "kind").distinct()
+
+
+def resolve(entities: DataFrame, slug: str) -> DataFrame:
+    """The first path that has a slug."""
+    return entities.where(F.col("slug") == slug).groupBy("slug").agg(F.min("path").alias("path"))
+
+
+def dangling(tags: DataFrame, entities: DataFrame) -> DataFrame:
+    """References to slugs that no entity has: (path, name)."""
+    return tags.where("role = 'ref'").select("path", "name").distinct().join(entities.select(F.col("slug").alias("name")), "name", "left_anti").select("path", "name")
+
+
+def under(files: DataFrame, part: str) -> DataFrame:
+    """Files whose path holds a fixed string."""
+    return files.where(F.col("path").contains(part))
+
+
+def dirty_sources(changed: DataFrame, sources: DataFrame, shown: int = 3) -> DataFrame:
+    """The first changed paths that a node was written from."""
+    return changed.select("path").distinct().join(sources.select("path"), "path", "left_semi").orderBy("path").limit(shown)

@@ -182,3 +182,20 @@ def test_blast_radius(spark):
 def test_posix_patterns(spark):
     f = spark.createDataFrame([("ab.png",), ("12.md",)], "path string")
     assert rows(files.enumerated(f.withColumn("size", F.lit(1)), ["^[[:digit:]]+"])) == []
+
+
+def test_note_store(spark, tmp_path):
+    from sextant.sources import store
+
+    store.register(spark)
+    spark.createDataFrame([("a/b", "x\n"), ("c", "y")], "node string, text string").write.format("notes").mode("append").option("path", str(tmp_path)).save()
+    (tmp_path / "Index.md").write_text("no")
+    assert rows(spark.read.format("notes").load(str(tmp_path))) == [("a/b", "x\n"), ("c", "y")]
+
+
+def test_commit_graph(spark):
+    from sextant.operators import commits
+
+    c = spark.createDataFrame([("a", None), ("b", "a"), ("c", "a"), ("m", "b"), ("m", "c")], "sha string, parent string")
+    p = spark.createDataFrame([("a", "m"), ("b", "c"), ("m", "b")], "a string, b string")
+    assert rows(commits.left_right(c, p)) == [("a", "m", 0, 3, True), ("b", "c", 1, 1, False), ("m", "b", 2, 0, False)]
