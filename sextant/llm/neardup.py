@@ -149,7 +149,8 @@ def without_near_duplicates(documents: DataFrame, width: int = 5, similarity: fl
 
     Groups are connected by texts that are equal or whose sets of `width`-word shingles (lower-cased A-Z)
     have at least this Jaccard similarity. Fewer words than `width` are one shingle; texts without words are
-    only copies of their equals (null equals empty). Of rows with equal doc_id and text, one stays.
+    only copies of their equals (null equals empty). Of rows with equal doc_id and text, one stays, by a hash of
+    its other columns.
     """
     columns = documents.columns
     ids = F.col(f"`{key}`").cast("long")
@@ -172,6 +173,7 @@ def without_near_duplicates(documents: DataFrame, width: int = 5, similarity: fl
     least = F.min(F.struct("least.none", "least.doc_id", "key")).alias("x")
     stays = rooted.groupBy("root").agg(least).select(F.coalesce("x.doc_id", F.lit(-(2**63))).alias("__id"), F.col("x.none").alias("__none"), F.col("x.key").alias("__key"))
     marked = documents.withColumns({"__id": F.coalesce(ids, F.lit(-(2**63))), "__none": ids.isNull(), "__key": text_key(f"`{text}`")})
-    one = Window.partitionBy("__id", "__none", "__key").orderBy(F.lit(0))
+    others = [F.col(f"`{c}`") for c in columns if c.lower() not in (key.lower(), text.lower())]
+    one = Window.partitionBy("__id", "__none", "__key").orderBy(F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0))
     kept = marked.join(stays, ["__id", "__none", "__key"]).withColumn("__nth", F.row_number().over(one)).where("__nth = 1")
     return kept.select(*(F.col(f"`{c}`") for c in columns))
