@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import batches_task, group_task, partitions, written
+from sextant.llm.common import group_task, partitions, written
 
-#: Vectors of a block of candidates, and queries that are compared with one at a time.
-BLOCK, QUERIES = 8192, 256
+#: Vectors of a block of candidates, queries of a block, and queries that are compared at a time.
+BLOCK, QUERIES, AT_ONCE = 32_768, 16_384, 64
 #: Standard deviations of the estimate that error bounds allow for.
 SURE = 4.0
 
@@ -63,27 +63,29 @@ def _index(table: pa.Table, seed: int) -> pa.Table:
     return pa.Table.from_pylist([row], schema=pa.schema([("dim", pa.int32()), ("block", pa.int32()), *((n, pa.binary()) for n in ("ids", "codes", "along", "vectors"))]))
 
 
-def _searched(batches, k: int, sure: float, seed: int):
-    for batch in batches:
-        for r in batch.to_pylist():
-            dim = r["dim"]
-            ids, along = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["along"], "<f8")
-            codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
-            vectors, queries = (np.frombuffer(r[n], "<f8").reshape(-1, dim) for n in ("vectors", "q_vectors"))
-            q_ids = np.frombuffer(r["q_ids"], "<i8")
-            guess, spread = estimate(codes, along, queries, seed)
-            guess[q_ids[:, None] == ids[None, :]] = -np.inf  # a query's own row takes no part
-            low, out = guess - sure * spread, [[], [], [], []]
-            kth = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q_ids), -np.inf)
-            norms = np.sqrt((vectors * vectors).sum(1))
-            for i, q in enumerate(queries):
+def _searched(table: pa.Table, k: int, sure: float, seed: int) -> pa.Table:
+    """The k best of a block of vectors for each query of a block."""
+    out: list = [[], [], [], []]
+    for r in table.to_pylist():
+        dim = r["dim"]
+        ids, along = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["along"], "<f8")
+        codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
+        vectors, queries = (np.frombuffer(r[n], "<f8").reshape(-1, dim) for n in ("vectors", "q_vectors"))
+        norms, q_ids = np.sqrt((vectors * vectors).sum(1)), np.frombuffer(r["q_ids"], "<i8")
+        for at in range(0, len(queries), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            guess, spread = estimate(codes, along, queries[part], seed)
+            guess[q_ids[part, None] == ids[None, :]] = -np.inf  # a query's own row takes no part
+            low = guess - sure * spread
+            kth = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(guess), -np.inf)
+            for i, q in enumerate(queries[part]):
                 some = np.flatnonzero((guess[i] + sure * spread >= kth[i]) & (guess[i] > -np.inf))
                 score = (vectors[some] * q).sum(1) / (norms[some] * np.sqrt((q * q).sum()))
                 best = np.lexsort([ids[some], -score])[:k]
-                for o, v in zip(out, ([int(q_ids[i])] * len(best), [i + r["q_first"]] * len(best), ids[some][best].tolist(), score[best].tolist()), strict=True):
+                for o, v in zip(out, ([int(q_ids[at + i])] * len(best), [at + i + r["q_first"]] * len(best), ids[some][best].tolist(), score[best].tolist()), strict=True):
                     o += v
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["query_id", "__query", "vec_id", "score"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.table([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["query_id", "__query", "vec_id", "score"])
 
 
 def _queries(table: pa.Table) -> pa.Table:
@@ -118,15 +120,16 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embe
     data = written(usable(vectors, vector, key), "vectors")
     mixed = F.xxhash64("vec_id", F.hash("vector"))
     total = data.count()
-    n_blocks, n_queries = max(1, -(-total // block)), max(1, -(-total // (every * queries)))
+    # Small tables are cut finer, so that all cores have a block.
+    n_blocks, n_queries = max(1, -(-total // block), min(partitions(spark), -(-total // 1024))), max(1, -(-total // (every * queries)))
     blob = "dim int, block int, ids binary, codes binary, along binary, vectors binary"
     index = data.withColumn("block", F.pmod(mixed, F.lit(n_blocks)).cast("int")).groupBy("dim", "block").applyInArrow(group_task(_index, seed), blob)
     index = written(index, "codes")
     asked = data.where(F.col("vec_id") % every == 0).withColumn("q_block", F.pmod(mixed, F.lit(n_queries)).cast("int"))
     asked = asked.groupBy("dim", "q_block").applyInArrow(group_task(_queries), "dim int, q_block int, q_first long, q_ids binary, q_vectors binary")
-    # Query blocks meet index blocks of their dimension by block number.
+    # Query blocks meet index blocks of their dimension by block number; a task holds one pair at a time.
     spread = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = index.join(spread, ["dim", "block"]).repartition(max(partitions(spark), 1), "block", "q_block").drop("block", "q_block")
-    near = pairs.mapInArrow(batches_task(_searched, k, sure, seed), "query_id long, __query long, vec_id long, score double")
+    pairs = index.join(spread, ["dim", "block"])
+    near = pairs.groupBy("dim", "block", "q_block").applyInArrow(group_task(_searched, k, sure, seed), "query_id long, __query long, vec_id long, score double")
     w = Window.partitionBy("query_id", "__query").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
