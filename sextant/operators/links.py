@@ -23,11 +23,10 @@ def inferred(tags: DataFrame, node_count: Column | int, top: int = 8, shown: int
     `top` heaviest links (0: all), ties to the lesser target; `symbols` shows the first of them (0: all).
     """
     n = node_count if isinstance(node_count, Column) else F.lit(node_count)
-    is_def = F.col(role) == "def"
-    each = tags.where(F.col(role).isin("def", "ref")).select(F.col(name).alias("name"), F.col(node).alias("node"), is_def.alias("is_def")).distinct()
-    per_name = each.groupBy("name").agg(F.count_if("is_def").alias("definers"), F.count_if(~F.col("is_def")).alias("readers"), F.min(F.when(F.col("is_def"), F.col("node"))).alias("dst"))
-    few = per_name.where((F.col("definers") == 1) & F.col("readers").between(F.lit(1), words.rare_max(n))).select("name", "dst")
-    pairs = each.where(~F.col("is_def")).join(few, "name").where(F.col("node") != F.col("dst"))
+    said = lambda what: F.collect_set(F.when(F.col(role) == what, F.col(node)))  # noqa: E731, at most all nodes, gathered map-side
+    per_name = tags.groupBy(F.col(name).alias("name")).agg(said("def").alias("definers"), said("ref").alias("readers"))
+    few = per_name.where((F.size("definers") == 1) & F.size("readers").between(F.lit(1), words.rare_max(n)) & F.col("name").isNotNull())
+    pairs = few.select("name", F.col("definers")[0].alias("dst"), F.explode("readers").alias("node")).where(F.col("node") != F.col("dst"))
     names = F.array_sort(F.collect_list("name"))  # at most the rare symbols of one pair of nodes
     edges = pairs.groupBy(F.col("node").alias("src"), "dst").agg(F.count(F.lit(1)).alias("weight"), (F.slice(names, 1, shown) if shown else names).alias("symbols"))
     edges = edges.withColumn("symbols", F.array_join("symbols", ","))
