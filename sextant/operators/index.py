@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import paths
+from sextant.plans.ordering import numbered
 
 
 def reverse(claims: DataFrame) -> DataFrame:
@@ -28,8 +29,7 @@ def add_unassigned(unassigned: DataFrame, new: DataFrame) -> DataFrame:
     """(pos, path) with the new paths that are not there yet after the others, in order of path."""
     fresh = new.select("path").distinct().join(unassigned, "path", "left_anti")
     last = unassigned.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("last"))
-    # The queue of one namespace's unplaced paths is numbered as one list.
-    placed = fresh.join(F.broadcast(last)).select((F.col("last") + F.row_number().over(Window.orderBy("path"))).alias("pos"), "path")
+    placed = numbered(fresh, ["path"], "__nth").join(F.broadcast(last)).select((F.col("last") + F.col("__nth") + 1).alias("pos"), "path")  # one row
     return unassigned.select("pos", "path").unionByName(placed)
 
 
