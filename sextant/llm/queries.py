@@ -52,7 +52,7 @@ def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+    counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512, keep_text=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 

@@ -91,14 +91,15 @@ def _counted(batches, path: str, chunk: int, overlap: int):
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
 
-def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP, keep_text: bool = True) -> DataFrame:
     """Adds n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) to df.
 
     path: a .json file for the tokenizers library, or a .model file for sentencepiece. Null texts
     count as empty (0, 0, false). Texts of any length are counted whole: over `chunk` characters, in
     chunks that overlap. Repeated rows are kept; columns of df named like an output are replaced.
+    Without keep_text the text is left out, and is not sent back from Python.
     """
-    new = ("n_bytes", "n_tokens", "over_limit", "__text")
+    new = ("n_bytes", "n_tokens", "over_limit", "__text", *([] if keep_text else [text.lower()]))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     data = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in new), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("__text"))
     out = data.mapInArrow(batches_task(_counted, path, chunk, overlap), data.drop("__text").schema.add("n_tokens", "long"))
