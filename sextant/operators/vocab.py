@@ -41,8 +41,8 @@ def table(rows: DataFrame, cluster: str = "cluster", word: str = "word", count:
 
 
 def document_frequency(vocabulary: DataFrame) -> DataFrame:
-    """Clusters that each word is in; pairs are distinct in a clean table."""
-    return vocabulary.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """Clusters that each word is in; pairs are distinct in a clean table, whose counts are never null."""
+    return vocabulary.groupBy("word").agg(F.count("cnt").alias("df"))  # of cnt, so that the table's exchange is the one that top terms need
 
 
 def top_terms(vocabulary: DataFrame, top: int = 8) -> DataFrame:
@@ -51,10 +51,11 @@ def top_terms(vocabulary: DataFrame, top: int = 8) -> DataFrame:
     return vocabulary.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def _judged(vocabulary: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
-    n = vocabulary.agg(F.count_distinct("cluster").alias("n"))
-    scored = top_terms(vocabulary, top).join(document_frequency(vocabulary), "word")
-    return scored.join(F.broadcast(n)), n  # one row
+def _judged(vocabulary: DataFrame, top: int) -> DataFrame:
+    """Top terms with df and n, the number of clusters (all of which have top terms); the vocabulary is read once."""
+    best = top_terms(vocabulary, top)
+    n = best.agg(F.count_distinct("cluster").alias("n"))
+    return best.join(document_frequency(vocabulary), "word").join(F.broadcast(n))  # one row
 
 
 def verdicts(vocabulary: DataFrame, parseable: DataFrame | None = None, top: int = 8, all_rows: bool = True) -> DataFrame:
@@ -62,7 +63,7 @@ def verdicts(vocabulary: DataFrame, parseable: DataFrame | None = None, top: int
 
     parseable: (cluster, parseable, total); rows with no files say nothing.
     """
-    scored, _ = _judged(vocabulary, top)
+    scored = _judged(vocabulary, top)
     rare = F.count_if(F.col("df") <= words.rare_max(F.col("n"))).alias("rare")
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), " ").alias("top")
     out = scored.groupBy("cluster").agg(rare, names)
@@ -77,6 +78,6 @@ def verdicts(vocabulary: DataFrame, parseable: DataFrame | None = None, top: int
 
 def distinctive(vocabulary: DataFrame, top: int = 8, k: int = 20) -> DataFrame:
     """(cluster, distinctive, considered): top words that score over one half."""
-    scored, _ = _judged(vocabulary, top)
+    scored = _judged(vocabulary, top)
     score = words.distinctiveness(F.col("df"), F.col("n"), k)
     return scored.groupBy("cluster").agg(F.count_if(score > 0.5).alias("distinctive"), F.count(F.lit(1)).alias("considered"))

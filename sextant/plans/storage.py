@@ -20,3 +20,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Inputs up to this many bytes may come in fewer row groups than there are cores.
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt to all cores, for work that costs more than moving it; larger ones, which have many row groups, are left as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df

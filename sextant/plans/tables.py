@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import words
+from sextant.plans.storage import spread
 from sextant.sources import extract
 
 
@@ -25,7 +26,7 @@ DOCS = "docs AS (SELECT doc_id, text, lang, source, n_chars, lang || '/' || sour
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token occurrences: path, node, lang, name, role."""
-    return extract.tokens(documents(spark, sf_dir), ["path", "node", "lang"])
+    return extract.tokens(spread(documents(spark, sf_dir)), ["path", "node", "lang"])
 
 
 TAGS = f"""{DOCS}, tok AS (SELECT path, node, lang, unnest(regexp_extract_all(text, '{words.WORD}')) AS token FROM docs),
@@ -34,7 +35,7 @@ tags AS (SELECT path, node, lang, lower(token) AS name, CASE WHEN regexp_matches
 
 def placed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences with their line from 0, its text, and kind: call if a comma follows."""
-    lines = documents(spark, sf_dir).select("path", "node", F.posexplode(F.split("text", "\n", -1)).alias("line", "expression"))
+    lines = spread(documents(spark, sf_dir)).select("path", "node", F.posexplode(F.split("text", "\n", -1)).alias("line", "expression"))
     found = lines.select("path", "node", "line", F.trim("expression").alias("expression"), F.explode(F.regexp_extract_all("expression", F.lit(f"({words.WORD}),?"), F.lit(0))).alias("t"))
     name = F.rtrim(F.col("t"), F.lit(","))
     kept = found.where(F.length(name) >= 4)
