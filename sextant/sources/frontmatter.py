@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 REFUSALS = ("no_frontmatter", "unterminated", "anchor_or_alias", "block_scalar", "flow_collection", "second_document", "tab_indent", "nesting_too_deep", "malformed_line")
 
 DEEPEST = 32
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SCHEMA = "path string, tags array<struct<name: string, role: string, kind: string, line: int, expression: string>>, refusal string"
 _QUOTED = r""""[^"]*"|'[^']*'"""
 _KEY = re.compile(rf"""((?:{_QUOTED}|[^:"'])*):(.*)\Z""", re.S)
@@ -136,8 +138,16 @@ def _outcome(path: str, text: str | None, qualified: bool) -> dict:
 def extract(files: DataFrame, path: str = "path", text: str = "text", qualified: bool = False) -> DataFrame:
     """(path, tags, refusal) of Markdown files; a refused file has no tags and says why."""
 
+    root, module = ROOT, __name__
+
     def run(batches):
+        import importlib
+        import sys
+
+        if root not in sys.path:  # workers that were started elsewhere
+            sys.path.append(root)
+        outcome = importlib.import_module(module)._outcome
         for batch in batches:
-            yield pd.DataFrame([_outcome(p, t, qualified) for p, t in zip(batch["p"], batch["t"], strict=True)], columns=["path", "tags", "refusal"])
+            yield pd.DataFrame([outcome(p, t, qualified) for p, t in zip(batch["p"], batch["t"], strict=True)], columns=["path", "tags", "refusal"])
 
     return files.selectExpr(f"`{path}` as p", f"`{text}` as t").mapInPandas(run, SCHEMA)
