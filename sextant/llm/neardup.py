@@ -3,8 +3,10 @@
 Texts within a similarity of each other have shingle sets whose sizes differ by no more than that
 factor, so only tiles of equal or neighbouring size classes are compared; in a tile pair, fingerprints of
 256 bits are compared exactly, unless the tiles' population counts are further apart than the radius.
-A tile pair sends on the closest links that connect what it found (every link left out joins texts that
-closer ones join already), and those hold if the Jaccard similarity of the texts' shingles is enough.
+A tile pair first sends on the closest links that connect what it found, and those hold if the Jaccard
+similarity of the texts' shingles is enough. As a closer link may fail where one that was left out holds, texts
+with candidates then meet again: every candidate whose ends the links that hold have not joined is verified, in
+blocks of a tile pair to which each text's shingles come once.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import batches_task, written
+from sextant.llm.common import batches_task, cogroup_task, written
 from sextant.llm.components import components
 from sextant.llm.simhash import shingle_hashes, votes
 
 WORDS = 4  # of 64 bits, in a fingerprint
 TILE = 4096
+#: Texts on each side of a block, and shingles of the longest text times texts.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 
 
 def radius(similarity: float, bits: int = 64 * WORDS) -> int:
@@ -90,42 +94,85 @@ def _side(value: pa.Scalar):
     return v.field("key"), words, v.field("n").to_numpy(), np.bitwise_count(words).sum(0, dtype=np.int64)
 
 
+def _distances(left: pa.Scalar, right: pa.Scalar, same: bool, reach: int, similarity: float):
+    """(first row, distances of up to 512 rows to all columns) of a tile pair; 999 where it cannot be a link."""
+    _, wa, na, pa_ = _side(left)
+    _, wb, nb, pb = _side(right)
+    if pa_.min() - pb.max() > reach or pb.min() - pa_.max() > reach:
+        return
+    for at in range(0, len(na), 512):
+        part = slice(at, at + 512)
+        distance = np.zeros((len(na[part]), len(nb)), np.uint16)
+        for x, y in zip(wa, wb, strict=True):
+            distance += np.bitwise_count(x[part, None] ^ y[None, :])
+        distance[np.minimum(na[part, None], nb[None, :]) < similarity * np.maximum(na[part, None], nb[None, :])] = 999
+        if same:
+            rows = np.arange(len(na[part]))
+            distance[rows, rows + at] = 999
+        yield at, distance
+
+
 def _compared(batches, reach: int, similarity: float):
     for batch in batches:
         out: list = [[], []]
         for left, right, same in zip(batch.column("mine"), batch.column("theirs"), batch.column("same").to_pylist(), strict=True):
-            ka, wa, na, pa_ = _side(left)
-            kb, wb, nb, pb = _side(right)
-            if pa_.min() - pb.max() > reach or pb.min() - pa_.max() > reach:
-                continue
-            for at in range(0, len(na), 512):
-                part = slice(at, at + 512)
-                distance = np.zeros((len(na[part]), len(nb)), np.uint16)
-                for x, y in zip(wa, wb, strict=True):
-                    distance += np.bitwise_count(x[part, None] ^ y[None, :])
-                distance[np.minimum(na[part, None], nb[None, :]) < similarity * np.maximum(na[part, None], nb[None, :])] = 999
-                if same:
-                    rows = np.arange(len(na[part]))
-                    distance[rows, rows + at] = 999
+            ka, kb = left.values.field("key"), right.values.field("key")
+            for at, distance in _distances(left, right, same, reach, similarity):
                 for i, j in _closest(distance, reach):
                     out[0].append(ka[at + i].as_py())
                     out[1].append(kb[j].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(o, pa.binary()) for o in out], names=["a", "b"])
 
 
-def candidates(distinct: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
-    """Links (a, b) of texts (key, w0 ..., n) that may be that similar."""
+def _apart(batches, reach: int, similarity: float):
+    """Blocks of a tile pair with the candidates between texts of different roots: their texts, and pairs of numbers in these."""
+    for batch in batches:
+        for left, right, same, name in zip(batch.column("mine"), batch.column("theirs"), batch.column("same").to_pylist(), batch.column("name").to_pylist(), strict=True):
+            ka, kb = left.values.field("key"), right.values.field("key")
+            ra, rb = (v.values.field("root").to_numpy() for v in (left, right))
+            longest = max(v.values.field("n").to_numpy().max() for v in (left, right))
+            side = int(max(16, min(BLOCK, BLOCK_SHINGLES // longest)))
+            for at, distance in _distances(left, right, same, reach, similarity):
+                maybe = (distance <= reach) & (ra[at : at + len(distance), None] != rb[None, :])
+                if same:  # each pair once
+                    maybe &= at + np.arange(len(distance))[:, None] < np.arange(len(rb))[None, :]
+                for top in range(0, len(distance), side):
+                    for first in range(0, len(rb), side):
+                        i, j = np.nonzero(maybe[top : top + side, first : first + side])
+                        if len(i):
+                            rows, i = np.unique(i, return_inverse=True)
+                            columns, j = np.unique(j, return_inverse=True)
+                            texts = [*ka.take(pa.array(rows + top + at)).to_pylist(), *kb.take(pa.array(columns + first)).to_pylist()]
+                            pairs = np.stack([i, j + len(rows)]).astype("<u2").tobytes()
+                            yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{at + top}/{first}"]), pa.array([texts], pa.list_(pa.binary())), pa.array([pairs], pa.binary())], names=["block", "texts", "pairs"])
+
+
+def tile_pairs(distinct: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """Tiles (mine, theirs: lists of distinct's rows) whose texts' sizes may be that similar; same: a tile with itself; name: of the pair."""
     classed = distinct.where("n > 0").withColumn("class", F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("int"))
     tiles = classed.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))  # a row for each factor 1 / similarity in length
     cut = classed.join(F.broadcast(tiles), "class").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    made = written(cut.groupBy("class", "tile").agg(F.collect_list(F.struct("key", *(f"w{i}" for i in range(WORDS)), "n")).alias("mine")), "tiles")
+    made = written(cut.groupBy("class", "tile").agg(F.collect_list(F.struct(*distinct.columns)).alias("mine")), "tiles")
     probes = made.withColumn("by", F.explode(F.array(F.lit(0), F.lit(1)))).select((F.col("class") + F.col("by")).alias("class"), "by", "tile", "mine")
     others = made.select("class", F.col("tile").alias("tile2"), F.col("mine").alias("theirs"))
     pairs = probes.join(others, "class").where((F.col("by") > 0) | (F.col("tile") <= F.col("tile2")))
-    pairs = pairs.select("mine", "theirs", ((F.col("by") == 0) & (F.col("tile") == F.col("tile2"))).alias("same"))
+    return pairs.select("mine", "theirs", ((F.col("by") == 0) & (F.col("tile") == F.col("tile2"))).alias("same"), F.concat_ws("/", "class", "by", "tile", "tile2").alias("name"))
+
+
+def candidates(distinct: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that connect the texts (key, w0 ..., n) that may be that similar."""
+    pairs = tile_pairs(distinct, similarity, tile).select("mine", "theirs", "same")
     return pairs.mapInArrow(batches_task(_compared, radius(similarity), similarity), "a binary, b binary").distinct()
 
 
+def links_apart(rooted: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that hold and that, with those that made root, connect all that are similar of the texts (key, w0 ..., n, root)."""
+    blocks = tile_pairs(rooted, similarity, tile).mapInArrow(batches_task(_apart, radius(similarity), similarity), "block string, texts array<binary>, pairs binary")
+    blocks = written(blocks, "blocks")
+    needed = blocks.select(F.col("block").alias("of"), F.explode(F.array_distinct("texts")).alias("key")).join(sets, "key").select("of", "key", "shingles")
+    return blocks.groupBy("block").cogroup(needed.groupBy("of")).applyInArrow(cogroup_task(_verified, similarity), "a binary, b binary")
+
+
 def _sets(batches, width: int):
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
@@ -144,6 +191,40 @@ def _similar(batches, similarity: float):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _verified(block: pa.Table, needed: pa.Table, similarity: float) -> pa.Table:
+    """The links of a block that hold, but for those whose ends others of the block join."""
+    out: list = [[], []]
+    sets = {k: np.frombuffer(v, "<u8") for k, v in zip(needed.column("key").to_pylist(), needed.column("shingles").to_pylist(), strict=True)}
+    root = {k: k for k in sets}
+
+    def top(x: bytes) -> bytes:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for texts, packed in zip(block.column("texts").to_pylist(), block.column("pairs").to_pylist(), strict=True):
+        i, j = np.frombuffer(packed, "<u2").reshape(2, -1)
+        others = np.unique(j).tolist()
+        known, numbers = np.unique(np.concatenate([sets[texts[x]] for x in others]), return_inverse=True)
+        of = dict(zip(others, np.split(numbers, np.cumsum([len(sets[texts[x]]) for x in others])[:-1]), strict=True))
+        for x in np.unique(i).tolist():
+            a, mine = texts[x], sets[texts[x]]
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            here = np.zeros(len(known), bool)
+            here[at[known[at] == mine]] = True
+            for y in j[i == x].tolist():
+                b = texts[y]
+                if (p := top(a)) == (q := top(b)):
+                    continue
+                both = int(np.count_nonzero(here[of[y]]))
+                if both >= similarity * (len(mine) + len(sets[b]) - both):
+                    root[p] = q
+                    out[0].append(a)
+                    out[1].append(b)
+    return pa.table([pa.array(o, pa.binary()) for o in out], names=["a", "b"])
+
+
 def without_near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """documents with one row of each group of near-duplicates: the one with the least doc_id (null last), then of the least text key.
 
@@ -167,8 +248,12 @@ def without_near_duplicates(documents: DataFrame, width: int = 5, similarity: fl
     bodies = bodies.select("d.key", "d.__text").withColumn("__nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))).where("__nth = 1").drop("__nth")
     sets = written(bodies.mapInArrow(batches_task(_sets, width), "key binary, shingles binary"), "shingles")
     sides = maybe.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = sides.mapInArrow(batches_task(_similar, similarity), "a binary, b binary")
-    roots = components(links, "a", "b")
+    links = written(sides.mapInArrow(batches_task(_similar, similarity), "a binary, b binary"), "similar")
+    joined = components(links, "a", "b").withColumnRenamed("node", "key")
+    # Every text with a candidate is an end, so the others need not meet again.
+    met = distinct.drop("least").join(ends, "key").join(joined, "key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "key")))
+    more = links_apart(met, sets, similarity)
+    roots = components(links.union(more), "a", "b")
     rooted = distinct.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = F.min(F.struct("least.none", "least.doc_id", "key")).alias("x")
     stays = rooted.groupBy("root").agg(least).select(F.coalesce("x.doc_id", F.lit(-(2**63))).alias("__id"), F.col("x.none").alias("__none"), F.col("x.key").alias("__key"))

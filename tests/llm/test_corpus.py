@@ -101,6 +101,24 @@ def test_near_duplicates_by_similarity(documents, nothing):
     assert got(neardup.without_near_duplicates(nothing)) == []
 
 
+def edited(rng, words, n, edits):
+    """Copies of the words with others in place of random ones."""
+    out = []
+    for k in range(n):
+        copy = list(words)
+        for i in rng.sample(range(len(words)), rng.choice(edits)):
+            copy[i] = f"edit{k}x{i}"
+        out.append(copy)
+    return out
+
+
+def test_near_duplicates_where_closer_candidates_fail(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(w)) for i, w in enumerate(edited(rng, [f"w{x}" for x in range(300)], 300, [4]))]
+    kept = neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute.near_duplicates_kept(rows, 5, 0.8)
+
+
 def test_byte_bpe(documents, nothing):
     import tiktoken
 
