@@ -1,5 +1,7 @@
 """Near-duplicate removal by similarity: SimHash tiles find candidates, shingle sets decide.
 
+Texts of few shingles link by equal subsets of them, exactly, as a fingerprint of few votes says too little.
+
 Texts within a similarity of each other have shingle sets whose sizes differ by no more than that
 factor, so only tiles of equal or neighbouring size classes are compared; in a tile pair, fingerprints of
 256 bits are compared exactly, unless the tiles' population counts are further apart than the radius.
@@ -11,7 +13,10 @@ blocks of a tile pair to which each text's shingles come once.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +29,38 @@ from sextant.llm.simhash import shingle_hashes, votes
 
 WORDS = 4  # of 64 bits, in a fingerprint
 TILE = 4096
+#: Shingles of texts that are compared by subsets.
+SHORT = 9
 #: Texts on each side of a block, and shingles of the longest text times texts.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 
 
-def radius(similarity: float, bits: int = 64 * WORDS) -> int:
-    """Bits in which all but a fortieth of the pairs of this Jaccard similarity stay: the mean and two deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+def _differs(both: int, a: int, b: int) -> float:
+    """The chance that a fingerprint bit differs between sets that share `both` shingles and have a and b of their own."""
+    shared = np.arange(both + 1)
+    chance = lambda n: np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
+    more = lambda own: 1 - np.concatenate([[0], np.cumsum(chance(own))])[np.clip((both + own) // 2 + 1 - shared, 0, own + 1)]
+    x, y = more(a), more(b)
+    return float((chance(both) * (x + y - 2 * x * y)).sum())
+
+
+@lru_cache
+def radius(similarity: float, bits: int = 64 * WORDS, lost: float = 1e-9) -> int:
+    """Bits in which pairs of this Jaccard similarity, at least one of over SHORT shingles, stay but for a chance of `lost`.
+
+    By the worst sets, ties of even numbers of votes included; large sets near a limit.
+    """
+    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for both in range(1, 97):
+        most = 0
+        while both >= similarity * (both + most + 1):
+            most += 1
+        worst = max([worst, *(_differs(both, a, n - a) for n in {most, max(0, most - 1)} for a in range(n // 2 + 1) if both + n - a > SHORT)])
+    stays, k = 0.0, -1
+    while 1 - stays > lost and k < bits:
+        k += 1
+        stays = math.fsum(math.comb(bits, i) * worst**i * (1 - worst) ** (bits - i) for i in range(k + 1))
+    return k
 
 
 def wide(hashes: np.ndarray) -> np.ndarray:
@@ -52,11 +81,38 @@ def text_key(text: str) -> Column:
 def _signed(batches, width: int):
     for batch in batches:
         rows: list = [[] for _ in range(WORDS + 1)]
+        few: list = []
         for t in batch.column("__text"):
             h = np.unique(shingle_hashes(t.as_py(), width))
             for o, v in zip(rows, (*wide(h).view(np.int64).tolist(), len(h)), strict=True):
                 o.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(r, pa.int64()) for r in rows)], names=["doc_id", "key", *(f"w{i}" for i in range(WORDS)), "n"])
+            few.append(h.astype("<u8").tobytes() if len(h) <= SHORT else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(r, pa.int64()) for r in rows), pa.array(few, pa.binary())], names=["doc_id", "key", *(f"w{i}" for i in range(WORDS)), "n", "few"])
+
+
+def _subsets(batches, similarity: float):
+    for batch in batches:
+        out: list = [[], [], [], []]
+        for key, few in zip(batch.column("key").to_pylist(), batch.column("few").to_pylist(), strict=True):
+            h = [few[at : at + 8] for at in range(0, len(few), 8)]
+            for size in range(1, len(h) + 1):
+                if size >= similarity * len(h):
+                    for part in combinations(h, size):
+                        for o, v in zip(out, (hashlib.blake2b(b"".join(part), digest_size=16).digest(), size, len(h) - size, key), strict=True):
+                            o.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "size", "without", "key"])
+
+
+def links_short(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the texts of at most SHORT shingles that are similar.
+
+    Texts that share a subset link if it is enough of both; as they then both link to the one with the least besides it, these links do.
+    """
+    parts = distinct.where(F.col("n").between(1, SHORT)).select("key", "few").mapInArrow(batches_task(_subsets, similarity), "part binary, size int, without int, key binary")
+    parts = written(parts, "subsets")
+    least = parts.groupBy("part").agg(F.min(F.struct("without", "key")).alias("x")).select("part", F.col("x.without").alias("other"), F.col("x.key").alias("a"))
+    enough = F.col("size") >= F.lit(similarity) * (F.col("size") + F.col("without") + F.col("other"))
+    return parts.join(least, "part").where(enough & (F.col("key") != F.col("a"))).select("a", F.col("key").alias("b"))
 
 
 def _closest(distance: np.ndarray, reach: int) -> list[tuple[int, int]]:
@@ -106,6 +162,7 @@ def _distances(left: pa.Scalar, right: pa.Scalar, same: bool, reach: int, simila
         for x, y in zip(wa, wb, strict=True):
             distance += np.bitwise_count(x[part, None] ^ y[None, :])
         distance[np.minimum(na[part, None], nb[None, :]) < similarity * np.maximum(na[part, None], nb[None, :])] = 999
+        distance[np.maximum(na[part, None], nb[None, :]) <= SHORT] = 999
         if same:
             rows = np.arange(len(na[part]))
             distance[rows, rows + at] = 999
@@ -149,7 +206,7 @@ def _apart(batches, reach: int, similarity: float):
 
 def tile_pairs(distinct: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
     """Tiles (mine, theirs: lists of distinct's rows) whose texts' sizes may be that similar; same: a tile with itself; name: of the pair."""
-    classed = distinct.where("n > 0").withColumn("class", F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("int"))
+    classed = distinct.where(F.col("n") >= similarity * (SHORT + 1) - 1e-9).withColumn("class", F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("int"))
     tiles = classed.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))  # a row for each factor 1 / similarity in length
     cut = classed.join(F.broadcast(tiles), "class").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     made = written(cut.groupBy("class", "tile").agg(F.collect_list(F.struct(*distinct.columns)).alias("mine")), "tiles")
@@ -236,11 +293,11 @@ def without_near_duplicates(documents: DataFrame, width: int = 5, similarity: fl
     columns = documents.columns
     ids = F.col(f"`{key}`").cast("long")
     data = documents.select(ids.alias("doc_id"), text_key(f"`{text}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    schema = "doc_id long, key binary, " + ", ".join(f"w{i} long" for i in range(WORDS)) + ", n long"
+    schema = "doc_id long, key binary, " + ", ".join(f"w{i} long" for i in range(WORDS)) + ", n long, few binary"
     found = written(data.mapInArrow(batches_task(_signed, width), schema), "signed")
-    signs = [F.first(c).alias(c) for c in (*(f"w{i}" for i in range(WORDS)), "n")]
+    signs = [F.first(c).alias(c) for c in (*(f"w{i}" for i in range(WORDS)), "n", "few")]
     distinct = found.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), *signs)
-    maybe = written(candidates(distinct, similarity), "candidates")
+    maybe = written(candidates(distinct.drop("least", "few"), similarity), "candidates")
     ends = maybe.select(F.col("a").alias("key")).union(maybe.select("b")).distinct()
     # One row of each text: copies have other ids, so they do not meet it.
     shown = distinct.join(ends, "key").select("key", "least.doc_id")
@@ -248,10 +305,11 @@ def without_near_duplicates(documents: DataFrame, width: int = 5, similarity: fl
     bodies = bodies.select("d.key", "d.__text").withColumn("__nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))).where("__nth = 1").drop("__nth")
     sets = written(bodies.mapInArrow(batches_task(_sets, width), "key binary, shingles binary"), "shingles")
     sides = maybe.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = written(sides.mapInArrow(batches_task(_similar, similarity), "a binary, b binary"), "similar")
+    links = sides.mapInArrow(batches_task(_similar, similarity), "a binary, b binary").union(links_short(distinct, similarity))
+    links = written(links, "similar")
     joined = components(links, "a", "b").withColumnRenamed("node", "key")
     # Every text with a candidate is an end, so the others need not meet again.
-    met = distinct.drop("least").join(ends, "key").join(joined, "key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "key")))
+    met = distinct.drop("least", "few").join(ends, "key").join(joined, "key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "key")))
     more = links_apart(met, sets, similarity)
     roots = components(links.union(more), "a", "b")
     rooted = distinct.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

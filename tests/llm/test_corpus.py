@@ -116,7 +116,19 @@ def test_near_duplicates_where_closer_candidates_fail(spark):
     rng = random.Random(11)
     rows = [(i, " ".join(w)) for i, w in enumerate(edited(rng, [f"w{x}" for x in range(300)], 300, [4]))]
     kept = neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r["doc_id"] for r in kept.collect()) == brute.near_duplicates_kept(rows, 5, 0.8)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == brute.near_duplicates_kept(rows, 5, 0.8)
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Of 5 and 4 shingles, and of 23 and 22, of which 4 and 20 are shared; and copies of many similarities."""
+    rng = random.Random(5)
+    texts = [" ".join(w) for w in edited(rng, [f"w{x}" for x in range(160)], 200, [2, 3, 4])]
+    for k in range(80):
+        short, longer = ([f"{c}{k}x{x}" for x in range(n)] for c, n in (("s", 9), ("l", 24)))
+        texts += [" ".join(short), " ".join(short[1:]).upper(), " ".join(longer + ["a1", "a2", "a3"]), " ".join(["b1", "b2", *longer])]
+    rows = list(enumerate(texts))
+    kept = neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == brute.near_duplicates_kept(rows, 5, 0.8)
 
 
 def test_byte_bpe(documents, nothing):
