@@ -710,5 +710,6 @@ def frontmatter_entities(spark, d):
 
 @query()
 def declarations(spark, d):
-    code = F.concat(F.lit("def f_"), F.regexp_replace(F.substring_index("text", "\n", 1), r"\W+", "_"), F.lit("(x):\n    return g(x)\n"))
+    each = F.transform(F.split("text", "\n", -1), lambda line: F.concat(F.lit("def f_"), F.regexp_replace(line, r"\W+", "_"), F.lit("(x):\n    return g(x)\n")))
+    code = F.array_join(each, "")
     return extract.declarations(t.documents(spark, d).select(F.regexp_replace("path", "md$", "py").alias("path"), code.alias("text")))

@@ -40,3 +40,8 @@ def test_query_equals_sql(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_other_queries_have_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count()
+
+
+def test_declarations_come_from_every_line(spark):
+    lines = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("sum(size(split(text, '\\n', -1))) AS n").first()["n"]
+    assert catalog.queries()["declarations"](spark, SF).where("role = 'def'").count() == lines
