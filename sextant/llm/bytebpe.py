@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -17,30 +18,25 @@ from sextant.llm.common import batches_task
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _encode_new(path: str, pattern: str | None, parts: list[str]) -> list[bytes]:
-    """Ids of new segments, packed; against tiktoken where a pattern is given, whose ids hold if they differ."""
-    ids = [x.ids for x in bpe.tokenizer(path).encode_batch_fast(parts, add_special_tokens=False)]
-    if pattern is not None:
-        right = bpe.reference_encoder(path, pattern)
-        ids = [mine if mine == (theirs := right.encode_ordinary(part)) else theirs for part, mine in zip(parts, ids, strict=True)]
-    return [np.array(x, "<u4").tobytes() for x in ids]
+def _encode_new(path: str, parts: list[str]) -> list[bytes]:
+    return [np.array(x.ids, "<u4").tobytes() for x in bpe.tokenizer(path).encode_batch_fast(parts, add_special_tokens=False)]
 
 
-def encode_texts(path: str, texts: list[str | None], pattern: str | None = None) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers; None counts as empty."""
-    cut = [bpe.segments(t) if t else [] for t in texts]
-    values = bpe.looked_up(bpe.memo("bytes", path, pattern), [s for x in cut for s in x], lambda new: _encode_new(path, pattern, new))
-    out, at = [], 0
-    for x in cut:
-        out.append(b"".join(values[at : at + len(x)]))
-        at += len(x)
-    return out
+def encode_column(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, as little-endian unsigned 32-bit integers, and where each text's end; null counts as empty."""
+    codes, ends, different = bpe.coded(texts, bpe.segments)
+    return bpe.gathered(bpe.memo("bytes", path).values(different, lambda new: _encode_new(path, new)), codes, ends)
+
+
+def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
+    """Packed ids of each text."""
+    ids, ends = encode_column(path, pa.array(texts, pa.string()))
+    return [x.tobytes() for x in np.split(ids, ends)[: len(texts)]]
 
 
 def decode_ids(path: str, packed: bytes) -> bytes:
     """The bytes that ids stand for, by the byte table reversed; a character split over ids is whole again."""
-    table = bpe.id_bytes(path)
-    return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()])
+    return bpe.bytes_of(path, np.frombuffer(packed, "<u4"))
 
 
 def char_offsets(path: str, text: str, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -49,9 +45,8 @@ def char_offsets(path: str, text: str, packed: bytes) -> tuple[np.ndarray, np.nd
     Bytes map to characters by counting the bytes that start one. Tokens that share a split
     character all cover that character.
     """
-    table = bpe.id_bytes(path)
     ids = np.frombuffer(packed, "<u4")
-    lengths = np.fromiter((len(table[i]) for i in ids.tolist()), np.int64, len(ids))
+    lengths = bpe.id_sizes(path)[ids]
     ends = np.cumsum(lengths)
     of_byte = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
     if not len(ids):
@@ -59,10 +54,10 @@ def char_offsets(path: str, text: str, packed: bytes) -> tuple[np.ndarray, np.nd
     return of_byte[ends - lengths].astype(np.int32), (of_byte[ends - 1] + 1).astype(np.int32)
 
 
-def _encoded(batches, path: str, pattern: str | None, with_offsets: bool):
+def _encoded(batches, path: str, with_offsets: bool):
     for batch in bpe.few(batches):
         texts = batch.column("__text").to_pylist()
-        packed = encode_texts(path, texts, pattern)
+        packed = encode_texts(path, texts)
         arrays = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in packed], pa.list_(pa.int32()))]
         if with_offsets:
             spans = [char_offsets(path, t or "", x) for t, x in zip(texts, packed, strict=True)]
@@ -71,11 +66,17 @@ def _encoded(batches, path: str, pattern: str | None, with_offsets: bool):
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *arrays], names=[*keep, "ids", "starts", "ends"][: len(keep) + len(arrays)])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", pattern: str | None = PATTERN, offsets: bool = False) -> DataFrame:
+def _checked(path: str, pattern: str) -> str:
+    if not path.endswith(".json") and pattern != PATTERN:
+        raise ValueError("ranks are encoded by the pattern of byte-level vocabularies only")
+    return path
+
+
+def encode(df: DataFrame, path: str, text: str = "text", pattern: str = PATTERN, offsets: bool = False) -> DataFrame:
     """Adds `ids` (array of int), and with `offsets` the characters `starts` and `ends` of each token.
 
-    path: a tokenizers .json file, or ranks as tiktoken reads them; for ranks, ids are those of the
-    tiktoken library (checked for each distinct segment). Null and empty texts give empty arrays,
+    path: a tokenizers .json file, or ranks as tiktoken reads them; for ranks, the tokenizer that is built
+    of them gives the ids of the tiktoken library (bpe.tokenizer says why). Null and empty texts give empty arrays,
     any length of text is encoded whole, repeated rows are kept, and columns of df named like an
     output are replaced; an empty table gives an empty one.
     """
@@ -84,7 +85,7 @@ def encode(df: DataFrame, path: str, text: str = "text", pattern: str | None = P
     schema = data.drop("__text").schema.add("ids", ArrayType(IntegerType()))
     if offsets:
         schema = schema.add("starts", ArrayType(IntegerType())).add("ends", ArrayType(IntegerType()))
-    return data.mapInArrow(batches_task(_encoded, path, None if path.endswith(".json") else pattern, offsets), schema)
+    return data.mapInArrow(batches_task(_encoded, _checked(path, pattern), offsets), schema)
 
 
 def _decoded(batches, path: str):
@@ -102,22 +103,41 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return data.mapInArrow(batches_task(_decoded, path), data.drop("ids").schema.add("bytes", "binary").add("decoded", "string"))
 
 
-def _digested(batches, path: str, pattern: str | None):
+def _digested(batches, path: str):
     for batch in bpe.few(batches):
-        packed = encode_texts(path, batch.column("text").to_pylist(), pattern)
+        ids, ends = encode_column(path, batch.column("text"))
+        text_ends = np.concatenate([[0], np.cumsum(bpe.id_sizes(path)[ids])])[ends]
+        size = np.fromiter((0 if n is None else n for n in pc.binary_length(batch.column("text")).to_pylist()), np.int64, batch.num_rows)
+        inside = _split_characters(path, ids)
+        split = np.concatenate([[0], np.cumsum(inside)])[ends]
+        packed, said = memoryview(ids.tobytes()), memoryview(bpe.bytes_of(path, ids))
+        cuts = lambda e, width: zip((width * np.diff(e, prepend=0)).tolist(), (width * e).tolist(), strict=True)
+        digests = lambda data, e, width: pa.array([hashlib.sha256(data[b - n : b]).hexdigest() for n, b in cuts(e, width)], pa.string())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.array([len(x) // 4 for x in packed], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
-                pa.array([hashlib.sha256(decode_ids(path, x)).hexdigest() for x in packed], pa.string()),
+                pa.array(np.diff(ends, prepend=0)),
+                digests(packed, ends, 4),
+                digests(said, text_ends, 1),
+                pa.array(np.diff(split, prepend=0)),
+                pa.array(np.diff(text_ends, prepend=0) == size),
             ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "whole"],
         )
 
 
-def round_trip(documents: DataFrame, path: str, pattern: str | None = PATTERN) -> DataFrame:
-    """Per document: n_tokens, and SHA-256 of its packed ids and of the bytes they decode to (null text: empty)."""
+def _split_characters(path: str, ids: np.ndarray) -> np.ndarray:
+    """Whether each token begins inside a character, which it then shares with the token before."""
+    return bpe.id_inside(path)[ids]
+
+
+def round_trip(documents: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
+    """Per document: n_tokens, SHA-256 of its packed ids and of the bytes they decode to (null text: empty).
+
+    n_split: tokens that begin inside a character; whole: whether as many bytes are decoded as the text has.
+    Null doc_ids and repeated rows are kept, texts of any length are encoded whole, other columns are left
+    out, and an empty table gives an empty one.
+    """
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        batches_task(_digested, path, None if path.endswith(".json") else pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        batches_task(_digested, _checked(path, pattern)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, whole boolean"
     )

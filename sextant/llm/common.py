@@ -18,49 +18,56 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def batches_task(func, *args):
-    """mapInArrow function that runs func(batches, *args) on executors; func is looked up there by name."""
-    root, module, name = ROOT, func.__module__, func.__name__
+_ran: list = [None]  # what a worker ran last
 
-    def run(batches):
-        import importlib
-        import sys
 
-        if root not in sys.path:
-            sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(batches, *args)
+def _found(root: str, module: str, name: str):
+    """A function by name, on a worker; what the worker remembers for another function is dropped first."""
+    import importlib
+    import sys
 
-    return run
+    if root not in sys.path:
+        sys.path.append(root)
+    found = getattr(importlib.import_module(module), name)
+    here = importlib.import_module(__name__)
+    if here._ran[0] != (module, name):
+        here._ran[0] = (module, name)
+        if "sextant.llm.bpe" in sys.modules:
+            sys.modules["sextant.llm.bpe"].forget()
+        import pyarrow as pa
 
+        pa.default_memory_pool().release_unused()
+    return found
 
-def group_task(func, *args):
-    """applyInArrow function that runs func(table, *args) on executors."""
-    root, module, name = ROOT, func.__module__, func.__name__
 
-    def run(table):
+def _task(func, args, rows: int):
+    """func(*rows, *args), looked up on executors; of as many parameters as Spark asks for."""
+    root, module, name, here = ROOT, func.__module__, func.__name__, __name__
+
+    def call(*given):
         import importlib
         import sys
 
         if root not in sys.path:
             sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(table, *args)
+        return importlib.import_module(here)._found(root, module, name)(*given, *args)
 
-    return run
+    return (lambda left, right: call(left, right)) if rows == 2 else (lambda rows: call(rows))
 
 
-def cogroup_task(func, *args):
-    """Cogrouped applyInArrow function that runs func(left, right, *args) on executors."""
-    root, module, name = ROOT, func.__module__, func.__name__
+def batches_task(func, *args):
+    """mapInArrow function that runs func(batches, *args) on executors; func is looked up there by name."""
+    return _task(func, args, 1)
 
-    def run(left, right):
-        import importlib
-        import sys
 
-        if root not in sys.path:
-            sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(left, right, *args)
+def group_task(func, *args):
+    """applyInArrow function that runs func(table, *args) on executors."""
+    return _task(func, args, 1)
+
 
-    return run
+def cogroup_task(func, *args):
+    """Cogrouped applyInArrow function that runs func(left, right, *args) on executors."""
+    return _task(func, args, 2)
 
 
 def ranked(df: DataFrame, keys: list[str], spread: Column, order: list[Column], name: str, buckets: int) -> DataFrame:

@@ -8,11 +8,13 @@ however many there are, and no task holds more than its share of them.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,46 +24,99 @@ from sextant.llm.common import batches_task, partitions, ranked, written
 #: Above this many rows, the plan is joined by a shuffle and not broadcast.
 BROADCAST_ROWS = 200_000
 
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-
-
-def _encode_words(path: str, parts: list[str]) -> list[bytes]:
-    """Ids of pieces without spaces. Words of Latin letters skip the normalizer, which would only lower-case them."""
-    plain = [i for i, p in enumerate(parts) if _LETTERS.fullmatch(p)]
-    out: list = [None] * len(parts)
+#: Words whose matches are plain to see: no apostrophe (contractions), and nothing that special strings begin with.
+_PLAIN = r"\A[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]+\z"
+_MATCH = r"([a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
+#: What the vocabulary file must say for words to be encoded apart: fixed values of such files.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@lru_cache(maxsize=2)
+def _matches(path: str):
+    """The merges of a vocabulary that lower-cases and drops white space, for matches in bytes' characters with spaces between; None for others."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    removes = (split.get("behavior"), split.get("invert")) == ("Removed", True)
+    if (spec.get("normalizer") or {}).get("normalizers") != _NORMALIZER or split.get("pattern") != {"Regex": _PATTERN} or not removes:
+        return None
+    spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
+    coder = Tokenizer.from_str(json.dumps(spec))
+    ends = np.zeros(coder.get_vocab_size(), bool)
+    suffix = spec["model"]["end_of_word_suffix"]
+    ends[[i for t, i in coder.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+    return (coder, ends) if suffix else None
+
+
+def _encode_matches(path: str, parts: list[str]) -> list[bytes]:
+    """Ids of matches, many at a time."""
+    coder, ends = _matches(path)
     byte = bpe.byte_chars()
     latin = {b: ord(byte[b]) for b in range(256)}
-    mapped = [parts[i].lower().encode().decode("latin-1").translate(latin) for i in plain]
-    for i, x in zip(plain, bpe.bare(path).encode_batch_fast(mapped, add_special_tokens=False), strict=True):
-        out[i] = np.array(x.ids, "<u4").tobytes()
-    rest = [i for i, x in enumerate(out) if x is None]
-    for i, x in zip(rest, bpe.tokenizer(path).encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
-        out[i] = np.array(x.ids, "<u4").tobytes()
+    out = []
+    for a in range(0, len(parts), 1024):
+        text = "\x00".join(parts[a : a + 1024]).encode().decode("latin-1").translate(latin | {0: " "})
+        ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cut = [0, *(4 * np.flatnonzero(ends[ids]) + 4).tolist()]  # after the last id of each match
+        packed = ids.tobytes()
+        out += [packed[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
     return out
 
 
-def encode_words(path: str, texts: list[str | None]) -> list[bytes]:
-    """Packed ids of texts, for tokenizers that lower-case and drop white space; None counts as empty."""
-    cut = [bpe.words(t) if t else [] for t in texts]
-    values = bpe.looked_up(bpe.memo("words", path), [w for x in cut for w in x], lambda new: _encode_words(path, new))
-    out, at = [], 0
-    for x in cut:
-        out.append(b"".join(values[at : at + len(x)]))
-        at += len(x)
-    return out
+def _encode_whole(path: str, texts: list[str]) -> list[bytes]:
+    return [np.array(x.ids, "<u4").tobytes() for x in bpe.tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _encode_words(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words in a row, and where each word's end. Words of Latin letters, digits and signs are cut into matches here; others go as they are."""
+    plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+    mask = pa.array(plain)
+    marked = pc.replace_substring_regex(pc.utf8_lower(words.filter(mask)), _MATCH, "\x00\\1")
+    codes, ends, different = bpe.coded(pc.utf8_slice_codeunits(marked, 1), lambda x: pc.split_pattern(x, "\x00"))
+    values = bpe.memo("matches", path).values(different, lambda new: _encode_matches(path, new))
+    rest = words.filter(pc.invert(mask))
+    values += bpe.memo("words", path).values(rest, lambda new: _encode_whole(path, new))
+    many = np.ones(len(words), np.int64)
+    many[plain] = np.diff(ends, prepend=0)
+    at = np.cumsum(many)
+    both = np.empty(int(many.sum()), np.int64)
+    both[np.repeat(plain, many)] = codes
+    both[np.repeat(~plain, many)] = len(different) + np.arange(len(rest))
+    return bpe.gathered(values, both, at)
+
+
+def encode_texts(path: str, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, each followed by `end`, and where each text's end; null counts as empty.
+
+    By words where the vocabulary file lower-cases, drops white space and marks the ends of words; else each text whole.
+    """
+    if not _matches(path):
+        values = [*_encode_whole(path, [t or "" for t in texts.to_pylist()]), np.array([end], "<u4").tobytes()]
+        codes = np.stack([np.arange(len(texts)), np.full(len(texts), len(texts))], 1).ravel()
+        return bpe.gathered(values, codes, np.arange(2, len(codes) + 1, 2))
+    codes, ends, different = bpe.coded(texts, bpe.words)
+    flat, last = _encode_words(path, different)
+    flat, last = np.append(flat, np.uint32(end)), np.append(last, len(flat) + 1)
+    return bpe.taken(flat, last, np.insert(codes, ends, len(different)), ends + np.arange(1, len(ends) + 1))
 
 
 def _pieces(batches, path: str, capacity: int, end: int):
-    stop = np.array([end], "<u4").tobytes()
     for batch in bpe.few(batches):
-        ids, rows = batch.column("__id"), []
-        for k, packed in enumerate(encode_words(path, batch.column("__text").to_pylist())):
-            packed += stop
-            n = len(packed) // 4
-            rows += [(k, i, s, min(capacity, n - s), zlib.crc32(packed[4 * s : 4 * (s + capacity)])) for i, s in enumerate(range(0, n, capacity))]
-        at, *columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids, ends = encode_texts(path, batch.column("__text"), end)
+        size = np.diff(ends, prepend=0)
+        many = -(-size // capacity)
+        row = np.repeat(np.arange(len(size)), many)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        start = piece * capacity
+        length = np.minimum(capacity, size[row] - start)
+        first = (ends - size)[row] + start
+        view = memoryview(ids.tobytes())
+        crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist(), strict=True)]
+        columns = (piece.astype(np.int32), start, length, pa.array(crc, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(row)), *(pa.array(c) for c in columns)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def token_pieces(documents: DataFrame, path: str, capacity: int, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:

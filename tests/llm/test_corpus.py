@@ -4,11 +4,12 @@ import json
 import random
 import sys
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,7 +142,9 @@ def test_byte_bpe(documents, nothing):
     for d, t in ROWS:
         ids = np.array(right.encode_ordinary(t or ""), "<u4").tobytes()
         expected.append((d, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    assert got(bytebpe.round_trip(documents, path)) == want(expected)
+    out = bytebpe.round_trip(documents, path)
+    assert got(out.drop("n_split", "whole")) == want(expected) and out.where("not whole").count() == 0
+    assert out.where("doc_id = 15").first()["n_split"] > 0
     assert got(bytebpe.round_trip(nothing, path)) == []
     both = bytebpe.decode(bytebpe.encode(documents, path, offsets=True).drop("n_tokens"), path).select("doc_id", "decoded", "starts", "ends")
     for d, text, starts, ends in both.collect():
@@ -149,6 +152,42 @@ def test_byte_bpe(documents, nothing):
         assert not text or (starts[0] == 0 and ends[-1] == len(text) and all(b <= e for b, e in zip(starts[1:], ends, strict=False)))
 
 
+def test_built_tokenizer_gives_the_ids_of_its_ranks():
+    """On text of few letters, where many merges compete, and on every character with neighbours."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    right = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aet ns\né漢か1.ово'", k=rng.randrange(1, 60))) for _ in range(3000)]
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    texts += [f"a{every[i : i + 11]}1 {every[i : i + 11]}" for i in range(0, len(every), 11)]
+    assert bytebpe.encode_texts(path, texts) == [np.array(x, "<u4").tobytes() for x in right.encode_ordinary_batch(texts)]
+
+
+def test_last_merges():
+    order = {b"a": 0, b"b": 1, b"ab": 2, b"aa": 3, b"aab": 4, b"abab": 5, b"bb": 6}
+    assert bpe.last_merge(b"aab", order) == (b"a", b"ab") and bpe.last_merge(b"abab", order) == (b"ab", b"ab") and bpe.last_merge(b"bb", order) == (b"b", b"b")
+    assert bpe.last_merge(b"aba", order) == (b"ab", b"a") and bpe.last_merge(b"bbaa", order | {b"bbaa": 9}) == (b"bb", b"aa")
+    assert bpe.last_merge(b"cab", order) is None or b"ab" in bpe.last_merge(b"cab", order)
+
+
+def test_segments_join_to_the_text():
+    texts = ["a b\nc", " lead", "two  spaces \n x", "zero\0 b \0", "\0", "", "tab\tx y", "nb\xa0sp c", "x \u2003y z", "漢字 か"]
+    cut = bpe.segments(pa.array(texts)).to_pylist()
+    assert ["".join(x) for x in cut] == texts
+    assert all(b[0] in " \n" and not a[-1].isspace() for x in cut for a, b in zip(x, x[1:], strict=False) if a)
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", 3000)
+    memo, asked = bpe.Memo(), []
+    for k in range(50):
+        parts = [f"{(k * 3 + i) % 40}" for i in range(6)]
+        assert memo.values(parts, lambda new: asked.extend(new) or [x.encode() for x in new]) == [x.encode() for x in parts]
+    assert len(memo.young) + len(memo.old) <= 25 and len(asked) > 40
+
+
 def test_pattern_is_the_public_one():
     assert bytebpe.PATTERN == public_tokenizers.PATTERN
 
@@ -165,6 +204,8 @@ def test_token_counts(documents, nothing, name):
         from sentencepiece import SentencePieceProcessor
 
         count = lambda t, m=SentencePieceProcessor(model_file=path): len(m.encode(t))
+    texts = pa.array([t for _, t in ROWS], pa.string())
+    assert tokencount.count_column(path, texts.slice(3, 9), 500, 8).tolist() == [count(t or "") for _, t in ROWS[3:12]]
     out = tokencount.count_tokens(documents, path, chunk=500, overlap=8)
     assert set(out.columns) == {*documents.columns, "n_bytes", "over_limit"} - {"text"} | {"text"}
     expected = [(d, len((t or "").encode()), n := count(t or ""), n > 512) for d, t in ROWS]
@@ -174,10 +215,27 @@ def test_token_counts(documents, nothing, name):
 
 @pytest.mark.parametrize(("chunk", "overlap"), [(64, 2), (300, 16), (5000, 64)])
 def test_spliced_counts_equal_whole_ones(chunk, overlap):
-    tokenizer = bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    for _, t in ROWS:
-        for text in (t or "", (t or "") * 3, "word<|endoftext|> a " * 50, "no-stable-boundary" * 60):
-            assert tokencount.count_huge(tokenizer, text[:20_000], chunk, overlap) == len(tokenizer.encode(text[:20_000], add_special_tokens=False).ids)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = bpe.tokenizer(path)
+    rng = random.Random(4)
+    mixed = "".join(rng.choices(["don't ", "'s", "  ", "\n\n", "abc", "<|endoftext|>", "漢", "é", "1234", "!!! ", "'ll ", "\t"], k=3000))
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000))
+    others = (mixed, chinese, "a" * 9000, " " * 9000, "no-stable-boundary" * 300, "word<|endoftext|> a " * 50)
+    for text in (*((t or "")[:20_000] for _, t in ROWS), *others):
+        assert tokencount.count_huge(path, text, chunk, overlap) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_a_huge_text_without_spaces_takes_linear_time(monkeypatch):
+    """No more than four times its bytes are encoded."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(8)
+    sizes = []
+    inner = tokencount._tokens
+    monkeypatch.setattr(tokencount, "_tokens", lambda p, d, a, b: sizes.append(b - a) or inner(p, d, a, b))
+    for text in ("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200_000)), "ab" * 300_000):
+        sizes.clear()
+        tokencount.count_huge(path, text)
+        assert sum(sizes) < 4 * len(text.encode())
 
 
 def test_quality_statistics(documents, nothing):
@@ -226,12 +284,37 @@ def test_nearest(spark):
     assert [r["vec_id"] for r in ann.nearest(e.where("vec_id in (0, 3, 7)")).orderBy("rank").collect() if r["query_id"] == 0] in ([3, 7], [3, 7][::1])
 
 
+@pytest.mark.parametrize("dim", [16, 100])
+def test_estimates_from_bits(dim):
+    """Are the products with the signs, but for rounding, and off by no more than allowed for in about 19 of 20."""
+    rng = np.random.default_rng(5)
+    v, q = rng.standard_normal((500, dim)), rng.standard_normal((20, dim))
+    codes, along = ann.encode(v, 3)
+    guess, error = ann.estimate(codes, along, q, 3, 1.9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    signs = np.where(unit(v) @ ann.rotation(dim, 3).T >= 0, 1, -1) / np.sqrt(dim)
+    assert np.abs(guess - unit(q) @ ann.rotation(dim, 3).T @ signs.T / along).max() < 0.08
+    assert (np.abs(guess - unit(q) @ unit(v).T) <= error).mean() > 0.94
+
+
+def test_an_id_with_several_vectors_is_found_once(spark):
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [0.9, 0.1, 0.0]), (1, [0.8, 0.1, 0.0]), (1, [0.99, 0.0, 0.0]), (2, [0.1, 1.0, 0.0]), (3, [0.0, 0.0, 1.0])]
+    for block in (2, 100):
+        found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, block=block).orderBy("rank").collect()
+        assert [(r["rank"], r["vec_id"]) for r in found] == [(1, 1), (2, 2), (3, 3)] and found[0]["score"] == 1.0
+
+
 def test_packing(documents, nothing):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_words(path, [t for _, t in ROWS])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for _, t in ROWS]
+    odd = ["don't I've 'S x's", "<|endoftext|> a<|startoftext|>b", "Å ÅNGSTRÖM é́", "12ab34--..'' '", "x<|y", "a\0b", "`~^_|{}[]\\", "\u212a\u0130"]
+    texts = [*(t for _, t in ROWS), *odd]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        ids, ends = packing.encode_texts(public_tokenizers.path(name), pa.array(texts, pa.string()), 7)
+        other = Tokenizer.from_file(public_tokenizers.path(name))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*other.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
     rows = packing.packed_documents(documents, path, 256).collect()
     bins, ids = defaultdict(list), defaultdict(int)
     for r in rows:
@@ -253,20 +336,16 @@ def test_packing(documents, nothing):
     assert got(packing.packed_documents(nothing, path)) == []
 
 
-def test_best_two_fit_uses_every_piece_and_few_bins():
+def test_best_two_fit_against_brute_force():
+    """The plan by counts makes the bins that packing piece by piece makes."""
     rng = random.Random(2)
-    for _ in range(20):
-        counts = defaultdict(int)
-        for _ in range(rng.randint(1, 300)):
-            counts[rng.randint(1, 64)] += 1
-        plan = packing.best_two_fit(dict(counts), 64)
-        used = defaultdict(int)
-        for made, times in plan:
-            assert sum(made) <= 64
-            for m in made:
-                used[m] += times
-        assert used == counts
-        assert sum(t for _, t in plan) <= -(-sum(s * n for s, n in counts.items()) // 64) * 1.25 + 1
+    for _ in range(60):
+        capacity = rng.choice([10, 64, 100])
+        sizes = [rng.choice([rng.randint(1, capacity), rng.randint(1, 9), capacity // 3]) for _ in range(rng.randint(1, 300))]
+        plan = packing.best_two_fit(dict(Counter(sizes)), capacity)
+        made = [sorted(m, reverse=True) for m, times in plan for _ in range(times)]
+        assert sorted(made) == sorted(brute.best_two_fit(sizes, capacity))
+        assert Counter(x for m in made for x in m) == Counter(sizes) and all(sum(m) <= capacity for m in made)
 
 
 def test_two_pieces_take_the_place_of_one():
@@ -275,27 +354,53 @@ def test_two_pieces_take_the_place_of_one():
 
 
 def least_capacity(sizes, shards):
-    low = max(sizes, default=0)
-    while True:
+    """The least of all sums of neighbours that is enough."""
+    ends = [0]
+    for x in sizes:
+        ends.append(ends[-1] + x)
+    need = max([0, -(-ends[-1] // shards), *sizes])
+    for low in sorted({b - a for i, a in enumerate(ends) for b in ends[i:] if need <= b - a <= need + max([0, *sizes])}):
         n, at = 1, 0
-        for s in sizes:
-            if at + s > low:
+        for x in sizes:
+            if at + x > low:
                 n, at = n + 1, 0
-            at += s
+            at += x
         if n <= shards:
             return low
-        low += 1
 
 
 def test_cuts_are_least():
     rng = random.Random(1)
-    for _ in range(200):
-        sizes = [rng.randint(0, 30) for _ in range(rng.randint(0, 25))]
+    for _ in range(300):
+        sizes = [rng.choice([rng.randint(1, 30), 2, 300 if rng.random() < 0.05 else 3]) for _ in range(rng.randint(0, 25))]
         k = rng.randint(1, 9)
         capacity, at = sharding.cuts(sizes, k)
         assert capacity == least_capacity(sizes, k) and len(at) == k - 1
         ends = [0, *at, len(sizes)]
-        assert all(sum(sizes[a:b]) <= capacity for a, b in zip(ends, ends[1:], strict=False))
+        parts = [sum(sizes[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        assert max(parts) <= capacity and (0 in parts) == (len(sizes) < k)
+
+
+@pytest.mark.parametrize(("giant", "coarse", "finer", "at_once"), [(0, 2, 3, 1), (400, 4, 2, 3), (400, 16, 8, 256)])
+def test_boundaries_of_a_table_are_least(spark, giant, coarse, finer, at_once):
+    """Found by stretches, but as of all groups; with a text that many rows have."""
+    rng = random.Random(giant)
+    groups = {rng.randrange(2**63): rng.randint(1, 900) for _ in range(1500)} | ({rng.randrange(2**63): giant * 5000} if giant else {})
+    rows = [(o, n) for o, n in groups.items()] + [(o, 1) for o in list(groups)[:50]]
+    found = sharding.boundaries(spark.createDataFrame(rows, "__order long, size long"), 8, coarse, finer, at_once)
+    whole = defaultdict(int)
+    for o, n in rows:
+        whole[o] += n
+    parts = [0] * 8
+    for o, n in whole.items():
+        parts[sum(o >= b for b in found)] += n
+    assert len(found) == 7 and max(parts) == least_capacity([whole[o] for o in sorted(whole)], 8) and min(parts) > 0
+
+
+def test_no_shard_stays_empty_beside_a_giant_group(spark):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, F.repeat(F.lit("y"), 5000)).otherwise(F.concat(F.repeat(F.lit("x"), (F.col("id") % 200).cast("int")), F.col("id").cast("string"))).alias("text"))
+    sums = sorted(r["n"] for r in sharding.shard_documents(d).groupBy("shard").agg(F.sum("size").alias("n")).collect())
+    assert len(sums) == 8 and sums[-1] == 400 * 5001
 
 
 def test_shards(spark, documents, nothing):
@@ -313,30 +418,81 @@ def test_shards(spark, documents, nothing):
     assert len(sums) == 8 and max(sums) - min(sums) < 8 * 60
 
 
+DATE = "2026-01-01T00:00:00Z"
+
+
 def test_warc(spark):
     html = '<html lang="de"><head><title>A &amp; B</title></head><body><script>var t="</p>";</script><p>Eins<br>zwei</p><a href="/x?a=1&amp;b">drei</a><!-- no --></body></html>'
     pages = spark.createDataFrame([(1, "http://a/x", html), (2, None, None), (2, None, None), (3, "u", "")], "page_id long, url string, html string").withColumn("record_id", F.lit("clash"))
-    out = [r.asDict() for r in warc.derivatives(warc.responses(pages, "2026-01-01T00:00:00Z")).collect()]
+    out = [r.asDict() for r in warc.derivatives(warc.archived(pages, DATE)).collect()]
     assert len(out) == 8
     one = {r["record_type"]: r for r in out if r["key"] == 1}
     (head, block), (source, about) = (next(warc.parse(bytes(one[k]["record"]))) for k in ("conversion", "metadata"))
-    assert block.decode() == "Eins\nzwei\ndrei" and head["warc-refers-to"] == source["warc-refers-to"] == one["metadata"]["refers_to"] and head["warc-target-uri"] == "http://a/x"
-    assert head["warc-payload-digest"] == warc.digest(html.encode()) and head["warc-block-digest"] == warc.digest(block) and b"title: A & B" in about and b"outlink: /x?a=1&b" in about
-    assert json.loads(about.decode().split("source-headers: ")[1].split("\r\n")[0])["warc-type"] == "response"
-    assert warc.derivatives(warc.responses(pages.where("false"), "x")).count() == 0
+    head, source = dict(head), dict(source)
+    assert block.decode() == "Eins\nzwei\ndrei" and head["WARC-Refers-To"] == source["WARC-Refers-To"] == one["metadata"]["refers_to"] and head["WARC-Target-URI"] == "http://a/x"
+    assert head["WARC-Payload-Digest"] == warc.digest(html.encode()) and head["WARC-Block-Digest"] == warc.digest(block) and b"title: A & B" in about and b"outlink: /x?a=1&b" in about
+    assert ["WARC-Type", "response"] in json.loads(about.decode().split("source-headers: ")[1].split("\r\n")[0])
+    assert warc.derivatives(warc.archived(pages.where("false"), "x")).count() == 0
+    assert warc.derivatives(spark.createDataFrame([(1, None), (2, b""), (3, b"WARC/1.0\r\n")], "key long, content binary")).count() == 0
+
+
+def test_warc_of_all_pages_against_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = warc.derivatives(warc.archived(pages, DATE)).collect()
+    expected = [x for r in pages.collect() for x in brute.warc(r["page_id"], r["url"], r["html"], DATE)]
+    assert want([(*r[:-1], bytes(r["record"])) for r in rows]) == want(expected)
+
+
+def record(block, *more, **heads):
+    named = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), *more, ("Content-Length", str(len(block)))]
+    return warc.serialise([(n, heads.get(n.replace("-", "_"), v)) for n, v in named if heads.get(n.replace("-", "_"), v) is not None], block)
 
 
 def test_warc_files(spark, tmp_path):
     import gzip
 
-    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>hi</p>"
-    record = warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "u"), ("Content-Length", str(len(http)))], http)
-    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record) + gzip.compress(record)[:20] if False else gzip.compress(record + record + record[:-30]))
-    out = warc.derivatives(warc.read_responses(spark, str(tmp_path)))
+    whole = record(b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>hi</p>", ("WARC-Target-URI", "u"))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(whole) + gzip.compress(whole) + gzip.compress(whole)[:20])
+    (tmp_path / "b.warc").write_bytes(whole[:-30])
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(whole)[:40])
+    out = warc.derivatives(warc.read(spark, str(tmp_path)))
     assert sorted(r["record_type"] for r in out.collect()) == ["conversion"] * 2 + ["metadata"] * 2
     assert bytes(out.where("record_type = 'conversion'").first()["record"]).endswith(b"\r\n\r\nhi\r\n\r\n")
 
 
+def test_damaged_and_odd_warc_records():
+    good = record(b"<p>a")
+    for odd in (record(b"x", Content_Length="abc"), record(b"x", Content_Length=""), record(b"x", Content_Length="-5"), b"WARC/1.0 rubbish\r\n\r\n", b"rubbish"):
+        assert [b for _, b in warc.parse(odd + good)] == [b"<p>a"]
+    assert list(warc.parse(record(b"x", Content_Length="99999"))) == [] and list(warc.parse(b"")) == []
+    heads, _ = next(warc.parse(record(b"", ("X-A", "1"), ("x-a", "2"))))
+    assert [v for n, v in heads if n.lower() == "x-a"] == ["1", "2"]
+    nameless = warc.derive([("WARC-Target-URI", "u")], b"hi")
+    assert [r["refers_to"] for r in nameless] == [None, None] and b"Refers-To" not in nameless[0]["record"]
+    assert len({r["record_id"] for r in nameless}) == 2 and nameless == warc.derive([("WARC-Target-URI", "u")], b"hi")
+
+
+def test_http_headers_say_how_a_payload_is_read():
+    import gzip
+    import zlib as z
+
+    text = "größe"
+    for head, body in (("Content-Type: text/html; charset=ISO-8859-1", text.encode("latin-1")), ("Content-Encoding: gzip", gzip.compress(text.encode())), ("content-encoding: deflate", z.compress(text.encode())), ("Content-Encoding: gzip", gzip.compress(text.encode() * 1)), ("Transfer-Encoding: chunked", b"3\r\ngr\xc3\r\n4;x=y\r\n\xb6\xc3\x9fe\r\n0\r\n\r\n"), ("Content-Type: text/html; charset=no-such", text.encode())):
+        headers, payload = warc.http(b"HTTP/1.1 200 OK\r\n" + head.encode() + b"\r\n\r\n" + body)
+        assert warc.page_of(headers, payload) == text
+    assert warc.page_of([("Content-Encoding", "gzip")], b"plain") == "plain" and warc.page_of([("Transfer-Encoding", "chunked")], b"zz\r\nplain") == "zz\r\nplain"
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    for part in ("<title>", "<head>", "<!--", "<script>", "<a<", "<", "&#", "<a href=", "<svg><title>", "</title", "<p>x", "&#9" + "9" * 50):
+        began = time.process_time()
+        warc.read_page(part * 50_000)
+        assert time.process_time() - began < 5, part
+    assert warc.plain_text("&#" + "9" * 5000 + ";x &#x41;&amp;") == "\ufffdx A&"
+
+
 def test_tool_calls(spark):
     schema = {"f": {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 0}}}}
     calls = [(1, 5, "c", "f", '{"a": 2.0}', "b"), (1, 3, "b", "f", '{"a": -1, "z": 1}', "a"), (1, 4, "a", "g", "{}", None), (1, 4, "a", "g", "{}", None), (1, 9, "x", "f", "{bad", "y"), (1, 9, "y", "f", None, "x"), (2, 0, "a", "f", '{"a":1}', "gone"), (None, 1, "n", "f", "{}", None)]
@@ -355,7 +511,39 @@ def test_tool_calls(spark):
 def test_tool_calls_in_messages(spark):
     m = [(1, 0, '{"tool_calls": [{"id": "a", "name": "f", "arguments": {"x": 1}}]}'), (1, 1, '{"tool_call_id": "a", "content": {"y": 2}}'), (1, 2, "prose"), (1, 3, "{no"), (1, 4, None)]
     calls, results = toolcalls.extract(spark.createDataFrame(m, "conv_id long, turn long, text string"))
-    assert got(calls.select("call_id", "name", "arguments")) == [("a", "f", '{"x": 1}')] and got(results.select("call_id", "content")) == [("a", '{"y": 2}')]
+    assert got(calls.select("call_id", "name", "arguments")) == [("a", "f", '{"x":1}')] and got(results.select("call_id", "content")) == [("a", '{"y":2}')]
+
+
+def test_messages_that_are_odd(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    texts = ['{"tool_calls": 5}', '{"tool_calls": [5, {"id": null}, {"name": "f"}, {"id": 7, "name": 8, "arguments": [1.50], "parent": {"b": 1, "a": 2}}]}', '{"tool_calls": [{"id": "d", "arguments": ' + deep + "}]}", '{"tool_calls": [{"id": "s", "arguments": {"a": "\\ud83d"}}]}', '{"tool_calls": [{"id": "n", "arguments": NaN}]}', '{"tool_calls": [{"id": "e", "arguments": 1e999}]}', "{", "[]", "{}", '{"tool_call_id": 7, "content": null}', " " * 10]
+    calls, results = toolcalls.extract(spark.createDataFrame(list(enumerate(texts)), "turn long, text string").withColumn("conv_id", F.lit(None).cast("long")))
+    assert got(calls.select("call_id", "name", "arguments", "parent")) == [("7", "8", "[1.5]", '{"a":2,"b":1}')]
+    assert got(results.select("call_id", "content")) == [("7", None)]
+
+
+def test_calls_with_odd_arguments(spark):
+    schema = {"f": {"type": "object", "properties": {"a": {"enum": [True]}, "b": {"type": "date"}}}}
+    given = {"deep": "[" * 5000, "half": '{"a":"\\ud83d"}', "one": '{"a":1}', "true": '{"a":true}', "date": '{"b":"x"}', "big": "1" * 5000, "nan": '{"a":NaN}'}
+    calls = spark.createDataFrame([(1, None, k, "f", v, None) for k, v in given.items()] + [(1, 3, "one", "f", '{"a":true}', None)], "conv_id long, turn long, call_id string, name string, arguments string, parent string")
+    out = {r["call_id"]: r for r in toolcalls.link(calls, spark.createDataFrame([], "conv_id long, turn long, call_id string, content string"), schema).collect()}
+    assert [out[k]["problems"] for k in ("deep", "half", "big", "nan")] == ["$: no JSON"] * 4
+    assert out["one"]["valid"] and out["one"]["turn"] == 3 and out["true"]["valid"] and out["date"]["problems"] == "$.b: not date"
+    assert toolcalls.violations(1, {"enum": [True]}) == ["$: not one of the values"]
+
+
+def test_canonical_json():
+    for value, text in ((333333333.33333329, "333333333.3333333"), (1e30, "1e+30"), (4.50, "4.5"), (2e-3, "0.002"), (1e-27, "1e-27"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (-0.0, "0"), (1e-6, "0.000001"), (1e-7, "1e-7"), (10**20, "100000000000000000000"), (5e-324, "5e-324"), (1.7976931348623157e308, "1.7976931348623157e+308"), (-12.0, "-12"), (123456.789, "123456.789"), (295147905179352830000, "295147905179352830000")):
+        assert toolcalls.canonical(value) == text
+    keys = {"\u20ac": 1, "\r": 2, "\ufb33": 3, "1": 4, "\U0001f600": 5, "\u0080": 6, "\u00f6": 7}
+    assert list(json.loads(toolcalls.canonical(keys))) == ["\r", "1", "\u0080", "\u00f6", "\u20ac", "\U0001f600", "\ufb33"]
+    assert toolcalls.canonical({"b": [None, True, "\u20ac$\x0f\nA'B\"\\\\\"/"]}) == '{"b":[null,true,"€$\\u000f\\nA\'B\\"\\\\\\\\\\"/"]}'
+
+
+def test_real_calls_in_chats_are_linked(spark):
+    turns = [(1, 0, "system", "x"), (1, 1, "user", '{"tool_calls": [{"id": "z", "name": "none", "arguments": {}}]}'), (1, 2, "assistant", "done"), (1, 3, "tool", '{"tool_call_id": "z", "content": "r"}')]
+    out = {r["call_id"]: r for r in toolcalls.link(*toolcalls.extract(toolcalls.chat_messages(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))), toolcalls.CHAT_TOOLS).collect()}
+    assert set(out) == {"1", "z"} and out["z"]["status"] == "linked" and out["z"]["problems"] == "$: unknown tool" and out["1"]["valid"]
 
 
 def test_long_chains_of_calls(spark):
