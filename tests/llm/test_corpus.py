@@ -5,6 +5,7 @@ import random
 import sys
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from sextant.llm import ann, bpe, bytebpe, neardup, packing, quality, queries, sharding, simhash, suffixdedup, tokencount, toolcalls, warc  # noqa: E402
+from sextant.llm import ann, bpe, bytebpe, common, neardup, packing, quality, queries, sharding, simhash, suffixdedup, tokencount, toolcalls, warc  # noqa: E402
 from sextant.llm.components import components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -90,6 +91,17 @@ def test_simhash_links_in_small_tiles(spark):
     assert brute.groups(len(values), lambda i, j: frozenset((values[i], values[j])) in mine) == same and all(at[a] != at[b] for a, b in links)
 
 
+def test_every_pair_of_tiles_meets_once(spark):
+    """Also of a class with many tiles, whose pairs are dealt over several keys."""
+    rows = [(int(c), 1000 * c + i) for c, n in ((3, 120), (4, 5), (6, 40)) for i in range(n)]
+    made = common.tiled(spark.createDataFrame(rows, "class long, v long"), 4, F.xxhash64("v"))
+    pairs = common.tile_pairs(made, [0, 1])
+    met = Counter(tuple(sorted((x["v"], y["v"]))) for r in pairs.collect() for x in r["mine"] for y in r["theirs"] if (r["by"], r["tile"]) != (0, r["tile2"]))
+    met += Counter(p for r in pairs.where("by = 0 and tile = tile2").collect() for p in combinations(sorted(x["v"] for x in r["mine"]), 2))
+    assert met == Counter((x, y) for (c, x), (d, y) in combinations(sorted(rows, key=lambda r: r[1]), 2) if d - c in (0, 1))
+    assert pairs.select("class", F.floor(F.col("tile2") / common.GROUP)).distinct().count() > 5
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(e, "a", "b").collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
