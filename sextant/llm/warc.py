@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
-import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,14 +17,18 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import batches_task
 
+Headers = list[tuple[str, str]]
+
 #: Derived record ids are name-based, so that a rebuild gives the same records.
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<head\b[^>]*>.*?</head\s*>")
-_BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>")
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([\w-]+)""")
-_HREF = re.compile(r"""(?is)<a\b[^>]*\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_HIDDEN = {"script", "style", "noscript", "template", "svg"}
+_BREAKS = set(
+    "address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split()
+)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b")
+_LANG = re.compile(r"""(?is)\slang\s*=\s*["']?([\w-]+)""")
+_HREF = re.compile(r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_LONG_REFERENCE = re.compile(r"(?i)&#(?:x[0-9a-f]{9,}|[0-9]{9,});?")  # no character has such a number
 
 SCHEMA = "key long, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, block_digest string, content_length long, record binary"
 
@@ -38,103 +41,231 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, ' '.join(parts))}>"
 
 
+def unescaped(text: str) -> str:
+    return html.unescape(_LONG_REFERENCE.sub("\ufffd", text))
+
+
+def read_page(page: str) -> tuple[str, str, list[str], str]:
+    """Title, language, link targets and visible text of HTML (a line per block, white space runs as one space, entities resolved).
+
+    One pass, in time linear in the page: where an element ends is looked up once for all that are
+    opened before. Unclosed hidden elements and comments hide the rest; an unclosed head hides nothing.
+    """
+    closing: dict[str, tuple[int, int]] = {}
+
+    def closed(name: str, at: int) -> tuple[int, int]:
+        """Where the next end tag of a name begins and ends; -1 if there is none."""
+        if name not in closing or 0 <= closing[name][0] < at:
+            found = re.compile(rf"(?i)</{name}\s*>").search(page, at)
+            closing[name] = found.span() if found else (-1, -1)
+        return closing[name]
+
+    out: list[str] = []
+    title, lang, links = "", "", []
+    titled, at, shown = False, 0, 0  # shown: text before it is not
+    while (tag := page.find("<", at)) >= 0 and tag + 1 < len(page):
+        if page.startswith("<!--", tag):
+            end = page.find("-->", tag + 4)
+            out += [page[max(at, shown) : tag].replace("\n", " "), " "]
+            at = len(page) if end < 0 else end + 3
+            continue
+        if not (page[tag + 1] in "!/?" or page[tag + 1].isascii() and page[tag + 1].isalpha()):
+            out.append(page[max(at, shown) : tag + 1].replace("\n", " "))
+            at = tag + 1
+            continue
+        end = page.find(">", tag)
+        if end < 0:
+            break
+        out.append(page[max(at, shown) : tag].replace("\n", " "))
+        at = end + 1
+        name = _NAME.match(page, tag, at)
+        name = name[1].lower() if name else ""
+        if page[tag + 1] != "/":
+            if name in _HIDDEN:
+                _, stop = closed(name, at)
+                out.append(" ")
+                at = len(page) if stop < 0 else stop
+            elif name == "head":
+                shown = max(shown, closed(name, at)[1])
+                out.append(" ")
+            elif name == "title" and not titled and (stop := closed(name, at)[0]) >= 0:
+                title, titled = " ".join(unescaped(page[at:stop]).split()), True
+            elif name == "html" and not lang and (found := _LANG.search(page, tag, at)):
+                lang = found[1]
+            elif name == "a" and (found := _HREF.search(page, tag, at)) and (to := next((x for x in found.groups() if x), "")):
+                links.append(unescaped(to))
+        if name in _BREAKS and tag >= shown:
+            out.append("\n")
+    out.append(page[max(at, shown) :].replace("\n", " "))
+    lines = (" ".join(x.split()) for x in unescaped("".join(out)).split("\n"))
+    return title, lang, links, "\n".join(x for x in lines if x)
+
+
 def plain_text(page: str) -> str:
-    """Visible text of HTML: a line per block, white space runs as one space, entities resolved."""
-    page = re.sub(r"\s+", " ", _HIDDEN.sub(" ", page))
-    page = _TAG.sub("", _BREAK.sub("\n", page))
-    lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
-    return "\n".join(x for x in lines if x)
+    """Visible text of HTML."""
+    return read_page(page)[3]
 
 
-def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
+def serialise(headers: Headers, block: bytes) -> bytes:
     """A WARC/1.1 record; line breaks in header values become spaces."""
     head = "".join(f"{name}: {re.sub(r'[\r\n]+', ' ', value)}\r\n" for name, value in headers)
-    return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+    return f"WARC/1.1\r\n{head}\r\n".encode("utf-8", "replace") + block + b"\r\n\r\n"
+
+
+def _headers(lines: list[str]) -> Headers:
+    """Names and values in their order, repeated ones each; a line that begins with a space goes on with the one before."""
+    out: Headers = []
+    for x in lines:
+        if x[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {x.strip()}")
+        elif ":" in x:
+            name, _, value = x.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def value_of(headers: Headers, name: str, default: str = "") -> str:
+    """The first value of a header, whatever its case."""
+    return next((v for n, v in headers if n.lower() == name), default)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record; gzip members are opened. A cut-off record ends the file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+def opened(data: bytes) -> bytes:
+    """The content of a file of gzip members, up to where one is cut off or damaged; other data as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, rest = [], data
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(rest) + member.flush())
+        except zlib.error:
+            break
+        rest = member.unused_data
+    return b"".join(out)
+
+
+def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """Headers and block of each record; gzip members are opened. A record that is cut off ends the file.
+
+    A record without a length that is a number is left out; the next one is looked for behind its headers.
+    """
+    data = opened(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("content-length", "0") or 0)
-        if end + 4 + size > len(data):
+        headers = _headers(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+        size = value_of(headers, "content-length")
+        at = end + 4
+        if not (size.isascii() and size.isdigit() and len(size) < 19):
+            continue
+        if at + int(size) > len(data):
             return
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        yield headers, data[at : at + int(size)]
+        at += int(size)
+
+
+def http(block: bytes) -> tuple[Headers, bytes]:
+    """Headers and payload of an HTTP response; a block that is none is a payload without headers."""
+    if block[:5] != b"HTTP/":
+        return [], block
+    head, _, payload = block.partition(b"\r\n\r\n")
+    return _headers(head.decode("latin-1").split("\r\n")[1:]), payload
+
 
+def _unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(data[at:end].split(b";")[0].strip() or b"0", 16)
+        except ValueError:
+            break
+        if size <= 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) if out else data
 
-def derive(source: dict[str, str], payload: bytes) -> list[dict]:
-    """The metadata and the conversion record of a response, from its headers and payload.
+
+def page_of(headers: Headers, payload: bytes) -> str:
+    """The text of a payload, by the HTTP headers that say how it is sent, packed and encoded; what cannot be read so is read as it is."""
+    if "chunked" in value_of(headers, "transfer-encoding").lower():
+        payload = _unchunked(payload)
+    packed = value_of(headers, "content-encoding").lower()
+    for name, bits in (("gzip", (31,)), ("deflate", (15, -15))):
+        for b in bits if name in packed else ():
+            try:
+                payload = zlib.decompressobj(b).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    charset = re.search(r"""(?i)charset\s*=\s*["']?([\w.:-]+)""", value_of(headers, "content-type"))
+    try:
+        return payload.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
+def derive(source: Headers, payload: bytes, sent: Headers = ()) -> list[dict]:
+    """The metadata and the conversion record of a response, from its headers, its payload and its HTTP headers.
 
     Both refer to the response, keep its target and date, and give the digest of the payload they
-    come from; the other source headers go into the metadata block.
+    come from; all source headers, in order and with repeats, go into the metadata block. A response without an
+    id is referred to by none, and its records' ids come from its target and payload.
     """
-    page = payload.decode("utf-8", "replace")
-    refers, uri, date = source["warc-record-id"], source.get("warc-target-uri", ""), source.get("warc-date", "")
-    whole = source.get("warc-payload-digest") or digest(payload)
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = [html.unescape(next(x for x in m if x)) for m in _HREF.findall(page) if any(m)]
-    fields = [("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("languages", lang[1] if lang else ""), ("source-headers", json.dumps(source, sort_keys=True, ensure_ascii=False))]
+    refers, uri, date = (value_of(source, n) for n in ("warc-record-id", "warc-target-uri", "warc-date"))
+    whole = value_of(source, "warc-payload-digest") or digest(payload)
+    title, lang, links, text = read_page(page_of(list(sent), payload))
+    listed = lambda h: json.dumps([list(x) for x in h], ensure_ascii=False)
+    fields = [("title", title), ("languages", lang), ("source-headers", listed(source)), ("source-http-headers", listed(sent) if sent else "")]
     fields += [("outlink", x) for x in links]
-    about = "".join(f"{n}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for n, v in fields if v).encode()
+    about = "".join(f"{n}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for n, v in fields if v).encode("utf-8", "replace")
     out = []
-    for kind, block, mime in (("metadata", about, "application/warc-fields"), ("conversion", plain_text(page).encode(), "text/plain; charset=utf-8")):
-        name = record_id(refers, kind)
+    for kind, block, mime in (("metadata", about, "application/warc-fields"), ("conversion", text.encode("utf-8", "replace"), "text/plain; charset=utf-8")):
+        name = record_id(refers or f"{uri} {whole}", kind)
         headers = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Refers-To", refers), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Payload-Digest", whole), ("WARC-Block-Digest", digest(block)), ("Content-Type", mime), ("Content-Length", str(len(block)))]
-        out.append({"record_type": kind, "record_id": name, "refers_to": refers, "target_uri": uri, "payload_digest": whole, "block_digest": digest(block), "content_length": len(block), "record": serialise([h for h in headers if h[1]], block)})
+        out.append({"record_type": kind, "record_id": name, "refers_to": refers or None, "target_uri": uri, "payload_digest": whole, "block_digest": digest(block), "content_length": len(block), "record": serialise([h for h in headers if h[1]], block)})
     return out
 
 
 def _derived(batches):
     schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
+        for key, content in zip(batch.column("key").to_pylist(), batch.column("content"), strict=True):
             rows = []
-            for r in batch.slice(at, 256).to_pylist():
-                source = {n: v for n, v in r["headers"] if v is not None}
-                rows += [{"key": r["key"], **x} for x in derive(source, r["payload"])]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            for headers, block in parse(content.as_py() or b""):
+                if value_of(headers, "warc-type").lower() == "response":
+                    sent, payload = http(block)
+                    rows += [{"key": key, **x} for x in derive(headers, payload, sent)]
+                if len(rows) >= 64:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def responses(pages: DataFrame, date: str, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """Pages as responses: key, headers (entries of name and value), payload. Null urls and bodies count as empty."""
+def archived(pages: DataFrame, date: str, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+    """Pages as WARC response records: key and content (binary). Null urls and bodies count as empty."""
     uri, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (url, body))
     name = F.sha1(F.concat_ws("\n", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), uri, text))
     urn = F.concat(F.lit("<urn:uuid:"), *(p for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for p in ([F.lit("-")] if i else []) + [F.substring(name, a, n)]), F.lit(">"))
-    entries = {"warc-type": F.lit("response"), "warc-record-id": urn, "warc-target-uri": uri, "warc-date": F.lit(date), "content-type": F.lit("text/html; charset=utf-8")}
-    headers = F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in entries.items()))
-    return pages.select(F.col(f"`{key}`").cast("long").alias("key"), headers.alias("headers"), F.encode(text, "UTF-8").alias("payload"))
+    sent = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+    lines = ["WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: ", urn, "\r\nWARC-Target-URI: ", F.regexp_replace(uri, "[\r\n]+", " "), f"\r\nWARC-Date: {date}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: ", (F.octet_length(text) + len(sent)).cast("string"), "\r\n\r\n", sent, text, "\r\n\r\n"]
+    record = F.encode(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines)), "UTF-8")
+    return pages.select(F.col(f"`{key}`").cast("long").alias("key"), record.alias("content"))
 
 
-def derivatives(responses: DataFrame) -> DataFrame:
-    """Two rows per response (key, headers with warc-record-id, payload): its metadata and its conversion record.
+def derivatives(archives: DataFrame) -> DataFrame:
+    """Two rows for each response record of the archives (key, content: one record or more, or a whole file): its metadata and its conversion.
 
     Ids are name-based on the response's id, so equal responses give equal records, and repeated rows
-    are kept. Empty payloads give empty conversion blocks. Responses of any length are converted whole.
+    are kept. Empty payloads give empty conversion blocks; null contents, records of other types and damaged records
+    give none. Responses of any length are converted whole; a content is held by one task. Other columns are left out.
     """
-    flat = F.transform("headers", lambda h: F.array(h["name"], h["value"]))
-    return responses.select("key", flat.alias("headers"), F.coalesce("payload", F.lit(b"")).alias("payload")).mapInArrow(batches_task(_derived), SCHEMA)
-
-
-def _read(batches):
-    for batch in batches:
-        for content in batch.column("content").to_pylist():
-            rows = []
-            for headers, block in parse(content):
-                if headers.get("warc-type") == "response" and headers.get("warc-record-id"):
-                    payload = block.partition(b"\r\n\r\n")[2] if block[:5] == b"HTTP/" else block
-                    rows.append({"key": None, "headers": [{"name": n, "value": v} for n, v in headers.items()], "payload": payload})
-            entry = pa.struct([("name", pa.string()), ("value", pa.string())])
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("headers", pa.list_(entry)), ("payload", pa.binary())]))
+    return archives.select("key", "content").mapInArrow(batches_task(_derived), SCHEMA)
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Responses of WARC files, which may be gzipped, a task per file."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(batches_task(_read), "key long, headers array<struct<name: string, value: string>>, payload binary")
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """WARC files, which may be gzipped, as archives: a row per file of up to 2 GB, as Spark reads them."""
+    return spark.read.format("binaryFile").load(path).select(F.lit(None).cast("long").alias("key"), "content")
