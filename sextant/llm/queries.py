@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), date="2026-01-01T00:00:00Z"))
+    made = warc.derivatives(warc.archived(table(spark, sf_dir, "pages"), date="2026-01-01T00:00:00Z"))
     return made.withColumnRenamed("key", "page_id").withColumn("record", F.decode("record", "UTF-8"))
 
 
@@ -23,7 +23,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.link(*toolcalls.chat_calls(table(spark, sf_dir, "conversations")), toolcalls.CHAT_TOOLS)
+    return toolcalls.link(*toolcalls.extract(toolcalls.chat_messages(table(spark, sf_dir, "conversations"))), toolcalls.CHAT_TOOLS)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

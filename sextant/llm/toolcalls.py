@@ -14,11 +14,41 @@ from sextant.llm.common import batches_task, partitions, written
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+#: Levels of a JSON value that are read; deeper ones are no JSON here.
+DEPTH = 100
+
+
+class NotJson(ValueError):
+    """A text that is no JSON value which can be written again in canonical form."""
+
+
+def _refused(name: str):
+    raise NotJson(name)
+
+
+def loads(text: str):
+    """A JSON value: no NaN or infinity, no lone surrogates, not deeper than DEPTH; else NotJson."""
+    try:
+        value = json.loads(text, parse_constant=_refused)
+    except (ValueError, RecursionError) as e:
+        raise NotJson(str(e)) from None
+    level = [value]
+    for _ in range(DEPTH):
+        level = [y for x in level if isinstance(x, dict | list) for y in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            break
+    else:
+        raise NotJson("too deep")
+    canonical(value)
+    return value
+
+
 def _is(value, kind: str) -> bool:
+    """Whether a value is of a schema type; of a type that is unknown, none is."""
     if kind in ("number", "integer"):
         whole = isinstance(value, int) or kind == "number" or (isinstance(value, float) and value.is_integer())
         return isinstance(value, int | float) and not isinstance(value, bool) and whole
-    return isinstance(value, _TYPES[kind])
+    return kind in _TYPES and isinstance(value, _TYPES[kind])
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -26,9 +56,9 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(value, k) for k in kinds):
-        return [f"{at}: not {' or '.join(kinds)}"]
+        return [f"{at}: not {' or '.join(map(str, kinds))}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         found.append(f"{at}: not one of the values")
     if isinstance(value, str):
         found += [f"{at}: {what}" for what, bad in (("too short", len(value) < schema.get("minLength", 0)), ("too long", len(value) > schema.get("maxLength", math.inf))) if bad]
@@ -47,48 +77,92 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
-def _plain(value):
-    if isinstance(value, float):
-        if not math.isfinite(value):
-            raise ValueError("not a JSON number")
-        return int(value) if value.is_integer() and abs(value) < 2**53 else value
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    return [_plain(v) for v in value] if isinstance(value, list) else value
+def _number(value: int | float) -> str:
+    """A number as RFC 8785 has it: the shortest digits of the double, with an exponent below 1e-6 and from 1e21."""
+    try:
+        x = float(value)
+    except OverflowError:
+        x = math.inf
+    if not math.isfinite(x):
+        raise NotJson("a number without a double")
+    if x == 0:
+        return "0"
+    digits, _, exponent = f"{abs(x)!r}".partition("e")
+    whole, _, part = digits.partition(".")
+    part = "" if part == "0" else part
+    point = len(whole) + int(exponent or 0)  # digits before the decimal point
+    digits = whole + part
+    point -= len(digits) - len(digits.lstrip("0"))
+    digits = digits.strip("0")
+    if len(digits) <= point <= 21:
+        out = digits + "0" * (point - len(digits))
+    elif 0 < point <= 21:
+        out = f"{digits[:point]}.{digits[point:]}"
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + digits
+    else:
+        out = digits[0] + ("." + digits[1:] if len(digits) > 1 else "") + f"e{point - 1:+d}"
+    return "-" * (x < 0) + out
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, whole numbers without a fraction and characters as they are."""
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON as RFC 8785 has it: keys in the order of their UTF-16 units, no spaces, numbers as doubles, characters as they are."""
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        return _number(value)
+    out = json.dumps(value, ensure_ascii=False)
+    if not out.isascii() and any("\ud800" <= c <= "\udfff" for c in out):
+        raise NotJson("half a surrogate pair")
+    return out
+
+
+def _text(value) -> str | None:
+    """A JSON value as text: strings as they are, null as none, others in canonical form."""
+    return value if isinstance(value, str | None) else canonical(value)
+
+
+def _said(text: str | None) -> dict:
+    """The object that a message holds as JSON; none for prose and for JSON that cannot be read."""
+    try:
+        said = loads(text) if text and text.lstrip()[:1] == "{" else None
+    except NotJson:
+        return {}
+    return said if isinstance(said, dict) else {}
 
 
 def _extracted(batches):
     fields = [("conv_id", pa.int64()), ("turn", pa.int64()), ("call_id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("parent", pa.string()), ("is_result", pa.bool_()), ("content", pa.string())]
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            text = (r["text"] or "").strip()
-            try:
-                said = json.loads(text) if text[:1] == "{" else None
-            except ValueError:
-                said = None
-            if not isinstance(said, dict):
-                continue
-            base = {"conv_id": r["conv_id"], "turn": r["turn"]}
-            for c in said.get("tool_calls") or []:
-                if isinstance(c, dict) and c.get("id") is not None:
-                    given = c.get("arguments")
-                    rows.append(base | {"call_id": str(c["id"]), "name": c.get("name"), "arguments": given if isinstance(given, str) else json.dumps(given), "parent": None if c.get("parent") is None else str(c["parent"]), "is_result": False})
-            if said.get("tool_call_id") is not None:
-                what = said.get("content")
-                rows.append(base | {"call_id": str(said["tool_call_id"]), "is_result": True, "content": what if isinstance(what, str) else json.dumps(what)})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
+        for at in range(0, batch.num_rows, 1024):
+            rows = []
+            for r in batch.slice(at, 1024).to_pylist():
+                said = _said(r["text"])
+                base = {"conv_id": r["conv_id"], "turn": r["turn"]}
+                calls = said.get("tool_calls")
+                for c in calls if isinstance(calls, list) else ():
+                    if isinstance(c, dict) and c.get("id") is not None:
+                        given = c.get("arguments")
+                        rows.append(base | {"call_id": _text(c["id"]), "name": _text(c.get("name")), "arguments": given if isinstance(given, str) else canonical(given), "parent": _text(c.get("parent")), "is_result": False})
+                if said.get("tool_call_id") is not None:
+                    rows.append(base | {"call_id": _text(said["tool_call_id"]), "is_result": True, "content": _text(said.get("content"))})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
 
 
 def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results that messages (conv_id, turn, text) hold as JSON: {"tool_calls": [...]} and {"tool_call_id": ..., "content": ...}."""
+    """Calls and results that messages (conv_id, turn, text) hold as JSON: {"tool_calls": [...]} and {"tool_call_id": ..., "content": ...}.
+
+    Null and empty texts, prose, and JSON that cannot be read (malformed, half surrogate pairs, numbers without a
+    double, more than DEPTH levels) give none, and so do entries that are no objects or have no id. Ids, names, parents and contents that
+    are no strings are their canonical JSON; null conv_ids and turns are kept; repeated rows are kept; texts of any
+    length are read whole; other columns are left out, and an empty table gives empty ones.
+    """
     schema = "conv_id long, turn long, call_id string, name string, arguments string, parent string, is_result boolean, content string"
     found = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").cast("string")).mapInArrow(batches_task(_extracted), schema)
+    found = written(found, "messages")
     return found.where(~F.col("is_result")).drop("is_result", "content"), found.where("is_result").select("conv_id", "turn", "call_id", "content")
 
 
@@ -130,8 +204,8 @@ def _checked(batches, schemas: str):
             for r in part.to_pylist():
                 problems, given = [], None
                 try:
-                    given = _plain(json.loads(r["arguments"] if r["arguments"] is not None else "null"))
-                except (ValueError, RecursionError):
+                    given = loads(r["arguments"] if r["arguments"] is not None else "null")
+                except NotJson:
                     problems = ["$: no JSON"]
                 if not problems:
                     problems = violations(given, known[r["name"]]) if r["name"] in known else ["$: unknown tool"]
@@ -147,14 +221,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
     calls: conv_id, turn, call_id, name, arguments (JSON), parent (a call_id or null). results: conv_id,
     turn, call_id, content. Of calls or results with one id in a conversation the earliest counts
-    (least turn, then least content), so repeated rows count once; rows with null conv_id or call_id
-    are left out. status: linked, pending (no result) or orphan (no call). position orders a
+    (least turn, null turns last, then least content), so repeated rows count once; rows with null conv_id or call_id
+    are left out, and other columns are. status: linked, pending (no result) or orphan (no call). position orders a
     conversation's calls after their parents (depth, turn, call_id); calls whose parents run in a
     circle have no depth and come last. Invalid JSON, unknown tools and schema violations are
     reported in problems; json is the canonical form of the call with its result.
     """
     has_ids = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    first = lambda df, columns: df.where(has_ids).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *columns)).alias("x")).select("conv_id", "call_id", "x.*")
+    first = lambda df, columns: df.where(has_ids).groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("turn").isNull().alias("none"), "turn", *columns)).alias("x")).select("conv_id", "call_id", "x.*").drop("none")
     mine = written(first(calls, ["name", "arguments", "parent"]), "calls")
     theirs = first(results, ["content"]).select("conv_id", "call_id", F.col("turn").alias("r_turn"), "content", F.lit(True).alias("answered"))
     both = mine.withColumn("called", F.lit(True)).join(theirs.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
@@ -171,11 +245,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 CHAT_TOOLS = {"reply": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}}
 
 
-def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain chats as calls and results: each user turn calls `reply`, after the user turn two before it, and the next assistant turn answers."""
-    turn = F.col("turn")
-    users = conversations.where(F.col("role") == "user")
-    arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), turn.alias("turn")))
-    calls = users.select("conv_id", "turn", turn.cast("string").alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), (turn - 2).cast("string").alias("parent"))
-    answers = conversations.where(F.col("role") == "assistant").select("conv_id", "turn", (turn - 1).cast("string").alias("call_id"), F.coalesce("text", F.lit("")).alias("content"))
-    return calls, answers
+def chat_messages(conversations: DataFrame) -> DataFrame:
+    """Plain chats as messages with calls and results: each user turn calls `reply`, after the user turn two before it, and the next assistant turn answers.
+
+    Turns that hold JSON objects themselves are messages too, as they are.
+    """
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    call = F.struct(turn.cast("string").alias("id"), F.lit("reply").alias("name"), F.struct(text.alias("text"), turn.alias("turn")).alias("arguments"), (turn - 2).cast("string").alias("parent"))
+    asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
+    answered = F.to_json(F.struct((turn - 1).cast("string").alias("tool_call_id"), text.alias("content")))
+    said = F.array(F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", answered), F.when(F.ltrim(text).startswith("{"), F.col("text")))
+    return conversations.select("conv_id", "turn", F.explode(F.array_compact(said)).alias("text"))
