@@ -5,6 +5,9 @@ bits, as the unit vector s, with the scalar <s, Ro>. For a unit query q, <s, Rq>
 without bias, and its error is below `sure` * sqrt(1 - <s, Ro> ** 2) / <s, Ro> / sqrt(d - 1) but for a chance
 that falls as exp(-c * sure ** 2). Candidates whose estimate plus error reaches the k-th best estimate
 less error are reranked on the original vectors.
+
+Rq is kept in PLANES bits a coordinate, so that <s, Rq> is bit counts of a code's words and those of each plane; what
+rounding can change at most is part of the error.
 """
 
 from __future__ import annotations
@@ -17,9 +20,12 @@ from pyspark.sql import functions as F
 from sextant.llm.common import group_task, partitions, written
 
 #: Vectors of a block of candidates, queries of a block, and queries that are compared at a time.
-BLOCK, QUERIES, AT_ONCE = 32_768, 16_384, 64
-#: Standard deviations of the estimate that error bounds allow for.
-SURE = 4.0
+BLOCK, QUERIES, AT_ONCE = 32_768, 16_384, 16
+#: Standard deviations of the estimate that error bounds allow for. A neighbour is lost only if its estimate is wrong by that
+#: much and by what the k-th best is above its own lower bound.
+SURE = 1.9
+#: Bits of a rotated query's coordinates.
+PLANES = 6
 
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
@@ -32,21 +38,38 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return _rotations[dim, seed]
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits packed into words of 64, the last filled up with zeros."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
 def encode(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed sign bits of rotated vectors, and how long each unit vector is along its signs."""
+    """Packed sign bits (words of 64) of rotated vectors, and how long each unit vector is along its signs."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     rotated = unit @ rotation(vectors.shape[1], seed).T
-    return np.packbits(rotated >= 0, axis=1), np.abs(rotated).sum(1) / np.sqrt(vectors.shape[1])
-
-
-def estimate(codes: np.ndarray, along: np.ndarray, queries: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines (queries x vectors), and one standard deviation of each vector's error."""
-    dim = queries.shape[1]
-    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.sqrt(dim)
-    found = (unit @ rotation(dim, seed).T).astype(np.float32) @ signs.T
-    spread = np.sqrt(np.maximum(0, 1 - along**2)) / along / np.sqrt(max(1, dim - 1))
-    return found / along, spread
+    return _words(rotated >= 0), np.abs(rotated).sum(1) / np.sqrt(vectors.shape[1])
+
+
+def estimate(codes: np.ndarray, along: np.ndarray, queries: np.ndarray, seed: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines (queries x vectors) from the codes' bits, and the error of each that is allowed for."""
+    n, dim = queries.shape
+    rotated = queries / np.linalg.norm(queries, axis=1, keepdims=True) @ rotation(dim, seed).T
+    least = rotated.min(1, keepdims=True)
+    step = np.maximum((rotated.max(1, keepdims=True) - least) / (2**PLANES - 1), 1e-300)
+    levels = np.rint((rotated - least) / step).astype(np.uint8)
+    rounded = least + step * levels
+    on = np.bitwise_count(codes).sum(1, dtype=np.int32)  # of a code's bits
+    weighed = np.zeros((n, len(codes)), np.int32)
+    for plane in range(PLANES):
+        words = _words((levels >> plane) & 1)
+        for w in range(codes.shape[1]):
+            weighed += np.bitwise_count(codes[None, :, w] & words[:, None, w]).astype(np.int32) << plane
+    along = along.astype(np.float32)
+    inner = (2 * (least * on + step * weighed) - rounded.sum(1, keepdims=True)).astype(np.float32) / np.float32(np.sqrt(dim))
+    spread = np.sqrt(np.maximum(0, 1 - along**2)) / np.float32(np.sqrt(max(1, dim - 1)))
+    lost = np.linalg.norm(rotated - rounded, axis=1, keepdims=True).astype(np.float32)
+    return inner / along, (sure * spread + lost) / along
 
 
 def _matrix(blob: list[bytes], dim: int) -> np.ndarray:
@@ -55,6 +78,7 @@ def _matrix(blob: list[bytes], dim: int) -> np.ndarray:
 
 def _index(table: pa.Table, seed: int) -> pa.Table:
     """A block of vectors as one row: ids, codes, lengths along them, and the vectors for reranking."""
+    table = table.sort_by("vec_id")
     dim = table.column("dim")[0].as_py()
     vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dim)
     codes, along = encode(vectors, seed)
@@ -69,19 +93,22 @@ def _searched(table: pa.Table, k: int, sure: float, seed: int) -> pa.Table:
     for r in table.to_pylist():
         dim = r["dim"]
         ids, along = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["along"], "<f8")
-        codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
+        codes = np.frombuffer(r["codes"], np.uint64).reshape(len(ids), -1)
         vectors, queries = (np.frombuffer(r[n], "<f8").reshape(-1, dim) for n in ("vectors", "q_vectors"))
         norms, q_ids = np.sqrt((vectors * vectors).sum(1)), np.frombuffer(r["q_ids"], "<i8")
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # ids ascend; one may have several vectors
         for at in range(0, len(queries), AT_ONCE):
             part = slice(at, at + AT_ONCE)
-            guess, spread = estimate(codes, along, queries[part], seed)
+            guess, error = estimate(codes, along, queries[part], seed, sure)
             guess[q_ids[part, None] == ids[None, :]] = -np.inf  # a query's own row takes no part
-            low = guess - sure * spread
-            kth = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(guess), -np.inf)
+            low = np.maximum.reduceat(guess - error, first, axis=1)
+            kth = np.partition(low, -k, axis=1)[:, -k] if len(first) > k else np.full(len(guess), -np.inf)
             for i, q in enumerate(queries[part]):
-                some = np.flatnonzero((guess[i] + sure * spread >= kth[i]) & (guess[i] > -np.inf))
+                some = np.flatnonzero((guess[i] + error[i] >= kth[i]) & (guess[i] > -np.inf))
                 score = (vectors[some] * q).sum(1) / (norms[some] * np.sqrt((q * q).sum()))
-                best = np.lexsort([ids[some], -score])[:k]
+                best = np.lexsort([-score, ids[some]])
+                best = best[np.concatenate([[True], np.diff(ids[some][best]) != 0])[: len(best)]]  # the best vector of each id
+                best = best[np.lexsort([ids[some][best], -score[best]])[:k]]
                 for o, v in zip(out, ([int(q_ids[at + i])] * len(best), [at + i + r["q_first"]] * len(best), ids[some][best].tolist(), score[best].tolist()), strict=True):
                     o += v
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
@@ -114,7 +141,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embe
 
     Every usable row is indexed and every query meets every block of vectors of its dimension; a block keeps its
     k best, and ties go to the smaller id. Rows repeated whole count once; rows with the query's own
-    id are its own. Fewer than k others give them all; an empty table gives an empty one.
+    id are its own; an id with several vectors is found once, by its best. A query id with several vectors is a query by
+    each. Fewer than k others give them all; an empty table gives an empty one; other columns are left out.
     """
     spark = vectors.sparkSession
     data = written(usable(vectors, vector, key), "vectors")
@@ -131,5 +159,6 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embe
     spread = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     pairs = index.join(spread, ["dim", "block"])
     near = pairs.groupBy("dim", "block", "q_block").applyInArrow(group_task(_searched, k, sure, seed), "query_id long, __query long, vec_id long, score double")
+    near = near.groupBy("query_id", "__query", "vec_id").agg(F.max("score").alias("score"))  # an id may have vectors in several blocks
     w = Window.partitionBy("query_id", "__query").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
