@@ -70,6 +70,30 @@ def cogroup_task(func, *args):
     return _task(func, args, 2)
 
 
+#: Tiles that a probe meets at once. A class of T tiles sends each T / GROUP times, and a task has T * GROUP pairs of it at most.
+GROUP = 8
+
+
+def tiled(rows: DataFrame, tile: int, order: Column) -> DataFrame:
+    """Tiles of about `tile` rows of each class: class, tile, tiles (how many the class has), mine (list of the other columns)."""
+    counts = rows.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    cut = rows.join(F.broadcast(counts), "class").withColumn("tile", F.pmod(order, F.col("tiles")).cast("int"))  # classes are few
+    return cut.groupBy("class", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct(*(c for c in rows.columns if c != "class"))).alias("mine"))
+
+
+def tile_pairs(made: DataFrame, steps: list[int]) -> DataFrame:
+    """Every two tiles whose classes are a step apart, once: mine, theirs, by (the step), tile, tile2, class (of theirs).
+
+    Pairs are dealt by class and group of tiles, so that the tiles of one large class are many tasks.
+    """
+    counts = made.groupBy("class").agg(F.first("tiles").alias("tiles2"))
+    probes = made.drop("tiles").withColumn("by", F.explode(F.array(*(F.lit(n).cast("long") for n in steps)))).withColumn("class", F.col("class") + F.col("by"))
+    probes = probes.join(F.broadcast(counts), "class").withColumn("group", F.explode(F.sequence(F.lit(0), F.floor((F.col("tiles2") - 1) / GROUP).cast("int"))))
+    others = made.select("class", F.floor(F.col("tile") / GROUP).cast("int").alias("group"), F.col("tile").alias("tile2"), F.col("mine").alias("theirs"))
+    wanted = (F.col("by") > 0) | (F.col("tile") <= F.col("tile2"))
+    return probes.join(others, ["class", "group"]).where(wanted).select("mine", "theirs", "by", "tile", "tile2", "class")
+
+
 def ranked(df: DataFrame, keys: list[str], spread: Column, order: list[Column], name: str, buckets: int) -> DataFrame:
     """Adds column `name`: 0, 1, 2, ... within equal `keys`, without bringing a key's rows together.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import batches_task, cogroup_task, written
+from sextant.llm.common import batches_task, cogroup_task, tile_pairs, tiled, written
 from sextant.llm.components import components
 from sextant.llm.simhash import shingle_hashes, votes
 
@@ -204,27 +204,23 @@ def _apart(batches, reach: int, similarity: float):
                             yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{at + top}/{first}"]), pa.array([texts], pa.list_(pa.binary())), pa.array([pairs], pa.binary())], names=["block", "texts", "pairs"])
 
 
-def tile_pairs(distinct: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+def size_tiles(distinct: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
     """Tiles (mine, theirs: lists of distinct's rows) whose texts' sizes may be that similar; same: a tile with itself; name: of the pair."""
-    classed = distinct.where(F.col("n") >= similarity * (SHORT + 1) - 1e-9).withColumn("class", F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("int"))
-    tiles = classed.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))  # a row for each factor 1 / similarity in length
-    cut = classed.join(F.broadcast(tiles), "class").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    made = written(cut.groupBy("class", "tile").agg(F.collect_list(F.struct(*distinct.columns)).alias("mine")), "tiles")
-    probes = made.withColumn("by", F.explode(F.array(F.lit(0), F.lit(1)))).select((F.col("class") + F.col("by")).alias("class"), "by", "tile", "mine")
-    others = made.select("class", F.col("tile").alias("tile2"), F.col("mine").alias("theirs"))
-    pairs = probes.join(others, "class").where((F.col("by") > 0) | (F.col("tile") <= F.col("tile2")))
+    size = F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("long")
+    classed = distinct.where(F.col("n") >= similarity * (SHORT + 1) - 1e-9).withColumn("class", size)  # a class for each factor 1 / similarity
+    pairs = tile_pairs(written(tiled(classed, tile, F.xxhash64("key")), "tiles"), [0, 1])
     return pairs.select("mine", "theirs", ((F.col("by") == 0) & (F.col("tile") == F.col("tile2"))).alias("same"), F.concat_ws("/", "class", "by", "tile", "tile2").alias("name"))
 
 
 def candidates(distinct: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
     """Links (a, b) that connect the texts (key, w0 ..., n) that may be that similar."""
-    pairs = tile_pairs(distinct, similarity, tile).select("mine", "theirs", "same")
+    pairs = size_tiles(distinct, similarity, tile).select("mine", "theirs", "same")
     return pairs.mapInArrow(batches_task(_compared, radius(similarity), similarity), "a binary, b binary").distinct()
 
 
 def links_apart(rooted: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
     """Links (a, b) that hold and that, with those that made root, connect all that are similar of the texts (key, w0 ..., n, root)."""
-    blocks = tile_pairs(rooted, similarity, tile).mapInArrow(batches_task(_apart, radius(similarity), similarity), "block string, texts array<binary>, pairs binary")
+    blocks = size_tiles(rooted, similarity, tile).mapInArrow(batches_task(_apart, radius(similarity), similarity), "block string, texts array<binary>, pairs binary")
     blocks = written(blocks, "blocks")
     needed = blocks.select(F.col("block").alias("of"), F.explode(F.array_distinct("texts")).alias("key")).join(sets, "key").select("of", "key", "shingles")
     return blocks.groupBy("block").cogroup(needed.groupBy("of")).applyInArrow(cogroup_task(_verified, similarity), "a binary, b binary")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import batches_task, written
+from sextant.llm.common import batches_task, tile_pairs, tiled, written
 from sextant.llm.components import components
 
 #: Fingerprints in a tile, about.
@@ -111,15 +111,10 @@ def near_links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     base = BITS + 2 * radius + 1  # so that a neighbour's class has a number of its own
     number = lambda v: sum(((x + radius) * base**q for q, x in enumerate(v)), F.lit(0).cast("long"))
     classed = distinct.select("fp", number(counts).cast("long").alias("class"))
-    # At most 17 ** 4 classes.
-    tiles = classed.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    cut = classed.join(F.broadcast(tiles), "class").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    made = written(cut.groupBy("class", "tile").agg(F.collect_list("fp").alias("mine")), "tiles")
+    made = written(tiled(classed, tile, F.xxhash64("fp")), "tiles")  # at most 17 ** 4 classes
     steps = [d for d in product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, d)) <= radius]
     offsets = sorted({n for d in steps if (n := sum(x * base**q for q, x in enumerate(d))) >= 0})  # each pair of classes once
-    probes = made.withColumn("by", F.explode(F.array(*(F.lit(n).cast("long") for n in offsets)))).select((F.col("class") + F.col("by")).alias("class"), "by", "tile", "mine")
-    others = made.select("class", F.col("tile").alias("tile2"), F.col("mine").alias("theirs"))
-    pairs = probes.join(others, "class").where((F.col("by") > 0) | (F.col("tile") <= F.col("tile2"))).select("mine", "theirs")
+    pairs = tile_pairs(made, offsets).select(F.col("mine.fp").alias("mine"), F.col("theirs.fp").alias("theirs"))
     return pairs.mapInArrow(batches_task(_compared, radius), "a long, b long")
 
 
@@ -127,8 +122,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, radius: int = 3, text:
     """A row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links lead to).
 
     Fingerprints of shingles of `width` words link within `radius` differing bits; equal ones always do.
-    Null and empty texts have fingerprint zero, which links like any other. Rows repeated whole are
-    kept; a null doc_id is kept, and a component of nulls only has a null component_id.
+    Null and empty texts have fingerprint zero, which links like any other. Texts of any length are hashed
+    whole. Rows repeated whole are kept; other columns are left out; a null doc_id is kept, and a component of nulls only has a null component_id.
     """
     data = documents.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = written(fingerprints(data, width), "fingerprints")
