@@ -2,22 +2,25 @@
 
 Every window of `length` bytes holds a trigger: of its K-grams (K = length // 2), the one whose
 rolling hash is least, the first of equals. Equal windows hold the same trigger at the same place. A
-phrase is the text between the first window start of a trigger and the end of its last window; it
-splits at the trigger into the part before it (a dictionary string, whose suffixes begin the
-windows) and the part after it (what the parse goes on with).
-
-1. Each block of documents sends the distinct hashes of its triggers to the hash's partition, which
-   says which occur twice or more in the corpus. Only those can begin a repeated window.
-2. Phrases of repeated triggers meet by trigger. There the dictionary strings, read backwards from
-   the trigger, and the continuations are each sorted, with the bytes that neighbours share. Windows
-   with the same dictionary suffix form one stretch of the corpus order and within it are ordered by
+phrase is the text between the first window start of a trigger and the end of its last window. The
+dictionary is the different phrases; the parse says at which places of the corpus each of them stands.
+
+1. Equal texts are taken together: each goes once from a task to its block, with whether it has copies. A block sends the
+   distinct hashes of its triggers to the hash's partition, which says which occur twice or more. Only those can
+   begin a repeated window.
+2. A block's phrases of repeated triggers make its dictionary and its parse: every different phrase is sent once,
+   to its trigger's partition, with the places where it stands. There the dictionaries of all blocks become one.
+   A phrase that stands in two places is repeated whole. For the others, the dictionary's suffixes up to the trigger
+   and what the parse goes on with after it are each sorted, with the bytes that neighbours share: windows
+   with the same dictionary suffix form one stretch of the corpus order, and within it are ordered by
    their continuation; windows that share `length` bytes are neighbours there, and are repeats.
-3. Their places go back to the blocks, which remove the bytes that they cover.
+3. Their places go back to the blocks by the parse, and the bytes that they cover are removed.
 
-A trigger with more than `hot` phrases in the corpus would bring too much text to one task. Its
-windows go by a 128-bit hash of the whole window instead, one entry for each different window of a
-block, so no task gets more of them than there are blocks. Texts move once, to their blocks; what else
-moves is hashes, places, and the text around repeated triggers.
+A trigger with more than `hot` places in the corpus, of which the texts around may all differ, would bring too much to one
+task. Its phrases are split by position, down to single windows: these meet by their BLAKE2 digest, one entry for
+each different window of a block, so no task gets more of one than there are blocks. The result is the same, as equal
+digests are equal windows. Texts move once, to their blocks; what else moves is hashes, places, and the
+different phrases around repeated triggers.
 """
 
 from __future__ import annotations
@@ -29,19 +32,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from sextant.llm.common import cogroup_task, group_task, partitions
+from sextant.llm.common import batches_task, cogroup_task, group_task, partitions
 
 LENGTH = 200
-#: Phrases of one trigger that may meet in a task.
+#: Places of one trigger whose phrases may meet in a task (changes what is moved, not what is found).
 HOT = 20_000
 
 _STEP = 1 << 18  # window starts that are worked on at a time
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers have inverses
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_TUPLE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("x", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
-_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("pos", "<u4"), ("n", "<u4")])
+_PHRASE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("before", "<u2"), ("after", "<u2"), ("weight", "u1"), ("places", "<u4")])
+_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("pos", "<u4"), ("n", "u1")])
 _RANGE = np.dtype([("start", "<u4"), ("end", "<u4")])
 _NOWHERE = 0xFFFFFFFF
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -116,16 +118,39 @@ def triggers(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     return x[new], lo[new], hi[last], h[new]
 
 
-def _block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """A block's rows, concatenated bytes and ends of its texts, always in the same order (rows equal in both may swap)."""
-    table = table.take(pc.sort_indices(table, sort_keys=[("__id", "ascending"), ("__text", "ascending")]))
-    text = table.column("__text").combine_chunks()
+def _once(batches, blocks: int):
+    """Each different text of a task once, with its key and block; if it comes again, one row more without the text."""
+    seen: dict[bytes, int] = {}
+    for batch in batches:
+        keys, at, texts = [], [], []
+        for i, t in enumerate(batch.column("__text")):
+            key = hashlib.sha256(t.as_buffer() or b"").digest()[:16]
+            if (n := seen.get(key, 0)) < 2:
+                seen[key] = n + 1
+                keys.append(key)
+                at.append(i)
+                texts.append(None if n else i)
+        block = pa.array([int.from_bytes(k[:4], "little") % blocks for k in keys], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), block, batch.column("__text").take(pa.array(texts, pa.int64()))], names=["__key", "__block", "__text"])
+
+
+def _block(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """A block's different texts, in the order of their keys: keys, concatenated bytes, ends, and weights (2: with copies)."""
+    rows: dict[bytes, int] = {}
+    weight: dict[bytes, int] = {}
+    null = table.column("__text").is_null().to_pylist()
+    for i, k in enumerate(table.column("__key").to_pylist()):
+        weight[k] = min(2, weight.get(k, 0) + 1)
+        if not null[i]:
+            rows.setdefault(k, i)
+    keys = sorted(rows)
+    text = table.column("__text").take(pa.array([rows[k] for k in keys], pa.int64())).combine_chunks()
     if isinstance(text, pa.ChunkedArray):
         text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
     wide = text.cast(pa.large_binary())
-    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
-    data = np.frombuffer(wide.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if wide.buffers()[2] else np.empty(0, np.uint8)
-    return table, data, offsets[1:] - offsets[0]
+    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    data = np.frombuffer(wide.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(wide) and wide.buffers()[2] else np.empty(0, np.uint8)
+    return keys, data, offsets[1:] - offsets[0], np.array([weight[k] for k in keys], np.int64)
 
 
 def _by_part(h: np.ndarray, parts: int):
@@ -143,8 +168,10 @@ def _ask(table: pa.Table, length: int, parts: int) -> pa.Table:
     """A block's distinct triggers and how often it has them."""
     rows: list = [[], [], [], []]
     if table.num_rows:
-        _, data, ends = _block(table)
-        h, n = np.unique(triggers(data, ends, length)[3], return_counts=True)
+        _, data, ends, weight = _block(table)
+        x, _, _, h = triggers(data, ends, length)
+        h, which = np.unique(h, return_inverse=True)
+        n = np.bincount(which, weight[np.searchsorted(ends, x, side="right")], len(h))
         order, runs = _by_part(h, parts)
         h, n = h[order], n[order].astype("<u4")
         block = table.column("__block")[0].as_py()
@@ -192,9 +219,16 @@ def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
+def _dictionary(data: np.ndarray, lo: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Different phrases (a trigger's hash and its text), and for each phrase of the parse its number among them."""
+    whole, ranks = data.tobytes(), {}
+    parse = [ranks.setdefault((t, whole[a:b]), len(ranks)) for t, a, b in zip(h.tolist(), lo.tolist(), end.tolist(), strict=True)]
+    return [t for _, t in ranks], np.array(parse, np.int64)
+
+
 def _send(docs: pa.Table, flags: pa.Table, length: int, parts: int) -> pa.Table:
-    """Phrases of a block's repeated triggers, and hashes of the windows of hot ones."""
-    rows: list = [[], [], [], [], []]
+    """A block's dictionary and parse, as far as its triggers are repeated, and digests of the windows of hot ones."""
+    rows: list = [[] for _ in range(6)]
 
     def put(*values):
         for out, v in zip(rows, values, strict=True):
@@ -206,53 +240,75 @@ def _send(docs: pa.Table, flags: pa.Table, length: int, parts: int) -> pa.Table:
         hot = np.concatenate([np.frombuffer(x, bool) for x in flags.column("hot").to_pylist()])
         order = np.argsort(keys)
         keys, hot = keys[order], hot[order]
-        _, data, ends = _block(docs)
+        _, data, ends, weight = _block(docs)
         x, lo, hi, h = triggers(data, ends, length)
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         known = keys[at] == h
         x, lo, hi, h, hot = x[known], lo[known], hi[known], h[known], hot[at[known]]
+        weight = weight[np.searchsorted(ends, x, side="right")]
         k = length // 2
         if len(cold := np.flatnonzero(~hot)):
-            cx, cl, ch = x[cold], lo[cold], hi[cold]
-            t = np.empty(len(cold), _TUPLE)
+            x1, lo1, hi1, h1 = (v[cold] for v in (x, lo, hi, h))
+            texts, parse = _dictionary(data, lo1, hi1 + length, h1)
+            order = np.argsort(parse, kind="stable")  # the places of each phrase together
+            first = order[np.flatnonzero(np.diff(parse[order], prepend=-1))]
+            t = np.empty(len(texts), _PHRASE)
             up, _ = _power(_BASES[1], k)
-            second = np.zeros(len(cold), np.uint64)
+            second = np.zeros(len(first), np.uint64)
             for i in range(k):
-                second += data[cx + i] * up[i]
-            t["h1"], t["h2"], t["x"], t["lo"], t["hi"] = h[cold], second, cx, cl, ch
+                second += data[x1[first] + i] * up[i]
+            t["h1"], t["h2"], t["before"], t["after"] = h1[first], second, (x1 - lo1)[first], (hi1 + length - x1 - k)[first]
+            t["places"] = np.bincount(parse)
+            t["weight"] = np.minimum(2, np.bincount(parse, weight[cold]))
+            places = x1[order].astype("<u4")
+            last = np.cumsum(t["places"].astype(np.int64))
             order, runs = _by_part(t["h1"], parts)
-            t = t[order]
             for p, a, b in runs:
-                c = t[a:b]
-                x1, l1, r1 = (c[n].astype(np.int64) for n in ("x", "lo", "hi"))
-                sides = np.stack([l1, x1 + k], 1).ravel(), np.stack([x1 - l1, r1 + length - x1 - k], 1).ravel()
-                put(p, block, 1, c.tobytes(), data[_ragged(*sides)].tobytes())
+                some = order[a:b]
+                size = t["places"][some].astype(np.int64)
+                sides = zip(some.tolist(), t["before"][some].tolist(), strict=True)  # without the trigger, which its hashes stand for
+                put(p, block, 1, t[some].tobytes(), b"".join([y for i, n in sides for y in (texts[i][:n], texts[i][n + k :])]), places[_ragged(last[some] - size, size)].tobytes())
         if len(warm := np.flatnonzero(hot)):
-            pos = _ragged(lo[warm], hi[warm] - lo[warm] + 1)
-            w = np.empty(len(pos), _WINDOW)
-            for name, base in zip(("h1", "h2"), _BASES, strict=True):
-                for s in range(0, len(data), _STEP):  # windows of a step at a time, as positions ascend
-                    a, b = np.searchsorted(pos, [s, s + _STEP])
-                    if a < b:
-                        w[name][a:b] = rolling(data[s : s + _STEP + length - 1], length, base)[pos[a:b] - s]
-            w["pos"], w["n"] = pos, 1
-            order = np.lexsort([w["h2"], w["h1"]])
-            w = w[order]
-            new = np.concatenate([[True], (w["h1"][1:] != w["h1"][:-1]) | (w["h2"][1:] != w["h2"][:-1])])
-            first = np.flatnonzero(new)
-            n = np.diff(np.concatenate([first, [len(w)]]))
-            again = np.sort(w["pos"][np.repeat(n > 1, n)])
-            if len(again):
-                put(block % parts, block, 3, _ranges(again).tobytes(), b"")
-            one = w[first]
-            one["n"] = n
-            one["pos"][n > 1] = _NOWHERE
-            order, runs = _by_part(one["h1"], parts)
-            one = one[order]
-            for p, a, b in runs:
-                put(p, block, 2, one[a:b].tobytes(), b"")
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["part", "block", "kind", "meta", "text"])
+            _put_windows(put, data, lo[warm], hi[warm], weight[warm], block, length, parts)
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["part", "block", "kind", "meta", "text", "places"])
+
+
+def _put_windows(put, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray, block: int, length: int, parts: int) -> None:
+    """Sends the different windows of a block's hot triggers, and the places of those that it has twice itself."""
+    size = hi - lo + 1
+    pos, weight = _ragged(lo, size), np.repeat(weight, size)
+    by = np.argsort(pos, kind="stable")
+    pos, weight = pos[by], weight[by]
+    h = np.empty((2, len(pos)), np.uint64)
+    for row, base in zip(h, _BASES, strict=True):
+        for s in range(0, len(data), _STEP):  # windows of a step at a time, as positions ascend
+            a, b = np.searchsorted(pos, [s, s + _STEP])
+            if a < b:
+                row[a:b] = rolling(data[s : s + _STEP + length - 1], length, base)[pos[a:b] - s]
+    order = np.lexsort(h[::-1])
+    pos, weight, h = pos[order], weight[order], h[:, order]
+    new = np.concatenate([[True], (h[:, 1:] != h[:, :-1]).any(0)])
+    which = np.cumsum(new) - 1
+    like = pos[np.flatnonzero(new)][which]
+    for a in range(0, len(pos), 1 << 14):  # equal hashes must be equal bytes
+        i = np.arange(length)
+        if not (data[pos[a : a + (1 << 14), None] + i] == data[like[a : a + (1 << 14), None] + i]).all():
+            raise ArithmeticError("two windows of a block have the same 128-bit hash")
+    total = np.bincount(which, weight)
+    again = np.sort(pos[total[which] > 1])
+    if len(again):
+        put(block % parts, block, 3, _ranges(again).tobytes(), b"", b"")
+    first = np.flatnonzero(new)
+    one = np.empty(len(first), _WINDOW)
+    whole = data.tobytes()
+    digests = np.frombuffer(b"".join([hashlib.blake2b(whole[p : p + length], digest_size=16).digest() for p in pos[first].tolist()]), "<u8").reshape(-1, 2)
+    one["h1"], one["h2"], one["n"] = digests[:, 0], digests[:, 1], np.minimum(2, total)
+    one["pos"] = np.where(total > 1, _NOWHERE, pos[first])
+    order, runs = _by_part(one["h1"], parts)
+    one = one[order]
+    for p, a, b in runs:
+        put(p, block, 2, one[a:b].tobytes(), b"", b"")
 
 
 def _ranges(pos: np.ndarray) -> np.ndarray:
@@ -275,13 +331,12 @@ def _sorted_strings(group: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np
 
 
 def repeats(t: np.ndarray, text: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each phrase and each a, whether its window from a bytes before the trigger occurs again among the phrases."""
+    """For each phrase of a dictionary and each a, whether its window from a bytes before the trigger is repeated."""
     k = length // 2
     reach = length - k
     n = len(t)
-    x, lo, hi = (t[c].astype(np.int64) for c in ("x", "lo", "hi"))
+    before, after = (t[c].astype(np.int64) for c in ("before", "after"))
     _, group = np.unique(t[["h1", "h2"]], return_inverse=True)
-    before, after = x - lo, hi - x + reach
     size = before + after
     at = np.cumsum(size) - size
     left, right = np.zeros((n, reach), np.uint8), np.zeros((n, reach), np.uint8)
@@ -295,7 +350,7 @@ def repeats(t: np.ndarray, text: np.ndarray, length: int = LENGTH) -> np.ndarray
     suffix, goes_on = np.empty(n, np.int64), np.empty(n, np.int64)
     dup = np.zeros((n, reach + 1), bool)
     for a in range(reach + 1):
-        here = np.flatnonzero((before >= a) & (x - hi <= a))
+        here = np.flatnonzero((before >= a) & (reach - after <= a))
         if not len(here):
             continue
         suffix[dictionary[0]] = np.cumsum(dictionary[1] < a)
@@ -305,9 +360,26 @@ def repeats(t: np.ndarray, text: np.ndarray, length: int = LENGTH) -> np.ndarray
         same = place[order[1:]] == place[order[:-1]]
         dup[here[order[1:][same]], a] = True
         dup[here[order[:-1][same]], a] = True
+        dup[here[t["weight"][here] > 1], a] = True
     return dup
 
 
+def _merged(t: np.ndarray, texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The dictionaries of all blocks as one: its phrases, their text, and for each phrase of a block its number in it."""
+    last = np.cumsum(t["before"].astype(np.int64) + t["after"])
+    ranks: dict = {}
+    first, at = [], 0
+    number = np.empty(len(t), np.int64)
+    for i, (h1, h2, before, end) in enumerate(zip(t["h1"].tolist(), t["h2"].tolist(), t["before"].tolist(), last.tolist(), strict=True)):
+        number[i] = r = ranks.setdefault((h1, h2, before, texts[at:end]), len(ranks))
+        at = end
+        if r == len(first):
+            first.append(i)
+    out = t[first]
+    out["weight"] = np.minimum(2, np.bincount(number, t["weight"]))
+    return out, np.frombuffer(b"".join([phrase[3] for phrase in ranks]), np.uint8), number
+
+
 def _meet(table: pa.Table, length: int) -> pa.Table:
     """Repeated windows of each block, as ranges of window starts."""
     out: list = [[], []]
@@ -332,15 +404,21 @@ def _meet(table: pa.Table, length: int) -> pa.Table:
             out[0] += block.tolist()
             out[1] += meta
             continue
-        parts = [np.frombuffer(m, _TUPLE if kind == 1 else _WINDOW) for m in meta]
+        parts = [np.frombuffer(m, _PHRASE if kind == 1 else _WINDOW) for m in meta]
         t, block = np.concatenate(parts), np.repeat(block, [len(p) for p in parts])
         if kind == 1:
-            dup = repeats(t, np.frombuffer(b"".join(some.column("text").to_pylist()), np.uint8), length)
-            row, a, b = _runs(dup)
-            r = np.empty(len(row), _RANGE)
-            x = t["x"].astype(np.int64)
-            r["start"], r["end"] = x[row] - (b - 1), x[row] - a + 1
-            put(block[row], r)
+            phrases, text, number = _merged(t, b"".join(some.column("text").to_pylist()))
+            places = np.frombuffer(b"".join(some.column("places").to_pylist()), "<u4").astype(np.int64)
+            row, a, b = _runs(repeats(phrases, text, length))
+            per = np.bincount(row, minlength=len(phrases))  # repeated stretches of each phrase of the dictionary
+            first_run = np.cumsum(per) - per
+            size = t["places"].astype(np.int64)
+            runs = np.repeat(per[number], size)  # of each place, by the parse
+            which = _ragged(np.repeat(first_run[number], size), runs)
+            x = np.repeat(places, runs)
+            r = np.empty(len(which), _RANGE)
+            r["start"], r["end"] = x - (b[which] - 1), x - a[which] + 1
+            put(np.repeat(np.repeat(block, size), runs), r)
         else:
             order = np.lexsort([t["h2"], t["h1"]])
             t, block = t[order], block[order]
@@ -354,34 +432,33 @@ def _meet(table: pa.Table, length: int) -> pa.Table:
 
 
 def _removed(docs: pa.Table, found: pa.Table, length: int, keep_text: bool) -> pa.Table:
-    """A row per document of a block: what stays of it."""
-    rows, data, ends = _block(docs) if docs.num_rows else (docs, np.empty(0, np.uint8), np.empty(0, np.int64))
+    """A row per different text of a block: what stays of it."""
+    keys, data, ends, _ = _block(docs) if docs.num_rows else ([], np.empty(0, np.uint8), np.empty(0, np.int64), None)
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    r = np.concatenate([np.frombuffer(x, _RANGE) for x in found.column("ranges").to_pylist()]) if found.num_rows else np.empty(0, _RANGE)
     change = np.zeros(len(data) + 1, np.int32)
-    np.add.at(change, r["start"], 1)
-    np.add.at(change, r["end"].astype(np.int64) - 1 + length, -1)
-    gone = np.cumsum(change[:-1]) > 0
+    for x in found.column("ranges") if found.num_rows else ():
+        r = np.frombuffer(x.as_buffer(), _RANGE)
+        np.add.at(change, r["start"], 1)
+        np.add.at(change, r["end"].astype(np.int64) - 1 + length, -1)
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     first = starts[(starts < ends)]
     begins[first] = gone[first]
-    tally = lambda v: np.concatenate([[0], np.cumsum(v)])
+    tally = lambda v: np.concatenate([[0], np.cumsum(v, dtype=np.int32)])
     lost, spans = tally(gone), tally(begins)
     kept = data[~gone].tobytes()
     at = np.concatenate([starts, ends[-1:]]) - lost[np.concatenate([starts, ends[-1:]])] if len(ends) else np.zeros(1, np.int64)
     bodies = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     columns = {
-        "doc_id": rows.column("__id"),
+        "__key": pa.array(keys, pa.binary()),
         "n_bytes": pa.array(ends - starts, pa.int64()),
-        "n_removed": pa.array(lost[ends] - lost[starts], pa.int64()),
-        "n_spans": pa.array(spans[ends] - spans[starts], pa.int64()),
+        "n_removed": pa.array((lost[ends] - lost[starts]).astype(np.int64)),
+        "n_spans": pa.array((spans[ends] - spans[starts]).astype(np.int64)),
         "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string()),
     }
     if keep_text:
         columns["kept"] = pa.array([x.decode("utf-8", "ignore") for x in bodies], pa.string())
-    if "__row" in rows.schema.names:
-        columns["row"] = rows.column("__row")
     return pa.table(columns)
 
 
@@ -392,20 +469,21 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, text: str = "text
     the input. Returns a row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256, with keep_text `kept` (what stays as text, without characters that were cut
     into), and with carry `row` (a struct of those columns of the row). Rows repeated whole are copies of
-    each other; null keys are kept; texts shorter than `length` stay as they are.
+    each other; null keys are kept; texts shorter than `length` stay as they are; a text of any length is in one
+    block, of which a task holds one. An empty table gives an empty one.
     """
     spark = documents.sparkSession
     parts = partitions(spark)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("__row")] if carry else []
-    docs = documents.select(F.col(f"`{key}`").cast("long").alias("__id"), body.alias("__text"), *row)
-    docs = docs.withColumn("__block", F.pmod(F.xxhash64("__id", "__text"), F.lit(2 * parts)).cast("int")).repartition(parts, "__block")
-    bare = docs.drop("__row")
-    asked = bare.groupBy("__block").applyInArrow(group_task(_ask, length, parts), "part int, block int, keys binary, counts binary")
+    once = documents.select(body.alias("__text")).mapInArrow(batches_task(_once, 2 * parts), "__key binary, __block int, __text string")
+    docs = once.repartition(parts, "__block")
+    asked = docs.groupBy("__block").applyInArrow(group_task(_ask, length, parts), "part int, block int, keys binary, counts binary")
     flags = asked.groupBy("part").applyInArrow(group_task(_answer, hot), "__block int, keys binary, hot binary")
-    sent = bare.groupBy("__block").cogroup(flags.groupBy("__block")).applyInArrow(cogroup_task(_send, length, parts), "part int, block int, kind int, meta binary, text binary")
+    sent = docs.groupBy("__block").cogroup(flags.groupBy("__block")).applyInArrow(cogroup_task(_send, length, parts), "part int, block int, kind int, meta binary, text binary, places binary")
     found = sent.groupBy("part").applyInArrow(group_task(_meet, length), "__block int, ranges binary")
-    out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text)
-    if carry:
-        out = out.add("row", docs.schema["__row"].dataType)
-    return docs.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(cogroup_task(_removed, length, keep_text), out)
+    out = "__key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
+    judged = docs.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(cogroup_task(_removed, length, keep_text), out)
+    # A text that very many rows have is one row of `judged`; the many are on the side that a skewed join splits.
+    row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
+    rows = documents.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(body, 256), 1, 32)).alias("__key"), *row)
+    return rows.join(judged, "__key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text, *["row"] * bool(carry))
