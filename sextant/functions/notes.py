@@ -55,9 +55,9 @@ def tail(text: Column, end: str = END) -> Column:
     return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise("")
 
 
-def section(text: Column, heading: str) -> Column:
-    """Text under a second-level heading, up to the next; null without the heading."""
-    pattern = rf"(?ms)^## {re.escape(heading)}[ \t]*\r?$\n?(.*?)(?=^## |\z)"
+def section(text: Column, heading: str, end: str = END) -> Column:
+    """Text under a line that is exactly `## heading`, up to the next such heading or the generated region's end; null without the heading."""
+    pattern = rf"(?msd)^## {re.escape(heading)}\r*$\n?(.*?)(?=^## |^{re.escape(end)}\r*$|\z)"
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
 
@@ -82,17 +82,65 @@ def groundings(text: Column) -> Column:
 
 
 def edges(text: Column, heading: str = "Links") -> Column:
-    """(relation, target) of `- relation [[target]]` lines under a heading; a line without a relation is none."""
-    lines = F.regexp_extract_all(F.coalesce(section(text, heading), F.lit("")), F.lit(r"(?m)^[ \t]*- ([^\[\n]*?\S)[ \t]*\[\[[^\]\n]+\]\]"), F.lit(0))
-    part = lambda x, p: F.trim(F.regexp_extract(x, p, 1))
-    return F.transform(lines, lambda x: F.struct(F.regexp_replace(part(x, r"- ([^\[]*)\[\["), ":$", "").alias("relation"), part(x, r"\[\[([^\]]+)\]\]").alias("target")))
+    """(relation, target) of `- relation [[target]]` lines under a heading, up to the next other one.
+
+    The dash stands first in its line, blanks after it may be missing, the relation is what stands before the brackets as it
+    is, and lines without a relation or target are none.
+    """
+    here = rf"(?msd)^## {re.escape(heading)}\r*$\n?(.*?)(?=^## (?!{re.escape(heading)}\r*$)|\z)"
+    line = r"(?md)^-[ \t]*((?:(?!\[\[)[^\n])*?)[ \t]*\[\[((?:(?!\]\])[^\n])*)\]\]"
+    lines = F.regexp_extract_all(F.regexp_extract(text, here, 1), F.lit(line), F.lit(0))
+    found = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, line, 1).alias("relation"), F.regexp_extract(x, line, 2).alias("target")))
+    return F.coalesce(F.filter(found, lambda x: (x["relation"] != "") & (x["target"] != "")), F.array().cast("array<struct<relation: string, target: string>>"))
 
 
 def directives(text: Column, keyword: str) -> Column:
-    """(path, start, end) of `keyword: path start-end` lines, where numbers may begin with L."""
-    pattern = rf"(?m)^[ \t]*{re.escape(keyword)}:[ \t]*(\S+)[ \t]+L?(\d+)-L?(\d+)[ \t\r]*$"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("path"), F.regexp_extract(x, pattern, 2).cast("int").alias("start"), F.regexp_extract(x, pattern, 3).cast("int").alias("end")))
+    """What `<!-- keyword: ... -->` comments say, in their order, without blanks at either end."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)<!--(?=[ \t]*{re.escape(keyword)}:(.*?)-->)"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(x, r"\A[ \t]+|[ \t]+\z", ""))
+
+
+def span(said: Column) -> Column:
+    """(path, start, end) of `path a-b`, else null. An L in the range is passed over, and a range of three bounds is from the first to the last."""
+    whole = r"(?s)\A([^ \t]+)[ \t](?:.*[ \t])?([^ \t]{0,64})\z"
+    bounds = F.regexp_replace(F.regexp_extract(said, whole, 2), "L", "")
+    start, end = F.regexp_extract(bounds, r"\A([0-9]+)-", 1), F.regexp_extract(bounds, r"-([0-9]+)\z", 1)
+    right = said.rlike(whole) & start.try_cast("int").isNotNull() & end.try_cast("int").isNotNull()
+    return F.when(right, F.struct(F.regexp_extract(said, whole, 1).alias("path"), start.try_cast("int").alias("start"), end.try_cast("int").alias("end")))
+
+
+def spans(text: Column, keyword: str) -> Column:
+    """The well-formed spans of a keyword's directives."""
+    return F.array_compact(F.transform(directives(text, keyword), span))
+
+
+def crux(text: Column, heading: str = "Crux", keyword: str = "crux") -> Column:
+    """(none, span, marker): what the first directive under the heading says: no span on purpose, or which; null without one. marker: the whole comment."""
+    under = section(text, heading)
+    marker = F.regexp_extract(under, rf"(?s)<!--[ \t]*{re.escape(keyword)}:(?:(?!-->).)*-->", 0)
+    said = F.get(directives(under, keyword), 0)
+    return F.when(said.isNotNull(), F.struct((said == "none").alias("none"), F.when(said != "none", span(said)).alias("span"), marker.alias("marker")))
+
+
+#: What a crux of no span becomes: fixed text of notes.
+NO_CRUX = "_No single span carries this node's logic._"
+
+
+def crux_block(span: Column, lines: Column, language: Column) -> Column:
+    """The fenced lines of a span, and where they come from."""
+    ended = F.when((lines == "") | lines.endswith("\n"), lines).otherwise(F.concat(lines, F.lit("\n")))
+    return F.concat(F.lit("```"), language, F.lit("\n"), ended, F.lit("```\n— `"), span["path"], F.lit("`:"), span["start"].cast("string"), F.lit("-"), span["end"].cast("string"), F.lit("\n"))
+
+
+def with_line(text: Column, marker: Column, replacement: Column) -> Column:
+    """The text with the whole first line that holds the marker replaced (without the replacement's last line feeds)."""
+    at = F.locate(marker, text) if isinstance(marker, str) else F.instr(text, marker)
+    before = F.substring(text, F.lit(1), at - 1)
+    keep = F.length(before) - F.length(F.substring_index(before, "\n", -1))
+    end = F.length(text) - at + 1
+    after = F.substring(text, at, end)
+    tail = F.substring(after, F.length(F.substring_index(after, "\n", 1)) + 1, end)
+    return F.when(at > 0, F.concat(F.substring(before, F.lit(1), keep), F.regexp_replace(replacement, r"\n+\z", ""), tail)).otherwise(text)
 
 
 def span_problem(claimed: Column, start: Column, end: Column, lines: Column, most: int) -> Column:
@@ -112,6 +160,12 @@ def fenced_text(text: Column) -> Column:
 
 
 def without_directives(text: Column, keyword: str) -> Column:
-    """The text without a keyword's lines, and without blank lines at either end."""
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(rf"^[ \t]*{re.escape(keyword)}:")), "\n")
-    return F.regexp_replace(kept, r"\A\s*\n|\s+\z", "")
+    """The text without a keyword's directives: a line that is one goes, one within a line is cut out of it."""
+    one = rf"<!--[ \t]*{re.escape(keyword)}:(?:(?!-->)[^\n])*-->"
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(rf"\A[ \t]*{one}[ \t]*\z"))
+    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, one, "")), "\n")
+
+
+def without_blank_edges(text: Column) -> Column:
+    """The text without blank lines at either end."""
+    return F.regexp_replace(F.regexp_replace(text, r"\A(?:[ \t\r]*\n)+", ""), r"(?:(?:\n|\A)[ \t\r]*)+\z", "")

@@ -19,9 +19,12 @@ def collisions(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return numbered.where("__nth > 1").drop("__nth")
 
 
-def needs_tagging(requested: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requested (path, hash), one per path (the least hash where several are asked for), that the cache lacks at that hash."""
-    asked = requested.groupBy("path").agg(F.min("hash").alias("hash"))
+def needs_tagging(requested: DataFrame, cache: DataFrame, order: str | None = None) -> DataFrame:
+    """Requested (path, hash), one per path, that the cache lacks at that hash.
+
+    Where a path is asked for at several hashes, the first request by `order` counts (without one, the least hash).
+    """
+    asked = requested.groupBy("path").agg((F.min_by("hash", order) if order else F.min("hash")).alias("hash"))
     return asked.join(cache.select("path", "hash"), ["path", "hash"], "left_anti")
 
 

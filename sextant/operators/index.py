@@ -65,10 +65,13 @@ def total_files(files: DataFrame, claimed: DataFrame) -> DataFrame:
 
 def nearest_ancestor(rows: DataFrame, rules: DataFrame, path: str = "path", directory: str = "dir") -> DataFrame:
     """rows with the columns of the rule for the deepest directory above their path; rows without one are left out."""
-    up = rows.withColumn("__up", F.explode(F.array_compact(paths.ancestors(F.col(path)))))
-    met = up.join(rules.withColumnRenamed(directory, "__up"), "__up")
-    w = Window.partitionBy(*(f"`{c}`" for c in rows.columns)).orderBy(F.length("__up").desc())
-    return met.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").withColumnRenamed("__up", directory).drop("__nth")
+    # Rows are told apart by number, so that repeated ones each stay; directories are as deep as their place among the ancestors.
+    numbered_rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    up = numbered_rows.select(F.struct(*(f"`{c}`" for c in rows.columns)).alias("__all"), "__row", F.explode(F.array_compact(paths.ancestors(F.col(path)))).alias("__up"))
+    other = [c for c in rules.columns if c != directory]
+    met = up.join(rules.select(F.col(directory).alias("__up"), F.struct(F.col(directory), *other).alias("__rule")), "__up")
+    best = met.groupBy("__row").agg(F.max_by(F.struct("__all", "__rule"), F.length("__up")).alias("x"))
+    return best.select("x.__all.*", "x.__rule.*")
 
 
 def boundaries(files: DataFrame, path: str = "path") -> DataFrame:

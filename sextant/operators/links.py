@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +21,11 @@ def inferred(tags: DataFrame, node_count: Column | int, top: int = 8, shown: int
     `top` heaviest links (0: all), ties to the lesser target; `symbols` shows the first of them (0: all).
     """
     n = node_count if isinstance(node_count, Column) else F.lit(node_count)
-    said = lambda what: F.collect_set(F.when(F.col(role) == what, F.col(node)))  # noqa: E731, at most all nodes, gathered map-side
-    per_name = tags.groupBy(F.col(name).alias("name")).agg(said("def").alias("definers"), said("ref").alias("readers"))
-    few = per_name.where((F.size("definers") == 1) & F.size("readers").between(F.lit(1), words.rare_max(n)) & F.col("name").isNotNull())
-    pairs = few.select("name", F.col("definers")[0].alias("dst"), F.explode("readers").alias("node")).where(F.col("node") != F.col("dst"))
+    each = tags.where(F.col(name).isNotNull() & F.col(node).isNotNull() & F.col(role).isin("def", "ref")).select(F.col(name).alias("name"), F.col(node).alias("node"), (F.col(role) == "def").alias("is_def")).distinct()
+    # Counts and one definer, which combine map-side; the nodes of names that most nodes have are never gathered.
+    per_name = each.groupBy("name").agg(F.count_if("is_def").alias("definers"), F.count_if(~F.col("is_def")).alias("readers"), F.min(F.when(F.col("is_def"), F.col("node"))).alias("dst"))
+    few = per_name.where((F.col("definers") == 1) & F.col("readers").between(F.lit(1), words.rare_max(n))).select("name", "dst")
+    pairs = each.where(~F.col("is_def")).join(few, "name").where(F.col("node") != F.col("dst"))
     names = F.array_sort(F.collect_list("name"))  # at most the rare symbols of one pair of nodes
     edges = pairs.groupBy(F.col("node").alias("src"), "dst").agg(F.count(F.lit(1)).alias("weight"), (F.slice(names, 1, shown) if shown else names).alias("symbols"))
     edges = edges.withColumn("symbols", F.array_join("symbols", ","))
@@ -52,20 +51,24 @@ def broken(edges: DataFrame, nodes: DataFrame, dst: str = "dst", node: str = "no
     return edges.join(nodes.select(F.col(node).alias(dst)).distinct(), dst, "left_anti")
 
 
-def closure(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst", hops: int = 4) -> DataFrame:
     """(start, node, depth): what each start leads to, at its least distance, the start itself left out.
 
-    Each round extends only what was new in the last one and is written to shared storage, so plans
+    Each round goes on for several steps from what was new in the last one and is written to shared storage, so plans
     stay short and lost executors cost no more than the round.
     """
-    run = uuid.uuid4().hex
     step = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct()
-    new = written(starts.select(F.col(starts.columns[0]).alias("start"), F.col(starts.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct(), f"closure-{run}-0")
+    start = F.col(starts.columns[0])
+    new = written(starts.select(start.alias("start"), start.alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
     seen, depth = new, 0
     while True:
-        depth += 1
-        found = new.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
-        new = written(found.withColumn("depth", F.lit(depth)), f"closure-{run}-{depth}")
+        at, found = new.where(F.col("depth") == depth), None
+        for k in range(1, hops + 1):
+            at = at.join(step, "node").select("start", F.col("next").alias("node")).distinct().withColumn("depth", F.lit(depth + k))
+            found = at if found is None else found.unionByName(at)
+        least = found.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+        depth += hops
+        new = written(least.join(seen, ["start", "node"], "left_anti"), "closure")
         if new.isEmpty():
             return seen.where("depth > 0")
         seen = seen.unionByName(new)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import notes
+from sextant.operators import verify
 
 
 def branch_verdict(branch: Column, has_remote: Column, local: Column, upstream_remote: Column, upstream_branch: Column, upstream_there: Column) -> Column:
@@ -36,33 +37,37 @@ def modules(sources: DataFrame, module: Column, by: tuple[str, ...] = ()) -> Dat
     return sources.groupBy(*by, module.alias("module")).agg(F.count(F.lit(1)).alias("files"))
 
 
-def note(nodes: DataFrame, sources: DataFrame, module: Column) -> DataFrame:
+def note(nodes: DataFrame, sources: DataFrame, module: Column, grounded: DataFrame | None = None) -> DataFrame:
     """(node, text): front matter, the generated region with a list of sources (by module from five on), and the preserved tail.
 
-    nodes: node, title, summary, body, tail. sources: node, path, hash.
+    nodes: node, title, summary, project, branch, built_at, commit (null: left out), crux_path and crux_lines (null: left out), body
+    (already expanded; blank lines at its ends go), tail (null or empty: a fresh one). sources: node, path, hash, of which repeated
+    rows count once. grounded: node, path, lines, digest, in the order of path and lines. The lists of a node
+    are part of its text, so a node with all of its sources is one row.
     """
-    source = F.array_sort(F.collect_list(F.struct("path", "hash")))
-    listed = sources.groupBy("node").agg(source.alias("s"))
-    rolled = modules(sources, module, ("node",)).groupBy("node").agg(F.array_sort(F.collect_list(F.concat(F.lit("- `"), "module", F.lit("` ("), F.col("files").cast("string"), F.lit(")")))).alias("m"))
-    both = nodes.join(listed, "node", "left").join(rolled, "node", "left")
-    lines = F.transform("s", lambda x: F.concat(F.lit("  - path: "), x["path"], F.lit("\n    hash: "), x["hash"]))
-    few = F.transform("s", lambda x: F.concat(F.lit("- `"), x["path"], F.lit("`")))
-    mirror = F.when(F.size("s") < 5, F.array_join(few, "\n")).otherwise(F.array_join("m", "\n"))
-    text = F.concat_ws(
-        "\n",
-        F.lit("---"),
-        F.concat(F.lit("title: "), notes.quoted(F.col("title"))),
-        F.concat(F.lit("summary: "), notes.quoted(F.col("summary"))),
-        F.lit("stale: false"),
-        F.concat(F.lit("sources:\n"), F.array_join(lines, "\n")),
-        F.lit("---"),
-        F.concat(F.lit("# "), "title"),
-        F.lit(notes.START),
-        F.col("body"),
-        F.concat(F.lit("## Sources\n"), mirror),
-        F.lit(notes.END),
-        F.coalesce("tail", F.lit("## Notes\n")),
-    )
+    different = sources.select("node", "path", "hash", module.alias("module")).distinct()
+    listed = different.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("path", "hash"))).alias("s"))
+    rolled = modules(different, F.col("module"), ("node",)).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("module", "files"))).alias("m"))
+    both = nodes.join(listed, "node", "left").join(rolled, "node", "left").join(verify.digests(different).withColumnRenamed("digest", "sources_digest"), "node", "left")
+    if grounded is None:
+        both = both.withColumn("g", F.array().cast("array<struct<path: string, lines: string, digest: string>>"))
+    else:
+        both = both.join(grounded.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("path", "lines", "digest"))).alias("g")), "node", "left")
+    each = lambda c, x: F.array_join(F.transform(c, x), "")
+    part = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    given = lambda c, *x: F.when(F.col(c).isNotNull(), part(*x)).otherwise("")
+    body = notes.without_blank_edges(F.col("body"))
+    few = each("s", lambda x: part("- `", x["path"], "`\n"))
+    many = each("m", lambda x: part("- `", x["module"], "` (", x["files"].cast("string"), ")\n"))
+    text = part(
+        '---\ntitle: "', F.col("title"), '"\nsummary: ', notes.quoted(F.col("summary")), "\nnode_type: sextant-node\nproject: ", F.col("project"), "\nbranch: ", F.col("branch"),
+        "\nsources:\n", F.coalesce(each("s", lambda x: part("  - path: ", x["path"], "\n    hash: ", x["hash"], "\n")), F.lit("")),
+        "sources_digest: ", F.coalesce("sources_digest", F.sha2(F.lit(""), 256)), '\nstale: false\nbuilt_at: "', F.col("built_at"), '"\n', given("commit", "commit: ", F.col("commit"), "\n"),
+        given("crux_path", "crux_path: ", F.col("crux_path"), '\ncrux_lines: "', F.coalesce("crux_lines", F.lit("")), '"\n'),
+        F.when(F.size("g") > 0, part("grounded_in:\n", each("g", lambda x: part("  - path: ", x["path"], '\n    lines: "', x["lines"], '"\n    digest: ', x["digest"], "\n")))).otherwise(""),
+        "---\n\n# ", F.col("title"), f"\n{notes.START}\n\n", body, F.when(body != "", "\n").otherwise(""), "\n## Sources\n", F.coalesce(F.when(F.size("s") < 5, few).otherwise(many), F.lit("")), f"{notes.END}\n",
+        F.when(F.coalesce("tail", F.lit("")) != "", F.concat("tail", F.lit("\n"))).otherwise("\n## Notes\n\n"),
+    )
     return both.select("node", text.alias("text"))
 
 

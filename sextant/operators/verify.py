@@ -85,15 +85,15 @@ def groundings(quoted: DataFrame, files: DataFrame) -> DataFrame:
 
     files: path, content. Lines that moved are sought in the file with a window of the quoted length; the first that fits counts.
     """
-    both = quoted.join(files.select("path", "content"), "path", "left")
-    here = F.sha2(words.line_slice(F.col("content"), F.col("first"), F.col("last")), 256)
-    span = F.col("last") - F.col("first") + 1
-    lines = F.size(F.split("content", "\n", -1)) - F.col("content").endswith("\n").cast("int")
-    starts = F.when(lines >= span, F.sequence(F.lit(1), lines - span + 1))
-    # Windows are hashed only where the quoted place no longer holds the lines.
-    first = F.get(F.filter(starts, lambda i: F.sha2(words.line_slice(F.col("content"), i, i + span - 1), 256) == F.col("digest")), 0)
-    now = F.when(F.col("content").isNotNull() & (F.coalesce(here, F.lit("")) != F.col("digest")), first)
-    checked = both.withColumn("here", here).withColumn("now", now)
+    both = quoted.join(files.select("path", "content"), "path", "left").withColumn("here", F.sha2(words.line_slice(F.col("content"), F.col("first"), F.col("last")), 256))
+    # The file is split once; windows are hashed only where the quoted place no longer holds the lines.
+    sought = F.col("content").isNotNull() & (F.coalesce("here", F.lit("")) != F.col("digest"))
+    parts = F.split(F.when(sought, F.col("content")), "\n", -1)
+    ended = lambda x, i: F.when(i < F.size("__parts") - 1, F.concat(x, F.lit("\n"))).otherwise(x)
+    cut = both.withColumn("__parts", parts).withColumn("__lines", F.filter(F.transform("__parts", ended), lambda x: x != "")).withColumn("__span", F.col("last") - F.col("first") + 1)
+    starts = F.when(F.size("__lines") >= F.col("__span"), F.sequence(F.lit(1), F.size("__lines") - F.col("__span") + 1))
+    window = lambda i: F.array_join(F.slice("__lines", i, F.col("__span")), "")
+    checked = cut.withColumn("now", F.get(F.filter(starts, lambda i: F.sha2(window(i), 256) == F.col("digest")), 0))
     status = F.when(F.col("content").isNull(), "gone").when(F.col("here") == F.col("digest"), "unchanged").when(F.col("now").isNotNull(), "moved").otherwise("changed")
     return checked.select("node", "path", "first", "last", status.alias("status"), "now")
 

@@ -24,18 +24,19 @@ def tag_lines(spark, d):
     return extract.tag_lines(t.table(spark, d, "part").select(line.alias("line")))
 
 
-@query("SELECT DISTINCT o_orderpriority AS path, '  ' || o_orderstatus AS line FROM orders")
+@query("SELECT DISTINCT o_orderpriority AS path, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS line FROM orders UNION ALL SELECT 'a.py', NULL")
 def tool_output(spark, d):
     o = t.table(spark, d, "orders").select("o_orderpriority", "o_orderstatus").distinct()
-    lines = o.select(F.lit("out").alias("file"), F.concat("o_orderpriority", F.lit("2")).alias("position"), F.concat(F.lit("  "), "o_orderstatus").alias("line"))
+    lines = o.where("o_orderpriority <> '5-LOW'").select(F.lit("out").alias("file"), F.concat("o_orderpriority", F.lit("2")).alias("position"), F.concat(F.lit("\t"), "o_orderstatus").alias("line"))
     heads = o.select(F.lit("out").alias("file"), F.concat("o_orderpriority", F.lit("1")).alias("position"), F.col("o_orderpriority").alias("line")).distinct()
-    return extract.attributed(heads.unionByName(lines), "file", "position").select("path", "line")
+    odd = spark.createDataFrame([("other", "1", "\tlost"), ("other", "2", "a.py"), ("other", "3", "")], heads.schema)
+    return extract.attributed(heads.unionByName(lines).unionByName(odd), "file", "position")
 
 
-@query("SELECT n_name || '_definition' AS type, 'function' AS kind, '(' || n_name || '_definition name: (_) @name) @definition.function' AS pattern FROM nation UNION ALL SELECT 'const_' || n_nationkey || '_decl', 'constant', '(const_' || n_nationkey || '_decl (identifier) @name) @definition.constant' FROM nation")
+@query("SELECT n_name || '_definition' AS type, 'function' AS kind, '(' || n_name || '_definition name: (_) @name) @definition.function' AS pattern FROM nation UNION ALL SELECT 'CONST_' || n_nationkey || '_decl', 'constant', '(CONST_' || n_nationkey || '_decl (identifier) @name) @definition.constant' FROM nation UNION ALL SELECT 'Structure_' || n_nationkey || 'Decl', 'function', '(Structure_' || n_nationkey || 'Decl (identifier) @name) @definition.function' FROM nation UNION ALL SELECT 'ParamDecl', 'parameter', '(ParamDecl (identifier) @name) @definition.parameter' FROM nation")
 def node_types(spark, d):
-    pattern = '[{"type": "%s_definition", "named": true, "fields": {"name": "x"}}, {"type": "const_%d_decl", "named": true}, {"type": "struct", "named": true}, {"type": "a_def", "named": false}]'
-    return extract.node_types(t.table(spark, d, "nation").select(F.format_string(pattern, "n_name", "n_nationkey").alias("json")))
+    pattern = '[{"type": "%s_definition", "named": true, "fields": {"name": "x"}}, {"type": "CONST_%d_decl", "named": true}, {"type": "Structure_%dDecl", "named": true}, {"type": "ParamDecl", "named": true}, {"type": "struct", "named": true}, {"type": "a_def", "named": false}]'
+    return extract.node_types(t.table(spark, d, "nation").select(F.format_string(pattern, "n_name", "n_nationkey", "n_nationkey").alias("json")))
 
 
 @query("SELECT p_partkey, p_brand AS field FROM part")
@@ -74,13 +75,28 @@ def dirty_sources(spark, d):
     return search.dirty_sources(verify.diff(old, new).where("status = 'M'"), old)
 
 
-@query(f"WITH {t.DOCS} SELECT doc_id, lang || '.py,' || source || '.py' AS paths, 3 + CAST(doc_id AS INT) AS last, 'code' || doc_id || chr(10) AS fenced, 'kept' AS rest FROM docs")
+@query(f"WITH {t.DOCS} SELECT doc_id, lang || '.py L2-L' || (doc_id + 3) || '|none|' || source || '.py 10-20-30|bad' AS said, lang || '.py:2-' || (doc_id + 3) || ',' || source || '.py:10-30' AS spans, 'code' || doc_id || chr(10) AS fenced FROM docs")
 def note_directives(spark, d):
-    body = F.concat(F.lit("crux: "), "lang", F.lit(".py L2-L"), (F.col("doc_id") + 3).cast("string"), F.lit("\ncrux: none\n crux: "), "source", F.lit(".py 1-2\n"))
-    found = notes.directives(body, "crux")
+    body = F.concat(F.lit("<!-- crux: "), "lang", F.lit(".py L2-L"), (F.col("doc_id") + 3).cast("string"), F.lit(" -->\nprose <!-- crux: none --> crux: x 1-2\n<!-- cruxes are nice --><!--\tcrux:"), "source", F.lit(".py 10-20-30-->\n<!-- crux: bad -->\n<!-- crux: open 1-2"))
+    shown = F.transform(notes.spans(body, "crux"), lambda x: F.concat(x["path"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
     block = F.concat(F.lit("a\n```py\ncode"), F.col("doc_id").cast("string"), F.lit("\n```\nb"))
-    rest = notes.without_directives(F.concat(F.lit("\n"), body, F.lit("kept\n\n")), "crux")
-    return t.documents(spark, d).select("doc_id", F.array_join(F.transform(found, lambda x: x["path"]), ",").alias("paths"), found[0]["end"].alias("last"), notes.fenced_text(block).alias("fenced"), F.regexp_extract(rest, r"(\S+)$", 1).alias("rest"))
+    return t.documents(spark, d).select("doc_id", F.array_join(notes.directives(body, "crux"), "|").alias("said"), F.array_join(shown, ",").alias("spans"), notes.fenced_text(block).alias("fenced"))
+
+
+_CRUX = "'## Summary' || chr(10) || 'as <!-- crux: no 1-2 --> says' || chr(10) || '## Crux' || chr(10) || {0} || chr(10) || 'see  here' || chr(10) || '## Links'"
+_SHOWN = "'```md' || chr(10) || first || chr(10) || '```' || chr(10) || '— `' || path || '`:1-1'"
+
+
+@query(f"WITH {t.DOCS}, f AS (SELECT *, string_split(text, chr(10))[1] AS first FROM docs) SELECT doc_id, md5(CASE WHEN source = 'src1' THEN {_CRUX.format("'_No single span carries this node''s logic._'")} ELSE {_CRUX.format(_SHOWN)} END) AS body FROM f")
+def note_crux(spark, d):
+    """The directive under the right heading becomes the lines it names, and groundings go."""
+    said = F.when(F.col("source") == "src1", "none").otherwise(F.concat("path", F.lit(" L1-L1")))
+    body = F.concat(F.lit("\n\n## Summary\nas <!-- crux: no 1-2 --> says\n## Crux\n  <!-- crux: "), said, F.lit(" -->\n <!-- grounded_in: a 1-2 -->\nsee <!-- grounded_in: b 3-4 --> here\n## Links\n \n"))
+    docs = t.documents(spark, d).withColumn("body", body).withColumn("crux", notes.crux(F.col("body")))
+    one = F.lit(1)
+    lines = notes.crux_block(F.col("crux.span"), words.line_slice(F.col("text"), one, one), F.lit("md"))
+    filled = notes.with_line(F.col("body"), F.col("crux.marker"), F.when(F.col("crux.none"), notes.NO_CRUX).otherwise(lines))
+    return docs.select("doc_id", F.md5(notes.without_blank_edges(notes.without_directives(filled, "grounded_in"))).alias("body"))
 
 
 @query(f"WITH {t.DOCS} SELECT doc_id, '- [x] read' || chr(10) || '- [ ] ' || lang || chr(10) AS tasks, 'end' AS notes, TRUE AS missing, source <> 'src1' AS dirty FROM docs")

@@ -310,12 +310,12 @@ def index_nodes(spark, d):
     return index.node_names(index.reverse(_claims(spark, d)))
 
 
-@query(f"WITH {t.DOCS}, q AS (SELECT CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS pos, path FROM (SELECT DISTINCT path FROM docs WHERE source = 'src1')), n AS (SELECT DISTINCT path FROM docs WHERE source IN ('src1', 'src2') AND path NOT IN (SELECT path FROM q)) SELECT pos, path FROM q UNION ALL SELECT CAST((SELECT max(pos) FROM q) + row_number() OVER (ORDER BY path) AS BIGINT), path FROM n")
+@query(f"WITH {t.DOCS}, q AS (SELECT CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS pos, path FROM (SELECT DISTINCT path FROM docs WHERE source = 'src1')), n AS (SELECT DISTINCT path FROM docs WHERE path NOT IN (SELECT path FROM q)) SELECT pos, path FROM q UNION ALL SELECT CAST((SELECT max(pos) FROM q) + row_number() OVER (ORDER BY path) AS BIGINT), path FROM n")
 def add_unassigned(spark, d):
     docs = t.documents(spark, d)
     empty = spark.createDataFrame([], "pos long, path string")
     queue = index.add_unassigned(empty, docs.where("source = 'src1'"))
-    return index.add_unassigned(queue, docs.where("source in ('src1', 'src2')")).withColumn("pos", F.col("pos").cast("long"))
+    return index.add_unassigned(queue, docs).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"WITH {t.PAGES} SELECT CASE WHEN contains(path, '/en/') THEN split_part(path, '/en/', 1) WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(repo root)' END AS module, count(*) AS files FROM pg GROUP BY 1")
@@ -323,11 +323,12 @@ def module_counts(spark, d):
     return report.modules(t.pages(spark, d), paths.module_of(F.col("path"), ("en",)))
 
 
-@query(f"WITH {t.PAGES}, rules AS (SELECT DISTINCT host AS dir, 'site ' || host AS namespace FROM pg UNION SELECT DISTINCT host || '/de', 'german' FROM pg) SELECT page_id, path, dir, namespace FROM (SELECT page_id, path, dir, namespace, row_number() OVER (PARTITION BY page_id ORDER BY length(dir) DESC) AS r FROM pg JOIN rules ON starts_with(path, dir || '/')) WHERE r = 1")
+@query(f"WITH {t.PAGES}, rules AS (SELECT DISTINCT host AS dir, 'site ' || host AS namespace FROM pg UNION SELECT DISTINCT host || '/de', 'german' FROM pg) SELECT page_id, path, dir, namespace FROM (SELECT page_id, path, dir, namespace, row_number() OVER (PARTITION BY page_id ORDER BY length(dir) DESC) AS r FROM pg JOIN rules ON starts_with(path, dir || '/')) CROSS JOIN (VALUES (1), (2)) twice(n) WHERE r = 1")
 def nearest_ancestor(spark, d):
     p = t.pages(spark, d)
     rules = p.select(F.col("host").alias("dir"), F.concat(F.lit("site "), "host").alias("namespace")).union(p.select(F.concat("host", F.lit("/de")), F.lit("german"))).distinct()
-    return index.nearest_ancestor(p.select("page_id", "path"), rules).select("page_id", "path", "dir", "namespace")
+    rows = p.select("page_id", "path")
+    return index.nearest_ancestor(rows.union(rows), rules).select("page_id", "path", "dir", "namespace")
 
 
 _BOUNDS = (
@@ -449,7 +450,8 @@ def grounding_moved(spark, d):
 @query(f"WITH {t.SNAPSHOTS} SELECT path, hash FROM nw WHERE (path, hash) NOT IN (SELECT (path, hash) FROM od)")
 def cache_needs_tagging(spark, d):
     old, new = t.snapshots(spark, d)
-    return cache.needs_tagging(new.union(new), old)
+    asked = new.select("path", "hash", F.lit(1).alias("nth")).union(old.select("path", F.lit("later"), F.lit(2)).join(new.select("path"), "path", "left_semi"))
+    return cache.needs_tagging(asked.union(asked), old, "nth")
 
 
 @query(f"WITH {t.SNAPSHOTS} SELECT path, hash FROM (SELECT path, hash FROM nw UNION ALL SELECT path, hash FROM od WHERE path NOT IN (SELECT path FROM nw)) WHERE path NOT LIKE '%/src2/%'")
@@ -469,9 +471,10 @@ def cache_outcomes(spark, d):
     return cache.outcomes(t.documents(spark, d), _cached(spark, d))
 
 
-@query(f"WITH {t.PLACED} SELECT path, sha1(path) AS hash, node = 'src6' AS unsupported, CAST(CASE WHEN node = 'src6' THEN 0 ELSE count(*) END AS INT) AS n FROM placed WHERE node <> 'src4' GROUP BY path, node")
+@query(f"WITH {t.PLACED}, x AS (SELECT path, node, name || '|' || role || '|' || kind || '|' || line || '|' || expression AS said FROM placed WHERE node <> 'src4') SELECT path, sha1(path) AS hash, node = 'src6' AS unsupported, CAST(CASE WHEN node = 'src6' THEN 0 ELSE count(*) END AS INT) AS n, md5(CASE WHEN node = 'src6' THEN '' ELSE string_agg(said, chr(10) ORDER BY said) END) AS tags FROM x GROUP BY path, node")
 def cache_round_trip(spark, d):
-    return cache.loaded(cache.dumped(_cached(spark, d)), "value").select("path", "hash", "unsupported", F.size("tags").alias("n"))
+    said = F.transform("tags", lambda x: F.concat_ws("|", x["name"], x["role"], x["kind"], x["line"].cast("string"), x["expression"]))
+    return cache.loaded(cache.dumped(_cached(spark, d)), "value").select("path", "hash", "unsupported", F.size("tags").alias("n"), F.md5(F.array_join(F.array_sort(said), "\n")).alias("tags"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -575,18 +578,18 @@ def note_sources(spark, d):
     return t.notes(spark, d).select("doc_id", F.inline(note_functions.sources(F.col("text"))))
 
 
-@query(f"WITH {t.DOCS} SELECT path AS src, 'written in' AS relation, lang AS target FROM docs UNION ALL SELECT path, 'from', source FROM docs")
+@query(f"WITH {t.DOCS} SELECT path AS src, 'written in' AS relation, lang AS target FROM docs UNION ALL SELECT path, 'from:', source FROM docs UNION ALL SELECT path, 'near', 'here' FROM docs")
 def note_edges(spark, d):
     return links.declared(t.notes(spark, d), "path")
 
 
-@query(f"WITH {t.DOCS} SELECT doc_id, md5(string_split(text, chr(10))[1] || chr(10)) AS body, TRUE AS has_tail FROM docs")
+@query(f"WITH {t.DOCS} SELECT doc_id, md5(text || chr(10)) AS body, TRUE AS has_tail FROM docs")
 def note_body(spark, d):
     text = F.col("text")
     return t.notes(spark, d).select("doc_id", F.md5(note_functions.body(text)).alias("body"), note_functions.tail(text).startswith(note_functions.END).alias("has_tail"))
 
 
-@query(f"WITH {t.DOCS} SELECT doc_id, 'true' AS stale, 2 AS items, 1 AS checked, 'IN-PROGRESS' AS status, lang || ',' || source || ',none' AS targets FROM docs")
+@query(f"WITH {t.DOCS} SELECT doc_id, 'true' AS stale, 2 AS items, 1 AS checked, 'IN-PROGRESS' AS status, lang || ',' || source || ',here,no,none' AS targets FROM docs")
 def note_tasks(spark, d):
     text = F.col("text")
     total, checked = words.checklist(text)
@@ -594,13 +597,29 @@ def note_tasks(spark, d):
     return t.notes(spark, d).select("doc_id", marked.alias("stale"), total.alias("items"), checked.alias("checked"), words.next_status(total, checked).alias("status"), F.array_join(words.wikilinks(text), ",").alias("targets"))
 
 
-@query(f"WITH {t.DOCS}, g AS (SELECT source AS node, string_agg('  - path: ' || path || chr(10) || '    hash: ' || sha1(text), chr(10) ORDER BY path) AS lines, count(*) AS n, string_agg('- `' || path || '`', chr(10) ORDER BY path) AS few FROM docs GROUP BY 1), m AS (SELECT node, string_agg('- `' || lang || '` (' || n || ')', chr(10) ORDER BY '- `' || lang || '` (' || n || ')') AS rolled FROM (SELECT source AS node, lang, count(*) AS n FROM docs GROUP BY ALL) GROUP BY node) "
-       f"SELECT node, md5('---' || chr(10) || 'title: \"' || node || '\"' || chr(10) || 'summary: \"of \\\"' || node || '\\\"\"' || chr(10) || 'stale: false' || chr(10) || 'sources:' || chr(10) || lines || chr(10) || '---' || chr(10) || '# ' || node || chr(10) || '{note_functions.START}' || chr(10) || 'text' || chr(10) || '## Sources' || chr(10) || CASE WHEN n < 5 THEN few ELSE rolled END || chr(10) || '{note_functions.END}' || chr(10) || '## Notes' || chr(10)) AS digest FROM g JOIN m USING (node)")
+_NOTE_SQL = (
+    f"WITH {t.DOCS}, g AS (SELECT source AS node, string_agg('  - path: ' || path || chr(10) || '    hash: ' || sha1(text) || chr(10), '' ORDER BY path) AS lines, count(*) AS n, string_agg('- `' || path || '`' || chr(10), '' ORDER BY path) AS few,"
+    " sha256(string_agg(path || ':' || sha1(text), chr(10) ORDER BY path || ':' || sha1(text))) AS digest FROM (SELECT DISTINCT source, path, text FROM docs) GROUP BY 1),"
+    " m AS (SELECT node, string_agg('- `' || lang || '` (' || n || ')' || chr(10), '' ORDER BY lang) AS rolled FROM (SELECT source AS node, lang, count(*) AS n FROM (SELECT DISTINCT source, lang, path, text FROM docs) GROUP BY ALL) GROUP BY node)"
+    " SELECT node, md5('---' || chr(10) || 'title: \"' || node || '\"' || chr(10) || 'summary: \"of \\\"' || node || '\\\"\"' || chr(10) || 'node_type: sextant-node' || chr(10) || 'project: p' || chr(10) || 'branch: main' || chr(10) || 'sources:' || chr(10) || lines"
+    " || 'sources_digest: ' || digest || chr(10) || 'stale: false' || chr(10) || 'built_at: \"now\"' || chr(10) || CASE WHEN node <> 'src1' THEN 'commit: c' || node || chr(10) ELSE '' END"
+    " || CASE WHEN node = 'src2' THEN 'crux_path: a.py' || chr(10) || 'crux_lines: \"3-9\"' || chr(10) || 'grounded_in:' || chr(10) || '  - path: b.py' || chr(10) || '    lines: \"1-2\"' || chr(10) || '    digest: d' || chr(10) ELSE '' END"
+    f" || '---' || chr(10) || chr(10) || '# ' || node || chr(10) || '{note_functions.START}' || chr(10) || chr(10) || 'text' || chr(10) || chr(10) || '## Sources' || chr(10) || CASE WHEN n < 5 THEN few ELSE rolled END || '{note_functions.END}' || chr(10)"
+    " || CASE WHEN node = 'src3' THEN 'kept' || chr(10) ELSE chr(10) || '## Notes' || chr(10) || chr(10) END) AS digest FROM g JOIN m USING (node)"
+)
+
+
+@query(_NOTE_SQL)
 def emit_note(spark, d):
     docs = t.documents(spark, d)
-    nodes = docs.select("node").distinct().select("node", F.col("node").alias("title"), F.concat(F.lit('of "'), "node", F.lit('"')).alias("summary"), F.lit("text").alias("body"), F.lit(None).cast("string").alias("tail"))
+    node, when = F.col("node"), lambda n, v: F.when(F.col("node") == n, v)
+    nodes = docs.select("node").distinct().select(
+        "node", node.alias("title"), F.concat(F.lit('of "'), "node", F.lit('"')).alias("summary"), F.lit("p").alias("project"), F.lit("main").alias("branch"), F.lit("now").alias("built_at"), F.when(node != "src1", F.concat(F.lit("c"), "node")).alias("commit"),
+        when("src2", "a.py").alias("crux_path"), when("src2", "3-9").alias("crux_lines"), F.lit("\n \ntext\n\n").alias("body"), when("src3", "kept").alias("tail"),
+    )
+    grounded = nodes.where("node = 'src2'").select("node", F.lit("b.py").alias("path"), F.lit("1-2").alias("lines"), F.lit("d").alias("digest"))
     sources = docs.select("node", "path", F.sha1("text").alias("hash"))
-    return report.note(nodes, sources, F.substring_index("path", "/", 1)).select("node", F.md5("text").alias("digest"))
+    return report.note(nodes, sources.union(sources.limit(3)), F.substring_index("path", "/", 1), grounded).select("node", F.md5("text").alias("digest"))
 
 
 @query("SELECT lang AS namespace, md5(string_agg('- [[' || source || ']] - ' || n, chr(10) ORDER BY '- [[' || source || ']] - ' || n)) AS digest FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1")
@@ -609,11 +628,11 @@ def project_index(spark, d):
     return report.project_index(n).select("namespace", F.md5("text").alias("digest"))
 
 
-@query(_EDGES + ", n AS (SELECT source AS node, count(*) AS sources FROM docs GROUP BY 1), l AS (SELECT src AS node, string_agg(dst, ' ' ORDER BY weight DESC, dst) AS links FROM capped GROUP BY 1) SELECT node, sources, coalesce(links, '') AS links FROM n LEFT JOIN l USING (node)")
+@query(_EDGES + ", n AS (SELECT source AS node, count(*) AS sources FROM docs GROUP BY 1), l AS (SELECT src AS node, string_agg(dst, ' ' ORDER BY weight DESC, dst) AS links FROM capped GROUP BY 1), dd AS (SELECT path, count(*) FILTER (role = 'def') AS defs FROM tags GROUP BY path), sc AS (SELECT node, path, row_number() OVER (PARTITION BY node ORDER BY floor(coalesce(defs, 0) * 1000 / strlen(text) * 1000 + 0.5) / 1000 DESC, path) AS rank FROM docs LEFT JOIN dd USING (path) WHERE strlen(text) > 0), pl AS (SELECT node, string_agg(path, ' ' ORDER BY rank) AS pool FROM sc WHERE rank <= 5 GROUP BY 1) SELECT node, sources, coalesce(pool, '') AS pool, coalesce(links, '') AS links FROM n LEFT JOIN pl USING (node) LEFT JOIN l USING (node)")
 def briefs(spark, d):
     docs = t.documents(spark, d)
     ranked = rank.best(_density(spark, d), 5, ("node",))
-    return report.briefs(docs.select("node").distinct(), docs, ranked, _edges(spark, d, 8)).select("node", "sources", "links")
+    return report.briefs(docs.select("node").distinct(), docs, ranked, _edges(spark, d, 8)).select("node", "sources", "pool", "links")
 
 
 @query("SELECT n_nationkey AS number, CASE WHEN n_regionkey = 0 THEN 'SKIP: no list' WHEN n_regionkey = 1 THEN 'SKIP: no body' WHEN n_name LIKE '%A' THEN 'FAILED' ELSE 'pushed' END AS status FROM nation")

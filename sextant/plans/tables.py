@@ -85,13 +85,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sextant.functions import notes as n
 
     d = documents(spark, sf_dir)
-    line = F.substring_index("text", "\n", 1)
     text = F.concat(
         F.lit('---\nname: "'), "path", F.lit('"\ntemplate: '), "lang", F.lit("\nstale: false\nsources:\n  - path: "), "path", F.lit("\n    hash: "), F.sha1("text"),
-        F.lit("\n---\n# Note\n"), F.lit(n.START), F.lit("\n"), line, F.lit("\n"), F.lit(n.END), F.lit("\n## Tasks\n- [x] read\n- [ ] "), "lang",
-        F.lit("\n## Links\n- written in [["), "lang", F.lit("]]\n- from [["), "source", F.lit("]]\n- [[none]]\n## Notes\nend"),
+        F.lit("\n---\n# Note\n"), F.lit(n.START), F.lit("\n"), "text", F.lit("\n"), F.lit(n.END), F.lit("\n## Tasks\n- [x] read\n- [ ] "), "lang",
+        F.lit("\n## Links\n- written in [["), "lang", F.lit("]]\n- from: [["), "source", F.lit("]]\n-near [[here]]\n - inside [[no]]\n- [[none]]\n## Notes\nend"),
     )
-    return d.select("doc_id", "path", "node", "lang", "source", text.alias("text"), line.alias("first"))
+    return d.select("doc_id", "path", "node", "lang", "source", text.alias("text"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

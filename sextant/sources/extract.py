@@ -50,10 +50,10 @@ def declarations(files: DataFrame, rules: dict[str, list[tuple[str, str]]] = DEC
             found.append(F.when(here & (name != ""), F.array(struct(name, "def", kind))).otherwise(F.array()))
         calls = F.transform(F.regexp_extract_all("expression", F.lit(CALL), F.lit(1)), lambda n: struct(n, "ref", "call"))
         found.append(F.when(here, calls).otherwise(F.array()))
-    rows = _numbered(files).select("path", "line", F.trim("expression").alias("expression"), F.explode(F.concat(*found)).alias("t"))
-    rows = rows.select("path", "t.name", "t.role", "t.kind", "line", "expression")
-    defined = rows.where("role = 'def'").select("path", "line", "name", F.lit(True).alias("defined"))
-    return rows.join(defined.distinct(), ["path", "line", "name"], "left").where("role = 'def' or defined is null").select("path", "name", "role", "kind", "line", "expression")
+    every = _numbered(files).select("path", "line", F.trim("expression").alias("expression"), F.concat(*found).alias("found"))
+    defined = F.transform(F.filter("found", lambda t: t["role"] == "def"), lambda t: t["name"])
+    rows = every.withColumn("defined", defined).select("path", "line", "expression", F.explode(F.filter("found", lambda t: (t["role"] == "def") | ~F.array_contains(F.col("defined"), t["name"]))).alias("t"))
+    return rows.select("path", "t.name", "t.role", "t.kind", "line", "expression")
 
 
 def cascade(files: DataFrame, tiers: list[tuple[Column, Extractor]]) -> DataFrame:
@@ -78,11 +78,16 @@ def tag_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def attributed(output: DataFrame, file: str, position: str, line: str = "line") -> DataFrame:
-    """Indented lines of a tool's output with the unindented path line above them, within each output file."""
-    is_path = ~F.col(line).rlike(r"^[ \t]") & (F.col(line) != "")
+    """(path, line): lines that begin with a tab, with the path line above them, within each output file; a path without any has one row, with null.
+
+    So a path that a tool read and found nothing in differs from one that is not there at all. Empty lines, and tabbed ones before any path, are left out.
+    """
+    indented, is_path = F.col(line).startswith("\t"), (F.col(line) != "") & ~F.col(line).startswith("\t")
     w = Window.partitionBy(file).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    named = output.withColumn("path", F.last(F.when(is_path, F.col(line)), ignorenulls=True).over(w))
-    return named.where(~is_path & F.col("path").isNotNull() & (F.col(line) != ""))
+    named = output.select(F.last(F.when(is_path, F.col(line)), ignorenulls=True).over(w).alias("path"), F.when(indented, F.substring(F.col(line), 2, 1 << 30)).alias("line"), is_path.alias("__head"))
+    named = named.where(F.col("path").isNotNull() & (F.col("__head") | F.col("line").isNotNull()))
+    empty = named.groupBy("path").agg(F.count("line").alias("__n")).where("__n = 0").select("path", F.lit(None).cast("string").alias("line"))
+    return named.where("not __head").select("path", "line").unionByName(empty)
 
 
 #: Ends of type names that declare, and beginnings that say of what kind; fixed values.
@@ -105,7 +110,7 @@ def node_types(types: DataFrame, json: str = "json", rules: list[tuple[str, str
     settled = words.kind_for(F.col("type"), F.lit(scope), rules or [])
     kind = F.lit("function")
     for word in sorted(KINDS, key=len):  # the longest word that fits is tested last, so it is outermost
-        kind = F.when(F.col("type").rlike(rf"^(?:{word}|{word.capitalize()})(?:_|[A-Z]|$)"), KINDS[word]).otherwise(kind)
+        kind = F.when(F.col("type").rlike(rf"\A(?i:{word})(?:_|[A-Z]|\z)"), KINDS[word]).otherwise(kind)
     judged = each.where(settled.isNotNull() | F.col("type").rlike(DECLARES)).withColumn("kind", F.coalesce(settled, kind))
     name = F.when(F.col("has_name"), "name: (_) @name").otherwise("(identifier) @name")
     return judged.select("type", "kind", F.format_string("(%s %s) @definition.%s", F.col("type"), name, F.col("kind")).alias("pattern"))

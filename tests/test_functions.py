@@ -82,19 +82,62 @@ def test_notes(spark):
     assert got[0] == ('a "b"', None, "inner\n", ["x.py", "y.py"], ["1-2"], "mine")
     assert got[1] == (None, None, "plain", [], [], None)
     edges = values(spark, [(NOTE,)], "t string", notes.edges(t))[0][0]
-    assert [tuple(e) for e in edges] == [("uses", "B"), ("calls", "D|shown")]
+    assert [tuple(e) for e in edges] == [("uses", "B"), ("calls:", "D|shown")]
     stale = values(spark, [(NOTE,), ("---\na: 1\n---\nx",), ("plain",)], "t string", notes.set_stale(t))
     assert stale == [(NOTE.replace("stale: false", "stale: true"),), ("---\na: 1\nstale: true\n---\nx",), ("plain",)]
 
 
 def test_directives_and_spans(spark):
-    got = values(spark, [("crux: a.py L3-L9\ncrux: none\n crux: b 1-2",)], "b string", notes.directives(F.col("b"), "crux"))[0][0]
-    assert [tuple(x) for x in got] == [("a.py", 3, 9), ("b", 1, 2)]
+    said = "<!-- crux: a.py L3-L9 -->\nsee <!--crux:none--> <!-- cruxes are nice --> crux: b 1-2\n<!-- TODO -->\n<!-- crux: open"
+    assert values(spark, [(said,)], "b string", notes.directives(F.col("b"), "crux"))[0][0] == ["a.py L3-L9", "none"]
+    nested = "<!-- crux: x <!-- crux: y 1-2 -->"
+    assert values(spark, [(nested,)], "b string", notes.directives(F.col("b"), "crux"))[0][0] == ["x <!-- crux: y 1-2", "y 1-2"]
+    cases = {"src/a.java 412-419": ("src/a.java", 412, 419), "src/a.java L10-L12": ("src/a.java", 10, 12), "f.java 10-20-30": ("f.java", 10, 30), "a\tb 3-4": ("a", 3, 4), "src/a.java": None, "src/a.java 412": None, "src/a.java abc-def": None, "src/a.java +5-9": None, "a " + "1" * 40 + "-" + "2" * 40: None, " 1-2": None}
+    got = values(spark, [(k,) for k in cases], "b string", notes.span(F.col("b")))
+    assert [x[0] and tuple(x[0]) for x in got] == list(cases.values())
     rows = [(False, 1, 2, 9), (True, 0, 2, 9), (True, 1, 30, 99), (True, 2, 2, 9)]
     got = values(spark, rows, "c boolean, s int, e int, n int", notes.span_problem(F.col("c"), F.col("s"), F.col("e"), F.col("n"), 20))
     assert [g[0] for g in got] == ["not claimed", "out of range", "too long", None]
 
 
+def test_sections_end_where_the_region_ends(spark):
+    t = F.col("t")
+    rows = {
+        "# Title\n## Summary\nprose\n## Crux\n<!-- crux: src/a.java 10-12 -->\n## Links\n- uses [[X]]\n": "<!-- crux: src/a.java 10-12 -->\n",
+        f"## Crux\r\n<!-- crux: none -->\n{notes.END}\n\n## Notes\nhand written\n": "<!-- crux: none -->\n",
+        "## Summary\nprose\n## Crux": "",
+        "## Summary\nprose\n": None,
+        "## Cruxes and caveats\nprose\n": None,
+        "## Crux \nblank behind it\n": None,
+        " ## Crux\nindented\n": None,
+    }
+    assert [g[0] for g in values(spark, [(k,) for k in rows], "t string", notes.section(t, "Crux"))] == list(rows.values())
+
+
+def test_edges_are_as_written(spark):
+    text = "- before [[X]]\n## Links\n- uses [[A]]\n-tight [[B]]\n  - indented [[C]]\n- [[D]]\n- calls: [[E|shown]] and [[F]]\n- empty [[]]\n- open [[G\n## Links\n-\tmore\t [[H]]\n## Linksy\n- after [[I]]\n"
+    edges = values(spark, [(text,), ("none",)], "t string", notes.edges(F.col("t")))
+    assert [tuple(e) for e in edges[0][0]] == [("uses", "A"), ("tight", "B"), ("calls:", "E|shown"), ("more", "H")] and edges[1][0] == []
+
+
+def test_a_crux_is_the_one_under_its_heading(spark):
+    body = "## Summary\nlike `<!-- crux: path 10-20 -->`\n## Crux\nfirst <!-- crux: src/real.zig 5-8 --> x\n<!-- crux: none -->\n## Notes\n"
+    rows = [(body,), ("## Crux\n<!-- crux: none -->",), ("<!-- crux: a 1-2 -->",), ("## Crux\n<!-- crux: bad -->",)]
+    got = [x[0] for x in values(spark, rows, "t string", notes.crux(F.col("t")))]
+    assert (tuple(got[0]["span"]), got[0]["none"], got[0]["marker"]) == (("src/real.zig", 5, 8), False, "<!-- crux: src/real.zig 5-8 -->")
+    assert got[1]["none"] and got[2] is None and got[3]["span"] is None and not got[3]["none"]
+
+
+def test_lines_are_replaced_and_groundings_go(spark):
+    t = F.col("t")
+    got = values(spark, [("a\n  x <!--m--> y\nb <!--m-->",), ("<!--m-->",), ("no mark",), ("a\n<!--m-->",)], "t string", notes.with_line(t, F.lit("<!--m-->"), F.lit("new\nlines\n\n")))
+    assert [g[0] for g in got] == ["a\nnew\nlines\nb <!--m-->", "new\nlines", "no mark", "a\nnew\nlines"]
+    got = values(spark, [("p\n <!-- grounded_in: a 1-2 --> \nsee <!-- grounded_in: b 3-4 -->here <!-- other -->\n<!-- grounded_in: c 1-1 --> <!-- x -->\nq",)], "t string", notes.without_directives(t, "grounded_in"))
+    assert got[0][0] == "p\nsee here <!-- other -->\n <!-- x -->\nq"
+    got = values(spark, [("\n \r\n a\n\nb\n \n\n",), ("x",), (" \n\t",), ("  x\n",)], "t string", notes.without_blank_edges(t))
+    assert [g[0] for g in got] == [" a\n\nb", "x", "", "  x"]
+
+
 def test_settings():
     text = "# c\nexport A=~/x\nB=\"$HOME/${A2}\"\nC='~$X'\nD=a\\$b\nbad line\n"
     assert files.settings(text, {"HOME": "/h", "A2": "z"}) == {"A": "/h/x", "B": "/h/z", "C": "~$X", "D": "a$b"}

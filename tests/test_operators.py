@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +201,46 @@ def test_commit_graph(spark):
     c = spark.createDataFrame([("a", None), ("b", "a"), ("c", "a"), ("m", "b"), ("m", "c")], "sha string, parent string")
     p = spark.createDataFrame([("a", "m"), ("b", "c"), ("m", "b")], "a string, b string")
     assert rows(commits.left_right(c, p)) == [("a", "m", 0, 3, True), ("b", "c", 1, 1, False), ("m", "b", 2, 0, False)]
+
+
+def test_a_note_has_all_its_fields(spark):
+    """As written out by hand."""
+    from sextant.functions import notes as n
+
+    nodes = [("a", "T", 'say "x\\"', "p", "main", "2026", "c1", "f.py", "3-9", "\n\nbody\n\n", "mine"), ("b", "U", "", "p", "dev", "2026", None, None, None, "", None)]
+    columns = "node string, title string, summary string, project string, branch string, built_at string, commit string, crux_path string, crux_lines string, body string, tail string"
+    sources = [("a", p, "h") for p in ("y.py", "x.py", "x.py")] + [("b", f"m{i % 2}/f{i}", "h") for i in range(5)]
+    grounded = [("a", "g.py", "1-2", "d")]
+    made = spark.createDataFrame(nodes, columns)
+    out = dict((r["node"], r["text"]) for r in report.note(made, spark.createDataFrame(sources, "node string, path string, hash string"), F.substring_index("path", "/", 1), spark.createDataFrame(grounded, "node string, path string, lines string, digest string")).collect())
+    digest = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    assert out["a"] == (
+        f'---\ntitle: "T"\nsummary: "say \\"x\\\\\\""\nnode_type: sextant-node\nproject: p\nbranch: main\nsources:\n  - path: x.py\n    hash: h\n  - path: y.py\n    hash: h\nsources_digest: {digest(["x.py:h", "y.py:h"])}\n'
+        f'stale: false\nbuilt_at: "2026"\ncommit: c1\ncrux_path: f.py\ncrux_lines: "3-9"\ngrounded_in:\n  - path: g.py\n    lines: "1-2"\n    digest: d\n---\n\n# T\n{n.START}\n\nbody\n\n## Sources\n- `x.py`\n- `y.py`\n{n.END}\nmine\n'
+    )
+    assert out["b"] == (
+        '---\ntitle: "U"\nsummary: ""\nnode_type: sextant-node\nproject: p\nbranch: dev\nsources:\n' + "".join(f"  - path: {p}\n    hash: h\n" for p in ("m0/f0", "m0/f2", "m0/f4", "m1/f1", "m1/f3"))
+        + f'sources_digest: {digest([f"m{m}/f{i}:h" for m, i in ((0, 0), (0, 2), (0, 4), (1, 1), (1, 3))])}\nstale: false\nbuilt_at: "2026"\n---\n\n# U\n{n.START}\n\n\n## Sources\n- `m0` (3)\n- `m1` (2)\n{n.END}\n\n## Notes\n\n'
+    )
+
+
+def test_paths_without_tags_stay(spark):
+    lines = [("o", 1, "\tlost"), ("o", 2, "a.py"), ("o", 3, "\tx\ty"), ("o", 4, ""), ("o", 5, "b.py"), ("o", 6, "a.py"), ("o", 7, "\tz"), ("o", 8, "c.py")]
+    out = extract.attributed(spark.createDataFrame(lines, "file string, n int, line string"), "file", "n").collect()
+    assert sorted(((r["path"], r["line"]) for r in out), key=str) == [("a.py", "x\ty"), ("a.py", "z"), ("b.py", None), ("c.py", None)]
+
+
+def test_repeated_rows_each_meet_their_ancestor(spark):
+    from sextant.operators import index
+
+    rows = spark.createDataFrame([("a/b/c.x",), ("a/b/c.x",), ("d.x",)], "path string")
+    rules = spark.createDataFrame([("a", 1), ("a/b", 2)], "dir string, v int")
+    assert [tuple(r) for r in index.nearest_ancestor(rows, rules).collect()] == [("a/b/c.x", "a/b", 2)] * 2
+
+
+def test_the_first_request_of_a_path_counts(spark):
+    from sextant.operators import cache
+
+    asked = spark.createDataFrame([("p", "b", 1), ("p", "a", 2), ("q", "a", 1)], "path string, hash string, n int")
+    known = spark.createDataFrame([("p", "a"), ("q", "a")], "path string, hash string")
+    assert [tuple(r) for r in cache.needs_tagging(asked, known, "n").collect()] == [("p", "b")]
