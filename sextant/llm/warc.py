@@ -106,9 +106,16 @@ def plain_text(page: str) -> str:
     return read_page(page)[3]
 
 
+_BREAK = re.compile(r"[\r\n]+")
+
+
+def _flat(value: str) -> str:
+    return _BREAK.sub(" ", value) if "\n" in value or "\r" in value else value
+
+
 def serialise(headers: Headers, block: bytes) -> bytes:
     """A WARC/1.1 record; line breaks in header values become spaces."""
-    head = "".join(f"{name}: {re.sub(r'[\r\n]+', ' ', value)}\r\n" for name, value in headers)
+    head = "".join(f"{name}: {_flat(value)}\r\n" for name, value in headers)
     return f"WARC/1.1\r\n{head}\r\n".encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
@@ -220,7 +227,7 @@ def derive(source: Headers, payload: bytes, sent: Headers = ()) -> list[dict]:
     listed = lambda h: json.dumps([list(x) for x in h], ensure_ascii=False)
     fields = [("title", title), ("languages", lang), ("source-headers", listed(source)), ("source-http-headers", listed(sent) if sent else "")]
     fields += [("outlink", x) for x in links]
-    about = "".join(f"{n}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for n, v in fields if v).encode("utf-8", "replace")
+    about = "".join(f"{n}: {_flat(v)}\r\n" for n, v in fields if v).encode("utf-8", "replace")
     out = []
     for kind, block, mime in (("metadata", about, "application/warc-fields"), ("conversion", text.encode("utf-8", "replace"), "text/plain; charset=utf-8")):
         name = record_id(refers or f"{uri} {whole}", kind)
