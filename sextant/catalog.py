@@ -1,6 +1,6 @@
 """Registered queries of the engine and their SQL."""
 
-from sextant.plans import note_queries  # noqa: F401, its queries register themselves
+from sextant.plans import graph_queries, note_queries  # noqa: F401, their queries register themselves
 from sextant.plans import queries as registered
 
 

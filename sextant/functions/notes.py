@@ -169,3 +169,34 @@ def without_directives(text: Column, keyword: str) -> Column:
 def without_blank_edges(text: Column) -> Column:
     """The text without blank lines at either end."""
     return F.regexp_replace(F.regexp_replace(text, r"\A(?:[ \t\r]*\n)+", ""), r"(?:(?:\n|\A)[ \t\r]*)+\z", "")
+
+
+def list_values(text: Column, key: str) -> Column:
+    """The values of a front matter list of plain strings, in brackets on the key's line or a dash each below it, without quotes; empty without one."""
+    block = frontmatter(text)
+    inline = F.regexp_extract(block, rf"(?m)^{re.escape(key)}: *([^\n]*?) *$", 1)
+    below = F.regexp_extract(block, rf"(?m)^{re.escape(key)}: *\n((?: *(?:- [^\n]*|[ \t][^\n]*)?(?:\n|\z))*)", 1)
+    flow = F.filter(F.transform(F.split(F.regexp_extract(inline, r"^\[ *(.*?) *\]$", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
+    listed = F.transform(F.filter(F.split(below, "\n"), lambda x: F.ltrim(x).startswith("- ")), lambda x: F.trim(F.substring(F.ltrim(x), 3, 1 << 30)))
+    plain = lambda x: F.when(x.rlike(r"""(?s)\A(["']).*\1\z""") & (F.length(x) >= 2), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    return F.transform(F.when(inline != "", flow).otherwise(listed), plain)
+
+
+def cluster_sources(text: Column) -> Column:
+    """(slug, path) of a cluster note's sources: pairs of lines whose values stand in double quotes; others are left out."""
+    lines = F.filter(F.split(block_items(text, "sources"), "\n"), lambda x: F.trim(x) != "")
+    after = lambda x, k: F.when(x.rlike(rf'{k}: *".*" *$'), F.regexp_extract(x, rf'{k}: *"(.*)" *$', 1))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - 2, F.lit(0)), F.lit(2)), lambda i: F.struct(after(F.get(lines, i), "slug").alias("slug"), after(F.get(lines, i + 1), "path").alias("path")))
+    return F.filter(pairs, lambda p: p["slug"].isNotNull() & p["path"].isNotNull())
+
+
+def generated(text: Column, end: str = END) -> Column:
+    """The note up to its generated region's end mark; all of it without one."""
+    at = F.locate(end, text)
+    return F.when(at > 0, F.substring(text, F.lit(1), at + len(end) - 1)).otherwise(text)
+
+
+def after_generated(text: Column, end: str = END) -> Column:
+    """What people wrote after the generated region, without its end mark."""
+    at = F.locate(end, text)
+    return F.when(at > 0, F.substring(text, at + len(end), F.length(text))).otherwise("")

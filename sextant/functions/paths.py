@@ -75,6 +75,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"\.[^.]*$", "")
 
 
+def key_of(path: Column) -> Column:
+    """(stem, module) by which declarations meet their consumers: the name without its last extension, and the first two directories (fewer if there are no more)."""
+    return F.struct(stem(path).alias("stem"), group_of(path, 2).alias("module"))
+
+
 def strip_md(path: Column) -> Column:
     return F.regexp_replace(path, r"\.md$", "")
 

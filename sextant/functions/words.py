@@ -115,3 +115,9 @@ def kind_for(spelling: Column, scope: Column, rules: list[tuple[str, str | None,
         fits = spelling == match
         out = F.when(fits if within is None else fits & (scope == within), F.lit(kind)).otherwise(out)
     return out
+
+
+def tag_line(name: Column, kind: Column, role: Column, span: tuple[Column, Column, Column, Column], expression: Column, most: int = 180) -> Column:
+    """An occurrence as one printed line: name and kind padded to 10 and 8, role, the span's rows and columns, and the line cut at `most` bytes in backticks."""
+    cut = F.regexp_replace(F.substring(expression.cast("binary"), 1, most).cast("string"), r"[ \t]+\z", "")
+    return F.format_string("%-10s\t | %-8s\t%s (%d, %d) - (%d, %d) `%s`", name, kind, role, *span, cut)

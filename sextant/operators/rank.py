@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import paths, words
+from sextant.plans.ordering import placed
 
 LEAST_STEM = 3
 
@@ -41,3 +42,13 @@ def consumers(declarations: DataFrame, code: DataFrame, module: str = "module",
     c = code.select(F.col(module).alias("module"), F.col(stem).alias("stem"), first(stem))
     meets = (F.col("module") == F.col("__m")) & (c["__first"] == d["__first"]) & F.col("stem").startswith(F.col("__d"))
     return c.join(d, meets).groupBy("module", "stem").agg(F.count(F.lit(1)).alias("consumers"))
+
+
+def listing(code: DataFrame, dsl: DataFrame, top: int = 0) -> DataFrame:
+    """(tier, score, path, position): the best files of the code tier, then of the dsl tier, each at most `top` (0: all), by score and path."""
+    out = None
+    for nth, (tier, rows) in enumerate((("code", code), ("dsl", dsl))):
+        kept = best(rows.select("path", F.col("score").cast("double").alias("score")), top)
+        kept = kept.select(F.lit(nth).alias("__tier"), F.lit(tier).alias("tier"), "score", "path")
+        out = kept if out is None else out.unionByName(kept)
+    return placed(out, [F.col("__tier"), F.col("score").desc(), F.col("path")]).drop("__tier")

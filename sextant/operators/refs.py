@@ -19,6 +19,24 @@ def write(refs: DataFrame, path: str) -> None:
     refs.repartitionByRange("name").sortWithinPartitions(*ROW).write.mode("overwrite").parquet(path)
 
 
+def by_name(tags: DataFrame) -> DataFrame:
+    """Distinct sites (name, dir, kind, path, line) of occurrences, in ranges of names; the lines' texts stay where they are, once each."""
+    sites = tags.where(F.col("role").isin("def", "ref")).select("name", F.col("role").alias("dir"), "kind", "path", "line").distinct()
+    return sites.repartitionByRange("name").sortWithinPartitions("name", "dir", "kind", "path", "line")
+
+
+def looked_up(sites: DataFrame, lines: DataFrame, name: str, calls_only: bool = True) -> DataFrame:
+    """References to exactly this name in a stored index (by_name), as rows of index(); lines: path, line, expression.
+
+    The name, and the kind unless all are asked for, are tested by the scan. The found sites, of one name, are
+    joined to their lines.
+    """
+    found = sites.where((F.col("name") == name) & (F.col("dir") == "ref"))
+    found = found.where(F.col("kind") == "call") if calls_only else found
+    said = found.join(lines.select("path", "line", "expression"), ["path", "line"])
+    return said.select("name", "dir", "kind", F.concat_ws(":", "path", F.col("line").cast("string")).alias("site"), F.col("expression").alias("expr")).distinct()
+
+
 def callers(refs: DataFrame, name: str, calls_only: bool = True) -> DataFrame:
     """References to exactly this name; only calls unless all are asked for."""
     found = refs.where((F.col("name") == name) & (F.col("dir") == "ref"))

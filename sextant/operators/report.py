@@ -97,3 +97,53 @@ def compare_plan(existing: DataFrame, planned: DataFrame) -> DataFrame:
     both = existing.select("node", F.col("text").alias("was")).join(planned.select("node", F.col("text").alias("now")), "node", "full")
     state = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "would remove").when(F.col("was") != F.col("now"), "dirty")
     return both.select("node", state.alias("state")).where("state is not null")
+
+
+def cluster_notes(entries: DataFrame, existing: DataFrame) -> DataFrame:
+    """(node, text, dirty): a note per cluster with its sources and a link to each entity, and what people wrote after the generated region before.
+
+    entries: node (title), slug, path, name; in the order of slug and path. existing: node, text. A note is dirty if it was not there, or up to
+    the region's end was another. The entities of a cluster are part of its text, so a cluster is one row.
+    """
+    part = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    each = lambda c, f: F.array_join(F.transform(c, f), "")
+    listed = entries.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("slug", "path", "name"))).alias("e"))
+    both = listed.join(existing.select("node", F.col("text").alias("was")), "node", "left")
+    head = part('---\ntitle: "', F.col("node"), '"\nsources:\n', each("e", lambda x: part('  - slug: "', x["slug"], '"\n    path: "', x["path"], '"\n')), f"---\n\n{notes.START}\n## Entities\n")
+    text = part(head, each("e", lambda x: part("- [[", x["slug"], "]] \u2014 ", x["name"], "\n")), notes.END, F.coalesce(notes.after_generated(F.col("was")), F.lit("")))
+    return both.withColumn("text", text).select("node", "text", F.coalesce(notes.generated(F.col("was")) != notes.generated(F.col("text")), F.lit(True)).alias("dirty"))
+
+
+def branch_facts(namespaces: DataFrame, refs: DataFrame, config: DataFrame) -> DataFrame:
+    """Namespaces (namespace, branch, has_remote) with what branch_verdict asks of a repository: local, upstream_remote, upstream_branch, upstream_there.
+
+    refs: ref (refs/heads/..., refs/remotes/...). config: key (branch.<name>.remote, branch.<name>.merge) and value; blank values count as none.
+    """
+    value = lambda what, name: config.where(F.col("key").startswith("branch.") & F.col("key").endswith(f".{what}") & (F.trim("value", F.lit(" \t\r\n")) != "")).groupBy(F.regexp_extract("key", rf"^branch\.(.*)\.{what}$", 1).alias("branch")).agg(F.min(F.trim("value", F.lit(" \t\r\n"))).alias(name))
+    known = refs.select("ref").distinct()
+    out = namespaces.join(value("remote", "upstream_remote"), "branch", "left").join(value("merge", "merge"), "branch", "left")
+    out = out.withColumn("upstream_branch", F.regexp_replace("merge", "^refs/heads/", "")).drop("merge")
+    out = out.withColumn("__head", F.concat(F.lit("refs/heads/"), "branch")).withColumn("__far", F.concat(F.lit("refs/remotes/"), "upstream_remote", F.lit("/"), "upstream_branch"))
+    out = out.join(known.select(F.col("ref").alias("__head"), F.lit(True).alias("local")), "__head", "left").join(known.select(F.col("ref").alias("__far"), F.lit(True).alias("upstream_there")), "__far", "left")
+    return out.drop("__head", "__far").na.fill(False, ["local", "upstream_there"])
+
+
+def checks(facts: DataFrame, rules: list[tuple[str, str, str, str, str]], by: str = "machine") -> DataFrame:
+    """(machine, check, status, detail) of preconditions over facts (machine, key, value).
+
+    rules: check, key, pattern that the value must match, status if it does not (warn or fail), and what to do then. A fact that is
+    missing does not match. Rules are configuration, tens of rows, so they are part of the plan.
+    """
+    keys = sorted({r[1] for r in rules})
+    per = facts.where(F.col("key").isin(keys)).groupBy(by).agg(*(F.min(F.when(F.col("key") == k, F.col("value"))).alias(f"__{i}") for i, k in enumerate(keys)))
+    rows = []
+    for check, key, pattern, otherwise, advice in rules:
+        value = F.col(f"__{keys.index(key)}")
+        fits = F.coalesce(value.rlike(pattern), F.lit(False))
+        rows.append(F.struct(F.lit(check).alias("check"), F.when(fits, "ok").otherwise(otherwise).alias("status"), F.when(fits, value).otherwise(F.concat(F.lit(f"{advice} ("), F.coalesce(value, F.lit("missing")), F.lit(")"))).alias("detail")))
+    return facts.select(by).distinct().join(per, by, "left").select(by, F.inline(F.array(*rows)))
+
+
+def drift_note(compared: DataFrame) -> DataFrame:
+    """One line if a sync would change anything (compare_plan's rows), else none."""
+    return compared.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.format_string("The graph is behind its sources by %d cluster(s).", "n").alias("line"))

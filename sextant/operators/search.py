@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.functions import notes, words
+from sextant.functions import notes, paths, words
 from sextant.operators import links
 
 
@@ -73,3 +73,10 @@ def under(files: DataFrame, part: str) -> DataFrame:
 def dirty_sources(changed: DataFrame, sources: DataFrame, shown: int = 3) -> DataFrame:
     """The first changed paths that a node was written from."""
     return changed.select("path").distinct().join(sources.select("path"), "path", "left_semi").orderBy("path").limit(shown)
+
+
+def prose_misses(docs: DataFrame, entities: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, target) of links after the front matter to slugs that no entity has, each as often as it stands there."""
+    said = docs.select(F.col(path).alias("path"), F.explode(words.wikilinks(F.regexp_replace(F.col(text), r"(?s)\A---\r?\n.*?\n---\r?(?:\n|\z)", ""))).alias("target"))
+    known = entities.select("slug").distinct()
+    return said.withColumn("slug", paths.strip_md(F.col("target"))).join(known, "slug", "left_anti").select("path", "target")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.functions import words
+from sextant.functions import paths, words
 
 
 def digests(sources: DataFrame, node: str = "node") -> DataFrame:
@@ -101,3 +101,40 @@ def groundings(quoted: DataFrame, files: DataFrame) -> DataFrame:
 def identity_matches(remote, branch, current_remote, current_branch):
     """Whether an index belongs to this remote and branch; what is absent matches nothing."""
     return F.coalesce((remote == current_remote) & (branch == current_branch), F.lit(False))
+
+
+def drift_by_baseline(nodes: DataFrame, claims: DataFrame, changes: DataFrame) -> DataFrame:
+    """drift of each node against the diff from its own baseline. nodes: node, commit. changes: commit, status, path, old_path; a diff is read once however many nodes share it."""
+    known = changes.where(F.col("status").isin("M", "R", "D")).select("commit", "status", F.coalesce("old_path", "path").alias("path"))
+    mine = claims.select("node", "path").distinct().join(nodes.select("node", "commit"), "node")
+    n = lambda s, name: F.count_if(F.col("status") == s).alias(name)
+    return mine.join(known, ["commit", "path"]).groupBy("node", "commit").agg(n("M", "modified"), n("R", "renamed"), n("D", "deleted"))
+
+
+def added_findings(changes: DataFrame, claims: DataFrame, manifest: list[tuple[str, str, str]] | None, shown: int = 5) -> DataFrame:
+    """(finding, n, names): how many added paths no node claims, by whether a manifest row (title, include, exclude) takes them.
+
+    Without a manifest there is one finding. Those that no row takes come with the first few names. Findings without paths are left out.
+    """
+    new = added_unclaimed(changes, claims).distinct()
+    if manifest is None:
+        return new.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("no manifest").alias("finding"), "n", F.lit("").alias("names"))
+    takes = F.lit(False)
+    for title, include, exclude in manifest:
+        if title:
+            takes = takes | (F.col("path").rlike(paths.posix(include)) & (~F.col("path").rlike(paths.posix(exclude)) if exclude else F.lit(True)))
+    sorted_new = new.withColumn("finding", F.when(takes, "matches the manifest").otherwise("matches no pattern"))
+    first = sorted_new.withColumn("__nth", F.row_number().over(Window.partitionBy("finding").orderBy("path"))).where(F.col("__nth") <= shown)  # pruned before the shuffle
+    names = first.where("finding = 'matches no pattern'").groupBy("finding").agg(F.array_join(F.array_sort(F.collect_list("path")), " ").alias("names"))
+    return sorted_new.groupBy("finding").agg(F.count(F.lit(1)).alias("n")).join(names, "finding", "left").na.fill("", ["names"])
+
+
+def cited_evidence(cited: DataFrame, edited: DataFrame) -> DataFrame:
+    """(node, kind, path, lines) of quotes of edited files that no longer are what was recorded.
+
+    cited: node, kind (crux or grounding), path, lines (a-b), digest. edited: path, content. Malformed ranges say nothing, and lines past the end are empty.
+    """
+    span = words.line_range(F.col("lines"))
+    met = cited.withColumn("__span", span).where(F.col("__span").isNotNull()).join(edited.select("path", "content"), "path")
+    now = F.sha2(F.coalesce(words.line_slice(F.col("content"), F.col("__span.start"), F.col("__span.end")), F.lit("")), 256)
+    return met.where(now != F.col("digest")).select("node", "kind", "path", "lines")

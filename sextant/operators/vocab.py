@@ -81,3 +81,13 @@ def distinctive(vocabulary: DataFrame, top: int = 8, k: int = 20) -> DataFrame:
     scored = _judged(vocabulary, top)
     score = words.distinctiveness(F.col("df"), F.col("n"), k)
     return scored.groupBy("cluster").agg(F.count_if(score > 0.5).alias("distinctive"), F.count(F.lit(1)).alias("considered"))
+
+
+def in_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows (with path) of claimed paths, once for each list (group, path) that claims them; others have no group to go to."""
+    return rows.join(lists.select("group", "path").distinct(), "path")
+
+
+def list_files(lists: DataFrame) -> DataFrame:
+    """(group, files): rows of each list, so a path in two lists counts in both."""
+    return lists.groupBy("group").agg(F.count(F.lit(1)).alias("files"))

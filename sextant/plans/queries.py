@@ -126,12 +126,12 @@ def refs_counts(spark, d):
 
 @query(f"WITH {t.PLACED} SELECT DISTINCT name, role AS dir, kind, path || ':' || line AS site, expression AS expr FROM placed WHERE name = 'that' AND role = 'ref' AND kind = 'call'")
 def callers(spark, d):
-    return refs.callers(refs.index(t.placed_tags(spark, d)), "that")
+    return refs.looked_up(t.stored_sites(spark, d), t.tagged_lines(spark, d), "that")
 
 
 @query(f"WITH {t.PLACED} SELECT DISTINCT name, role AS dir, kind, path || ':' || line AS site, expression AS expr FROM placed WHERE name = 'that' AND role = 'ref'")
 def callers_all(spark, d):
-    return refs.callers(refs.index(t.placed_tags(spark, d)), "that", calls_only=False)
+    return refs.looked_up(t.stored_sites(spark, d), t.tagged_lines(spark, d), "that", calls_only=False)
 
 
 def _cached(spark, d):

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import words
-from sextant.plans.storage import spread
+from sextant.operators import refs
+from sextant.plans.storage import kept, spread
 from sextant.sources import extract
 
 
@@ -25,21 +26,36 @@ DOCS = "docs AS (SELECT doc_id, text, lang, source, n_chars, lang || '/' || sour
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token occurrences: path, node, lang, name, role."""
-    return extract.tokens(spread(documents(spark, sf_dir)), ["path", "node", "lang"])
+    """Token occurrences: path, node, lang, name, role; extracted once for the documents as they are, and read from storage after."""
+    return kept(table(spark, sf_dir, "documents"), "tags", lambda: extract.tokens(spread(documents(spark, sf_dir)), ["path", "node", "lang"]))
 
 
 TAGS = f"""{DOCS}, tok AS (SELECT path, node, lang, unnest(regexp_extract_all(text, '{words.WORD}')) AS token FROM docs),
 tags AS (SELECT path, node, lang, lower(token) AS name, CASE WHEN regexp_matches(token, '^[A-Z]') THEN 'def' ELSE 'ref' END AS role FROM tok WHERE length(token) >= 4)"""
 
 
+def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line (path, node, line from 0, its trimmed text as expression) with its occurrences (name, role, kind: call if a comma follows), stored as tags are."""
+    token = lambda x: F.rtrim(x, F.lit(","))
+    shape = lambda x: F.struct(F.lower(token(x)).alias("name"), F.when(x.rlike("^[A-Z]"), "def").otherwise("ref").alias("role"), F.when(x.endswith(","), "call").otherwise("name").alias("kind"))
+
+    def build() -> DataFrame:
+        lines = spread(documents(spark, sf_dir)).select("path", "node", F.posexplode(F.split("text", "\n", -1)).alias("line", "expression"))
+        said = F.filter(F.regexp_extract_all("expression", F.lit(f"({words.WORD}),?"), F.lit(0)), lambda x: F.length(token(x)) >= 4)
+        return lines.select("path", "node", "line", F.trim("expression").alias("expression"), F.transform(said, shape).alias("found"))
+
+    return kept(table(spark, sf_dir, "documents"), "lines", build)
+
+
 def placed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences with their line from 0, its text, and kind: call if a comma follows."""
-    lines = spread(documents(spark, sf_dir)).select("path", "node", F.posexplode(F.split("text", "\n", -1)).alias("line", "expression"))
-    found = lines.select("path", "node", "line", F.trim("expression").alias("expression"), F.explode(F.regexp_extract_all("expression", F.lit(f"({words.WORD}),?"), F.lit(0))).alias("t"))
-    name = F.rtrim(F.col("t"), F.lit(","))
-    kept = found.where(F.length(name) >= 4)
-    return kept.select("path", "node", "line", "expression", F.lower(name).alias("name"), F.when(name.rlike("^[A-Z]"), "def").otherwise("ref").alias("role"), F.when(F.col("t").endswith(","), "call").otherwise("name").alias("kind"))
+    return tagged_lines(spark, sf_dir).select("path", "node", "line", "expression", F.inline("found"))
+
+
+def stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference index without the lines' texts, in ranges of names: a lookup reads the row groups that can hold its name."""
+    build = lambda: refs.by_name(placed_tags(spark, sf_dir))
+    return kept(table(spark, sf_dir, "documents"), "sites", build)
 
 
 PLACED = f"""{DOCS}, ln AS (SELECT path, node, unnest(string_split(text, chr(10))) AS expression, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM docs),

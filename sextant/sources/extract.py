@@ -127,3 +127,75 @@ def declared_field(content: Column, prefix: str, terminator: str | None = None)
     stop = re.escape(terminator) if terminator else r"(?:\r?$)"
     pattern = rf"(?m)^[ \t]*{re.escape(prefix)}[ \t]*(\S[^\n]*?)[ \t\r]*{stop}"
     return F.nullif(F.trim(F.regexp_extract(plain, pattern, 1)), F.lit(""))
+
+
+def _holds(predicate: tuple[str, list[str]]) -> Column | None:
+    """Whether a match meets a predicate (name, arguments; captures begin with @); null where it cannot be told here."""
+    name, given = predicate
+    if name.endswith("!"):  # rewrites, does not filter
+        return F.lit(True)
+    if name not in ("eq?", "not-eq?", "any-of?", "not-any-of?"):
+        return None
+    if len(given) < 2:
+        return F.lit(True)
+    if not given[0].startswith("@"):
+        return F.lit(False)
+    text = lambda a: F.col("captures")[a[1:]]["text"] if a.startswith("@") else F.lit(a)
+    left = text(given[0])
+    same = left == text(given[1]) if "eq" in name else left.isin(*(a for a in given[1:] if not a.startswith("@")))
+    return F.coalesce(~same if name.startswith("not") else same, F.lit(False))
+
+
+def query_tags(matches: DataFrame, patterns: dict[int, list[tuple[str, list[str]]]]) -> DataFrame:
+    """Occurrences (path, name, role, kind, start, end) of a query's matches, of the patterns whose predicates all can be told and hold.
+
+    matches: path, pattern (number), captures (map of name to text, start, end); @name is the symbol, and @definition.kind or
+    @reference.kind say what it is. A pattern with a predicate that cannot be told (a regular expression, an unknown one)
+    is dropped: a false occurrence is worse than a missing one. Matches without a name or a role give none.
+    """
+    keeps = F.lit(False)
+    for number, predicates in patterns.items():
+        held = [_holds(p) for p in predicates]
+        if all(h is not None for h in held):
+            here = F.col("pattern") == number
+            for h in held:
+                here = here & h
+            keeps = keeps | here
+    what = F.get(F.filter(F.map_keys("captures"), lambda k: k.rlike(r"^(definition|reference)\.")), 0)
+    name = F.col("captures")["name"]
+    tags = matches.where(keeps & what.isNotNull() & name.isNotNull())
+    role = F.when(what.startswith("definition."), "def").otherwise("ref")
+    return tags.select("path", name["text"].alias("name"), role.alias("role"), F.substring_index(what, ".", -1).alias("kind"), name["start"].alias("start"), name["end"].alias("end"))
+
+
+def local_tags(captures: DataFrame, rules: list[tuple[str, str | None, str]], scope: str = "") -> DataFrame:
+    """Definitions of captures (path, capture, text, start, end) named local.definition.kind, whose kind a rule (spelling, scope, kind) settles; others are dropped."""
+    spelled = F.regexp_extract("capture", r"^(?:local\.)?definition\.(.+)$", 1)
+    kind = words.kind_for(spelled, F.lit(scope), rules)
+    return captures.where((spelled != "") & kind.isNotNull()).select("path", F.col("text").alias("name"), F.lit("def").alias("role"), kind.alias("kind"), "start", "end")
+
+
+def walk_tags(nodes: DataFrame, kinds: DataFrame, levels: int = 3) -> DataFrame:
+    """Definitions from a table of syntax nodes (path, id, parent, type, field, start, end, text): nodes of declaring types, by their name.
+
+    kinds: type, kind. The name is the child in the field `name`, else the first identifier at most `levels` below; nodes without one give none.
+    """
+    declared = nodes.join(kinds.select("type", "kind").distinct(), "type").select("path", F.col("id").alias("of"), "kind", F.col("id").alias("at"))
+    below = nodes.select("path", F.col("parent").alias("at"), F.col("id").alias("next"), "type", "field", "start", "end", "text")
+    found = None
+    for level in range(1, levels + 1):
+        met = declared.join(below, ["path", "at"])
+        named = (F.col("field") == "name") if level == 1 else F.lit(False)
+        some = met.where(F.coalesce(named, F.lit(False)) | F.col("type").endswith("identifier"))
+        some = some.select("path", "of", "kind", F.struct((~F.coalesce(named, F.lit(False))).alias("other"), "start", "end", "text").alias("n"))
+        found = some if found is None else found.unionByName(some)
+        declared = met.select("path", "of", "kind", F.col("next").alias("at"))
+    best = found.groupBy("path", "of").agg(F.min_by(F.struct("kind", "n"), "n").alias("x"))
+    return best.select("path", F.col("x.n.text").alias("name"), F.lit("def").alias("role"), F.col("x.kind").alias("kind"), F.col("x.n.start").alias("start"), F.col("x.n.end").alias("end"))
+
+
+def generated_tags(queried: DataFrame, walked: DataFrame) -> DataFrame:
+    """Both tiers' occurrences, one for each identifier's place; what a query found counts before what the walk found."""
+    both = queried.withColumn("__from", F.lit(0)).unionByName(walked.withColumn("__from", F.lit(1)))
+    one = both.groupBy("path", "start", "end").agg(F.min(F.struct("__from", "role", "kind", "name")).alias("x"))
+    return one.select("path", "x.name", "x.role", "x.kind", "start", "end")
