@@ -199,7 +199,8 @@ def judged(documents: DataFrame, labels: DataFrame, text: str = "text", prefix:
     """Adds the statistics, base_failed, rule (the learned rule that rejects, or null) and kept, each with the prefix.
 
     kept is false for a base failure or where a rule holds. Repeated rows are judged alike, null
-    doc_ids are judged too, and tables without usable labels give no rules.
+    doc_ids are judged too, null and empty texts fail, and tables without usable labels give no rules. Texts of any
+    length are counted whole; one is held by a task, with an entry per word.
     """
     rules = learn_from(documents, labels, text, **how)
     out = statistics(documents, text, prefix)

@@ -132,6 +132,15 @@ def test_near_duplicates_where_closer_candidates_fail(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == brute.near_duplicates_kept(rows, 5, 0.8)
 
 
+def test_near_duplicates_of_planted_clusters(spark):
+    """Eight texts of 200 words in 60 variants of two to six other words each, so most pairs of a cluster are near the threshold."""
+    rng = random.Random(1)
+    texts = [" ".join(v) for k in range(8) for v in edited(rng, [f"w{k}x{rng.randrange(900)}" for _ in range(200)], 60, [2, 3, 4, 5, 6])]
+    rows = list(enumerate(texts))
+    kept = sorted((r["doc_id"] for r in neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == brute.near_duplicates_kept(rows, 5, 0.8) and 8 < len(kept) < 480
+
+
 def test_near_duplicates_at_the_threshold(spark):
     """Of 5 and 4 shingles, and of 23 and 22, of which 4 and 20 are shared; and copies of many similarities."""
     rng = random.Random(5)
@@ -269,6 +278,43 @@ def test_rules_are_learned_and_applied(spark):
     assert untaught.where("kept").count() == 240
 
 
+def test_verdicts_equal_the_learned_rules_row_by_row(spark):
+    """On a whole table, with features counted by brute force: the first rule that holds rejects, and nothing else does."""
+    sf = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rules = quality.learn_from(documents, labels)
+    assert rules
+    text = {r["doc_id"]: r["text"] for r in documents.collect()}
+    for r in quality.judged(documents, labels).select("doc_id", *quality.STATISTICS, "n_lines", "n_upper", "n_marks", "base_failed", "rule", "kept").collect():
+        n, chars, symbols, lines, again = brute.statistics(text[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, again)
+        w, c, k = max(n, 1), max(chars, 1), max(r["n_lines"], 1)
+        row = dict(zip(quality.FEATURES, (n, chars / w, symbols / w, lines / k, again / w, r["n_upper"] / c, r["n_marks"] / w), strict=True))
+        first = next((f"{i + 1}: " + " and ".join(map(str, rule)) for i, rule in enumerate(rules) if all(x.holds(row) for x in rule)), None)
+        failed = n < 20 or 100 * again > 30 * n
+        assert (r["base_failed"], r["rule"], r["kept"]) == (failed, first, not failed and first is None)
+
+
+def test_rules_are_grown_pruned_and_in_order():
+    def row(bad, **values):
+        return dict.fromkeys(quality.FEATURES, 0.0) | values, bad
+
+    a, b = quality.FEATURES[1], quality.FEATURES[2]
+    # Bad rows are those of high a, and of high b with low a; b alone says nothing.
+    rows = [row(True, **{a: 10.0 + i % 3, b: float(i % 2)}) for i in range(90)] + [row(False, **{a: 1.0 + i % 3, b: float(i % 2)}) for i in range(90)]
+    random.Random(1).shuffle(rows)
+    rules = quality.learn(rows)
+    assert len(rules) == 1 and [c.feature for c in rules[0]] == [a] and rules[0][0].above and 3 < rules[0][0].threshold < 10
+    # The rule that covers most comes first, and what it covers is gone when the next is learned.
+    rows += [row(True, **{a: 2.0, b: 50.0 + i % 5}) for i in range(30)]
+    random.Random(2).shuffle(rows)
+    rules = quality.learn(rows)
+    assert [[c.feature for c in r] for r in rules] == [[a], [b]]
+    # A condition that only fits the rows it was grown on goes again.
+    grown = (quality.Condition(a, True, 5.0), quality.Condition(b, True, 0.5))
+    assert quality._prune([row(True, **{a: 9.0}), row(True, **{a: 9.0, b: 1.0}), row(False, **{a: 1.0, b: 1.0})], grown) == grown[:1]
+
+
 def test_learning_without_bad_rows():
     assert quality.learn([]) == [] and quality.learn([({f: 1.0 for f in quality.FEATURES}, False)] * 50) == []
 
