@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.plans.storage import written  # noqa: F401, for the operators
+from sextant.plans.storage import discard, written  # noqa: F401, for the operators
 
 #: Where this package can be imported from; workers add it if they cannot import it otherwise.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import written
+from sextant.llm.common import discard, written
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): for every node of a link, the smallest node of its component. Null ends make no link.
 
     Each round, a node takes the smallest label among its neighbours' and then its label's label, so
-    distances halve; only linked nodes take part, and every round is written to the shared folder.
+    distances halve; only linked nodes take part, and every round is written to the shared folder, from
+    which the one before it then goes. A label that very many nodes have is one row on its side of the
+    join, so what is skewed is the side that an adaptive join splits, and links of a node combine map-side.
     """
     both = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     both = both.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = written(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
-    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root")), "labels")
+    table = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root")), "labels")
+    labels = table
     while True:
         heard = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("said")), "other").groupBy("node").agg(F.min("said").alias("said"))
         nearer = labels.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "said").alias("now"))
         jumped = nearer.join(labels.select(F.col("node").alias("now"), F.col("root").alias("far")), "now", "left")
         step = written(jumped.select("node", "was", F.least("now", F.coalesce("far", "now")).alias("root")), "labels")
         changed = step.where(F.col("was") != F.col("root")).limit(1).count()
-        labels = step.select("node", "root")
+        discard(table)
+        table, labels = step, step.select("node", "root")
         if not changed:
+            discard(both)
             return labels
