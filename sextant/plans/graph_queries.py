@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sextant.functions import notes, paths, words
-from sextant.operators import rank, report, search, verify, vocab
+from sextant.operators import links, rank, report, search, verify, vocab
 from sextant.plans import tables as t
 from sextant.plans.ordering import placed
 from sextant.plans.queries import _density, query
-from sextant.sources import extract
+from sextant.plans.storage import shared
+from sextant.sources import extract, files
+from sextant.streaming import events as ev
 
 _LISTS = f"{t.TAGS}, lists AS (SELECT DISTINCT lang AS grp, path FROM docs WHERE lang <> 'de' UNION ALL SELECT DISTINCT source, path FROM docs WHERE source IN ('src1', 'src2'))"
 
@@ -202,3 +206,56 @@ def extractor_cascade(spark, d):
     docs = t.documents(spark, d).select("path", "source")
     tier = lambda said: lambda files: files.select("path", F.lit(said).alias("said"))
     return extract.cascade(docs, [(F.col("source") == "src4", tier("")), (F.lit(True), tier("x"))])
+
+
+@query(f"WITH {t.TAGS}, own AS (SELECT DISTINCT path, 'x' || lang AS node FROM docs WHERE source <> 'src0' UNION SELECT DISTINCT path, 'all' FROM docs WHERE source <> 'src0') SELECT own.node, name, role, count(*) AS n FROM tags JOIN own USING (path) GROUP BY ALL")
+def owned_tags(spark, d):
+    docs = t.documents(spark, d).where("source <> 'src0'")
+    owners = docs.select("path", F.concat(F.lit("x"), "lang").alias("node")).union(docs.select("path", F.lit("all")))
+    return links.owned(t.tags(spark, d).select("path", "name", "role"), owners.union(owners)).groupBy("node", "name", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WIKI = f"WITH {t.DOCS}, x AS (SELECT doc_id, path FROM docs), s AS (SELECT 'doc_' || doc_id AS stem, max(path) AS dst FROM x GROUP BY 1), l AS (SELECT path AS src, 'doc_' || (doc_id + 1) AS stem FROM x UNION SELECT path, 'doc_' || doc_id FROM x UNION SELECT path, 'doc_0' FROM x)"
+
+
+@query(_WIKI + " SELECT DISTINCT src, dst FROM l JOIN s USING (stem) WHERE src <> dst")
+def resolved_wikilinks(spark, d):
+    text = F.concat(F.lit("[[doc_"), (F.col("doc_id") + 1).cast("string"), F.lit(".md|next]] [[doc_"), F.col("doc_id").cast("string"), F.lit("]] [[ doc_0 ]] [[nowhere]] [[]]"))
+    return links.resolved_wikilinks(t.documents(spark, d).select("path", text.alias("text")))
+
+
+@query(f"WITH {t.DOCS} SELECT DISTINCT path AS src FROM docs WHERE lang = 'en'")
+def linking_notes(spark, d):
+    docs = t.notes(spark, d)
+    targets = spark.createDataFrame([("en",), ("de",)], "node string")
+    return search.linking_notes(links.declared(docs, "path").withColumnRenamed("target", "dst"), targets, "en")
+
+
+@query(f"WITH {t.DOCS} SELECT doc_id, lang || '.py' AS path, '1-' || doc_id AS lines, sha1(text) AS digest FROM docs UNION ALL SELECT doc_id, 'b.py', '2-3', NULL FROM docs")
+def note_groundings(spark, d):
+    text = F.concat(F.lit("---\ntitle: x\ngrounded_in:\n  - path: "), "lang", F.lit('.py\n    lines: "1-'), F.col("doc_id").cast("string"), F.lit('"\n    digest: '), F.sha1("text"), F.lit('\n  - path: b.py\n    lines: 2-3\nlast: 1\n---\ngrounded_in:\n  - path: no\n'))
+    return t.documents(spark, d).select("doc_id", F.inline(notes.groundings(text)))
+
+
+@query(f"WITH {t.DOCS}, e AS (SELECT path AS src, 'written in' AS relation, lang AS target FROM docs UNION ALL SELECT path, 'from:', source FROM docs UNION ALL SELECT path, 'near', 'here' FROM docs) SELECT src, relation, target, row_number() OVER (ORDER BY src, relation, target) - 1 AS position FROM e")
+def edges_listed(spark, d):
+    return placed(links.declared(t.notes(spark, d), "path"), [F.col("src"), F.col("relation"), F.col("target")])
+
+
+@query("SELECT p_name AS name, 'def' AS dir, p_type AS kind, p_brand || ':' || p_size AS site, CASE WHEN p_size > 9 THEN p_type END AS expr FROM part")
+def tsv_round_trip(spark, d):
+    rows = t.table(spark, d, "part").select(F.col("p_name").alias("name"), F.lit("def").alias("dir"), F.col("p_type").alias("kind"), F.concat_ws(":", "p_brand", F.col("p_size").cast("string")).alias("site"), F.when(F.col("p_size") > 9, F.col("p_type")).alias("expr"))
+    at = f"{shared(spark)}/refs-{uuid.uuid4().hex}"
+    files.write_tsv(rows, at)
+    return files.refs(spark, at)
+
+
+@query("SELECT event_id, user_id AS session, nth FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) WHERE nth % 5 = 0")
+def push_due(spark, d):
+    return ev.pushes(t.events(spark, d)).select("event_id", "session", "nth")
+
+
+@query("SELECT n_name AS name, CASE WHEN n_regionkey > 0 AND n_nationkey % 3 > 0 THEN 'push' ELSE 'nothing' END AS action, CASE WHEN n_regionkey > 0 AND n_nationkey % 3 > 0 AND n_regionkey = 4 THEN n_name || ': push failed: no route' END AS log FROM nation")
+def push_actions(spark, d):
+    n = t.table(spark, d, "nation")
+    return ev.push_actions(n.select(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") > 0, "origin/main").alias("upstream"), F.when(F.col("n_nationkey") % 3 > 0, 2).alias("ahead"), F.when(F.col("n_regionkey") == 4, "no route").alias("error")))

@@ -93,3 +93,15 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str | None = None)
     """(start, event_type, n) in tumbling windows: beyond what is rebuilt, for streams with late data."""
     marked = events.withWatermark("ts", late) if late else events
     return marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def pushes(events: DataFrame, every: int = 5, session: str = "session", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """Each session's events at which a push is due, over a batch; `every` 0 means never."""
+    return every_nth(events, every, session, order) if every else every_nth(events, 1, session, order).where(F.lit(False))
+
+
+def push_actions(states: DataFrame) -> DataFrame:
+    """(name, action, log) of stores (name, upstream, ahead, error): push those that are ahead of an upstream; log is the line that a failed push leaves."""
+    due = F.col("upstream").isNotNull() & (F.coalesce("ahead", F.lit(0)) > 0)
+    log = F.when(due & F.col("error").isNotNull(), F.concat("name", F.lit(": push failed: "), "error"))
+    return states.select("name", F.when(due, "push").otherwise("nothing").alias("action"), log.alias("log"))

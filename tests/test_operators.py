@@ -192,7 +192,11 @@ def test_note_store(spark, tmp_path):
     store.register(spark)
     spark.createDataFrame([("a/b", "x\n"), ("c", "y")], "node string, text string").write.format("notes").mode("append").option("path", str(tmp_path)).save()
     (tmp_path / "Index.md").write_text("no")
-    assert rows(spark.read.format("notes").load(str(tmp_path))) == [("a/b", "x\n"), ("c", "y")]
+    there = spark.read.format("notes").load(str(tmp_path))
+    assert rows(there) == [("a/b", "x\n"), ("c", "y")]
+    assert rows(store.nodes(there)) == [("a/b",), ("c",)] and rows(store.holding(there, "y")) == [("c", "y")]
+    spark.createDataFrame([("c", None), ("gone", None)], "node string, text string").write.format("notes").mode("append").option("path", str(tmp_path)).save()
+    assert rows(spark.read.format("notes").load(str(tmp_path))) == [("a/b", "x\n")]
 
 
 def test_commit_graph(spark):
@@ -244,3 +248,60 @@ def test_the_first_request_of_a_path_counts(spark):
     asked = spark.createDataFrame([("p", "b", 1), ("p", "a", 2), ("q", "a", 1)], "path string, hash string, n int")
     known = spark.createDataFrame([("p", "a"), ("q", "a")], "path string, hash string")
     assert [tuple(r) for r in cache.needs_tagging(asked, known, "n").collect()] == [("p", "b")]
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    from sextant.plans import storage
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared(Session())
+
+
+def test_stored_tables_follow_their_files(spark, tmp_path):
+    from sextant.plans import storage
+
+    at, made = str(tmp_path / "t"), []
+    read = lambda: storage.kept(spark.read.parquet(at), "n", lambda: made.append(1) or spark.read.parquet(at).selectExpr("v + 1 AS v"))
+    spark.range(3).withColumnRenamed("id", "v").write.parquet(at)
+    assert rows(read()) == rows(read()) == [(1,), (2,), (3,)] and len(made) == 1
+    spark.range(1).withColumnRenamed("id", "v").write.mode("overwrite").parquet(at)
+    assert rows(read()) == [(1,)] and len(made) == 2
+
+
+def test_written_tables_can_be_discarded(spark):
+    from sextant.plans import storage
+
+    table = storage.written(spark.range(3), "gone")
+    at, fs = storage._file(spark, table._written_at)
+    assert fs.exists(at)
+    storage.discard(table)
+    assert not fs.exists(at)
+
+
+def test_a_lookup_pushes_its_name_to_the_scan(spark, tmp_path):
+    tags = spark.createDataFrame([("p", "foo", "ref", "call", 1, "foo()"), ("p", "bar", "ref", "call", 1, "foo()"), ("q", "foo", "def", "f", 2, "def foo")], "path string, name string, role string, kind string, line int, expression string")
+    refs.by_name(tags).write.parquet(str(tmp_path / "sites"))
+    found = refs.looked_up(spark.read.parquet(str(tmp_path / "sites")), tags.select("path", "line", "expression").distinct(), "foo")
+    assert rows(found) == [("foo", "ref", "call", "p:1", "foo()")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(name,foo)" in plan.split("PushedFilters", 1)[1][:200]
+
+
+def test_closures_of_long_chains(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(3, 40), (60, 0)], "src long, dst long")
+    for hops in (1, 3, 4):
+        found = links.closure(e, spark.createDataFrame([(0,)], "s long"), hops=hops)
+        assert {r["node"]: r["depth"] for r in found.collect()} == {i: i if i <= 3 or i < 40 and i < 40 else i - 36 for i in range(1, 61)}
+
+
+def test_predicates_that_cannot_be_told_drop_a_pattern(spark):
+    m = spark.createDataFrame([("p", k, {"name": ("x", 0, 1), "definition.f": ("x", 0, 1)}) for k in range(5)], "path string, pattern int, captures map<string, struct<text: string, start: int, end: int>>")
+    patterns = {0: [("match?", ["@name", "^x"])], 1: [("eq?", ["x", "@name"])], 2: [("set!", ["a", "b"]), ("eq?", ["@name"])], 3: [("not-eq?", ["@name", "@gone"])], 4: [("eq?", ["@name", "@name"])]}
+    assert [r["name"] for r in extract.query_tags(m, patterns).collect()] == ["x", "x"]
