@@ -107,6 +107,28 @@ def test_components_of_a_long_chain(spark):
     assert {r["node"]: r["root"] for r in components(e, "a", "b").collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_components_of_random_links(spark):
+    """By brute force, of binary nodes as well; many links, and one giant component."""
+    rng = random.Random(9)
+    links = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1800)] + [(5000, 5001 + i) for i in range(500)] + [(6000 + i, 6001 + i) for i in range(700)]
+    parent = {x: x for e in links for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        p, q = top(x), top(y)
+        parent[max(p, q)] = min(p, q)
+    want_ = {x: top(x) for e in links if e[0] != e[1] for x in e}
+    frame = spark.createDataFrame(links, "a long, b long")
+    assert {r["node"]: r["root"] for r in components(frame, "a", "b").collect()} == want_
+    as_bytes = frame.select(*(F.encode(F.lpad(F.col(c).cast("string"), 6, "0"), "UTF-8").alias(c) for c in "ab"))
+    assert {int(r["node"]): int(r["root"]) for r in components(as_bytes, "a", "b").collect()} == want_
+    assert got(components(frame.where("a < 0"), "a", "b")) == []
+
+
 def test_near_duplicates_by_similarity(documents, nothing):
     kept = neardup.without_near_duplicates(documents)
     assert kept.columns == documents.columns
