@@ -721,13 +721,27 @@ def versions_and_kinds(spark, d):
 # Extractors, which SQL cannot express; tests hold them against fixtures
 
 
-@query()
+_ENTITIES = (
+    f"WITH {t.DOCS}, g AS (SELECT * FROM docs WHERE lang IN ('en', 'de')) SELECT path, CASE lang WHEN 'fr' THEN 'no_frontmatter' ELSE 'block_scalar' END AS refusal, NULL AS name, NULL AS role, NULL AS kind, NULL AS line, NULL AS expression FROM docs WHERE lang NOT IN ('en', 'de')"
+    " UNION ALL SELECT path, NULL, path, 'def', lang, 1, 'name: \"' || path || '\"' FROM g UNION ALL SELECT path, NULL, source, 'ref', 'friends', 3, 'friends: [plain, \"[[' || source || '|shown]]\"]' FROM g"
+    " UNION ALL SELECT path, NULL, lang, 'ref', 'home.town', 5, '  town: \"[[' || lang || ']]\"' FROM g UNION ALL SELECT path, NULL, x, 'ref', 'near', 7, '    - \"[[x]] and [[y]]\"' FROM g, (VALUES ('x'), ('y')) v(x)"
+)
+
+
+@query(_ENTITIES)
 def frontmatter_entities(spark, d):
-    found = frontmatter.extract(t.notes(spark, d))
+    """Files with references in lists and nested fields, and files that are refused."""
+    whole = F.concat(F.lit('---\nname: "'), "path", F.lit('"\ntemplate: '), "lang", F.lit('\nfriends: [plain, "[['), "source", F.lit('|shown]]"]\nhome:\n  town: "[['), "lang", F.lit(']]"\n  near:\n    - "[[x]] and [[y]]"\n---\n'), "text")
+    text = F.when(F.col("lang") == "fr", F.col("text")).when(F.col("lang").isin("en", "de"), whole).otherwise(F.concat(F.lit("---\na: |\n---\n"), "text"))
+    found = frontmatter.extract(t.documents(spark, d).select("path", text.alias("text")))
     return found.select("path", "refusal", F.explode_outer("tags").alias("t")).select("path", "refusal", "t.*")
 
 
-@query()
+@query(
+    f"WITH {t.DOCS}, ln AS (SELECT regexp_replace(path, 'md$', 'py') AS path, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM docs),"
+    r" nm AS (SELECT path, i, 'f_' || regexp_replace(s, '\W+', '_', 'g') AS name FROM ln)"
+    " SELECT path, name, 'def' AS role, 'function' AS kind, CAST(2 * i AS INT) AS line, 'def ' || name || '(x):' AS expression FROM nm UNION ALL SELECT path, 'g', 'ref', 'call', CAST(2 * i + 1 AS INT), 'return g(x)' FROM nm"
+)
 def declarations(spark, d):
     each = F.transform(F.split("text", "\n", -1), lambda line: F.concat(F.lit("def f_"), F.regexp_replace(line, r"\W+", "_"), F.lit("(x):\n    return g(x)\n")))
     code = F.array_join(each, "")

@@ -60,6 +60,10 @@ def kept(inputs: DataFrame, name: str, build) -> DataFrame:
         status = fs.getFileStatus(at)
         said.append(f"{path} {status.getLen()} {status.getModificationTime()}")
     key = (spark.sparkContext.applicationId, shared(spark), name, hashlib.sha256("\n".join(said).encode()).hexdigest())
+    if key in _KEPT:
+        at, fs = _file(spark, _KEPT[key])
+        if not fs.exists(at):  # somebody has cleared the folder
+            del _KEPT[key]
     if key not in _KEPT:
         _KEPT[key] = written(build(), name)._written_at
     return spark.read.parquet(_KEPT[key])

@@ -273,6 +273,10 @@ def test_stored_tables_follow_their_files(spark, tmp_path):
     assert rows(read()) == rows(read()) == [(1,), (2,), (3,)] and len(made) == 1
     spark.range(1).withColumnRenamed("id", "v").write.mode("overwrite").parquet(at)
     assert rows(read()) == [(1,)] and len(made) == 2
+    path = storage._KEPT[[k for k in storage._KEPT if k[2] == "n"][-1]]
+    at, fs = storage._file(spark, path)
+    fs.delete(at, True)
+    assert rows(read()) == [(1,)] and len(made) == 3
 
 
 def test_written_tables_can_be_discarded(spark):
