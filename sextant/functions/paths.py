@@ -11,27 +11,23 @@ REPO_ROOT = "(repo root)"
 ILLEGAL = '/:*?"<>|'  # fixed value: characters that a stored file name may not hold
 
 # File name extensions of binary content, by what the file is.
-BINARY = tuple(
-    (
-        "png gif jpg jpeg bmp tif tiff webp avif ico svgz psd ai sketch fig "
-        "mp3 m4a wav flac ogg mp4 m4v mov avi mkv webm "
-        "zip gz tgz tar bz2 xz zst 7z rar "
-        "jar war ear class aar apk whl egg gem nupkg deb rpm dmg pkg msi "
-        "o a obj lib pdb so dylib dll exe rlib wasm node pyc pyo pyd beam "
-        "parquet avro orc db sqlite sqlite3 mdb "
-        "pkl pickle npy npz h5 hdf5 onnx pt pth ckpt safetensors gguf bin "
-        "pdf xls xlsx doc docx ppt pptx odt ods odp "
-        "ttf otf woff woff2 eot "
-        "keystore jks p12 pem crt cer der"
-    ).split()
-)
+BINARY = (
+    "png", "gif", "jpg", "jpeg", "bmp", "tif", "tiff", "webp", "avif", "ico", "svgz", "psd", "ai", "sketch", "fig",
+    "mp3", "m4a", "wav", "flac", "ogg", "mp4", "m4v", "mov", "avi", "mkv", "webm",
+    "zip", "gz", "tgz", "tar", "bz2", "xz", "zst", "7z", "rar",
+    "jar", "war", "ear", "class", "aar", "apk", "whl", "egg", "gem", "nupkg", "deb", "rpm", "dmg", "pkg", "msi",
+    "o", "a", "obj", "lib", "pdb", "so", "dylib", "dll", "exe", "rlib", "wasm", "node", "pyc", "pyo", "pyd", "beam",
+    "parquet", "avro", "orc", "db", "sqlite", "sqlite3", "mdb",
+    "pkl", "pickle", "npy", "npz", "h5", "hdf5", "onnx", "pt", "pth", "ckpt", "safetensors", "gguf", "bin",
+    "pdf", "xls", "xlsx", "doc", "docx", "ppt", "pptx", "odt", "ods", "odp",
+    "ttf", "otf", "woff", "woff2", "eot",
+    "keystore", "jks", "p12", "pem", "crt", "cer", "der",
+)
 # Names of lock files, and ends of names of machine-made text.
-LOCKS = tuple(
-    (
-        "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock Pipfile.lock uv.lock "
-        "Gemfile.lock composer.lock go.sum mix.lock pubspec.lock packages.lock.json flake.lock"
-    ).split()
-)
+LOCKS = (
+    "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Pipfile.lock", "uv.lock",
+    "Gemfile.lock", "composer.lock", "go.sum", "mix.lock", "pubspec.lock", "packages.lock.json", "flake.lock",
+)
 MADE = (".min.js", ".min.css", ".js.map", ".css.map", ".ts.map")
 # Fence languages by extension.
 LANGUAGES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: what a word of a symbol is.
 WORD = "[A-Z]+[a-z0-9]*|[a-z0-9]+"
 
 
