@@ -198,6 +198,8 @@ class Memo:
 
 
 _MEMOS: dict[tuple, Memo] = {}
+#: What else a worker holds for an encoder.
+CACHES = [ranks, tokenizer, id_bytes, id_sizes, id_inside, _id_text]
 
 
 def memo(*key) -> Memo:
@@ -205,8 +207,10 @@ def memo(*key) -> Memo:
 
 
 def forget() -> None:
-    """Drops what a worker remembers: before it does other work."""
+    """Drops what a worker remembers, vocabularies too: before it does other work."""
     _MEMOS.clear()
+    for f in CACHES:
+        f.cache_clear()
 
 
 def few(batches, rows: int = 512, size: int = 4 << 20):

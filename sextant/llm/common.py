@@ -34,12 +34,23 @@ def _found(root: str, module: str, name: str):
         here._ran[0] = (module, name)
         if "sextant.llm.bpe" in sys.modules:
             sys.modules["sextant.llm.bpe"].forget()
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
+        _release()
     return found
 
 
+def _release() -> None:
+    """Gives freed memory back to the machine, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _task(func, args, rows: int):
     """func(*rows, *args), looked up on executors; of as many parameters as Spark asks for."""
     root, module, name, here = ROOT, func.__module__, func.__name__, __name__

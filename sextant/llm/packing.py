@@ -51,6 +51,9 @@ def _matches(path: str):
     return (coder, ends) if suffix else None
 
 
+bpe.CACHES.append(_matches)
+
+
 def _encode_matches(path: str, parts: list[str]) -> list[bytes]:
     """Ids of matches, many at a time."""
     coder, ends = _matches(path)

@@ -39,6 +39,9 @@ LENGTH = 200
 #: Places of one trigger whose phrases may meet in a task (changes what is moved, not what is found).
 HOT = 20_000
 
+#: Blocks for each shuffle partition: what a task holds of a partition's texts at a time.
+BLOCKS = 4
+
 _STEP = 1 << 18  # window starts that are worked on at a time
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers have inverses
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -95,7 +98,8 @@ def triggers(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     change = np.zeros(total + 2, np.int32)
     np.add.at(change, np.maximum(starts, ends - length + 1), 1)
     np.add.at(change, ends, -1)
-    valid = np.cumsum(change[:total]) == 0
+    valid = np.cumsum(change[:total], dtype=np.int32) == 0
+    del change
     found = [[], [], [], []]
     for s in range(0, max(0, total - length + 1), _STEP):
         e = min(s + _STEP, total - length + 1)
@@ -475,7 +479,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, text: str = "text
     spark = documents.sparkSession
     parts = partitions(spark)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    once = documents.select(body.alias("__text")).mapInArrow(batches_task(_once, 2 * parts), "__key binary, __block int, __text string")
+    once = documents.select(body.alias("__text")).mapInArrow(batches_task(_once, BLOCKS * parts), "__key binary, __block int, __text string")
     docs = once.repartition(parts, "__block")
     asked = docs.groupBy("__block").applyInArrow(group_task(_ask, length, parts), "part int, block int, keys binary, counts binary")
     flags = asked.groupBy("part").applyInArrow(group_task(_answer, hot), "__block int, keys binary, hot binary")

@@ -111,6 +111,9 @@ def _processor(path: str):
     return SentencePieceProcessor(model_file=path)
 
 
+bpe.CACHES.append(_processor)
+
+
 def _count_new(path: str, parts: list[str]) -> list[bytes]:
     if path.endswith(".model"):
         found = _processor(path).encode(parts, num_threads=1)
