@@ -274,8 +274,8 @@ def test_stored_tables_follow_their_files(spark, tmp_path):
     spark.range(1).withColumnRenamed("id", "v").write.mode("overwrite").parquet(at)
     assert rows(read()) == [(1,)] and len(made) == 2
     path = storage._KEPT[[k for k in storage._KEPT if k[2] == "n"][-1]]
-    at, fs = storage._file(spark, path)
-    fs.delete(at, True)
+    folder, fs = storage._file(spark, path)
+    fs.delete(folder, True)
     assert rows(read()) == [(1,)] and len(made) == 3
 
 
