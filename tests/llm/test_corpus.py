@@ -364,6 +364,21 @@ def test_nearest(spark):
     assert [r["vec_id"] for r in ann.nearest(e.where("vec_id in (0, 3, 7)")).orderBy("rank").collect() if r["query_id"] == 0] in ([3, 7], [3, 7][::1])
 
 
+def test_a_search_stores_no_copy_of_the_vectors(spark, monkeypatch):
+    """Only queries are written, and they and the vectors move once each, as blocks."""
+    stored, write = [], ann.written
+    monkeypatch.setattr(ann, "written", lambda df, name: (stored.append(write(df, name)), stored[-1])[1])
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((300, 8))
+    v[250:] = v[0]  # ties beyond a block go to the smaller id
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    found = defaultdict(list)
+    for r in ann.nearest(e, block=16, queries=2).orderBy("rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert found[0] == [250, 251, 252, 253, 254] and found[250] == [0, 251, 252, 253, 254] and len(found) == 6
+    assert sum(len(r["ids"]) // 8 for df in stored for r in df.collect()) == 6
+
+
 @pytest.mark.parametrize("dim", [16, 100])
 def test_estimates_from_bits(dim):
     """Are the products with the signs, but for rounding, and off by no more than allowed for in about 19 of 20."""
