@@ -41,9 +41,9 @@ def removed(cache: DataFrame, removals: DataFrame) -> DataFrame:
 
 def outcomes(requested: DataFrame, cache: DataFrame) -> DataFrame:
     """(path, outcome): not_cached, unsupported, or the number of occurrences as `tags` with checked."""
-    found = requested.select("path").join(cache.select("path", "tags", "unsupported"), "path", "left")
+    found = requested.select("path").join(cache.select("path", F.size("tags").alias("tags"), "unsupported"), "path", "left")
     state = F.when(F.col("unsupported").isNull(), "not_cached").when(F.col("unsupported"), "unsupported").otherwise("checked")
-    return found.select("path", state.alias("outcome"), F.when(state == "checked", F.size("tags")).alias("tags"))
+    return found.select("path", state.alias("outcome"), F.when(state == "checked", F.col("tags")).alias("tags"))
 
 
 def commit(cache: DataFrame, updates: DataFrame, removals: DataFrame, root: str) -> str:
@@ -77,20 +77,76 @@ def current(spark, root: str) -> DataFrame:
 
 
 def dumped(cache: DataFrame) -> DataFrame:
-    """The cache as text lines per path: path, hash, and either U or its occurrences."""
-    tag = F.transform("tags", lambda t: F.concat_ws("\t", F.lit("T"), t["role"], t["line"].cast("string"), t["name"], t["kind"], t["expression"]))
+    """The cache as text lines per path: path, hash, and either U or its occurrences.
+
+    A text that holds occurrences stands once (X), and occurrences say at which of these they are, from 0.
+    """
+    text = F.transform("expressions", lambda x: F.concat(F.lit("X\t"), x))
+    tag = F.transform("tags", lambda t: F.concat_ws("\t", F.lit("T"), t["role"], t["line"].cast("string"), t["name"], t["kind"], t["at"].cast("string")))
     head = F.array(F.concat(F.lit("P\t"), "path"), F.concat(F.lit("H\t"), "hash"))
-    return cache.select(F.array_join(F.concat(head, F.when(F.col("unsupported"), F.array(F.lit("U"))).otherwise(tag)), "\n").alias("value"))
+    return cache.select(F.array_join(F.concat(head, F.when(F.col("unsupported"), F.array(F.lit("U"))).otherwise(F.concat(text, tag))), "\n").alias("value"))
 
 
 def loaded(blocks: DataFrame, value: str = "value") -> DataFrame:
-    """The inverse of dumped, from a block of lines per row."""
-    lines = F.split(value, "\n")
+    """The inverse of dumped, from a block of lines per row: path, hash, tags (name, role, kind, line, at), expressions, unsupported."""
+    lines = F.col("__lines")
     of = lambda k: F.filter(lines, lambda x: x.startswith(k + "\t"))
     rest = lambda x: F.substring(x, 3, 1_000_000_000)
 
-    def tag(x):
-        p = F.split(x, "\t", 6)
-        return F.struct(F.get(p, 3).alias("name"), F.get(p, 1).alias("role"), F.get(p, 4).alias("kind"), F.get(p, 2).cast("int").alias("line"), F.coalesce(F.get(p, 5), F.lit("")).alias("expression"))
+    def tag(p):
+        return F.struct(p[3].alias("name"), p[1].alias("role"), p[4].alias("kind"), p[2].cast("int").alias("line"), p[5].cast("int").alias("at"))
+
+    parts = F.transform(of("T"), lambda x: F.split(x, "\t", 6))
+    split = blocks.select(F.split(value, "\n").alias("__lines"))
+    return split.select(rest(F.get(of("P"), 0)).alias("path"), rest(F.get(of("H"), 0)).alias("hash"), F.transform(parts, tag).alias("tags"), F.transform(of("X"), rest).alias("expressions"), F.array_contains(lines, "U").alias("unsupported"))
+
+
+def _digest(said: list[str], at: list[int], texts: list[str]) -> str:
+    """MD5 of the sorted `said` + text, a line each; a text is as often in it as it has occurrences, so pieces are hashed as they come."""
+    import hashlib
+
+    texts = [x.encode() for x in texts]
+    pairs = sorted(zip([x.encode() for x in said], [texts[i] for i in at], strict=True))
+    out, piece, size = hashlib.md5(), [], 0
+    for n, (before, text) in enumerate(pairs):
+        piece += (b"\n", before, text) if n else (before, text)
+        size += len(before) + len(text)
+        if size > 1 << 20:
+            out.update(b"".join(piece))
+            piece, size = [], 0
+    out.update(b"".join(piece))
+    return out.hexdigest()
+
+
+def digested(rows: DataFrame, name: str) -> DataFrame:
+    """Puts the digest of a file's occurrences, sorted, in place of said (array of said, which ends in a separator that it
+    holds as often everywhere, and at) and expressions: MD5 of lines of said and the text at `at`.
+
+    These lines hold a text once an occurrence, so they are never built whole: a long line would be many times its length.
+    """
+    import os
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    root, module = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), __name__
+    others = [c for c in rows.columns if c not in ("said", "expressions")]
+    schema = StructType([*(rows.schema[c] for c in others), StructField(name, StringType())])
+
+    def run(batches):
+        import importlib
+        import sys
+
+        import pyarrow as pa
+
+        if root not in sys.path:  # workers that were started elsewhere
+            sys.path.append(root)
+        digest = importlib.import_module(module)._digest
+        for batch in batches:
+            said, texts = batch.column("said"), batch.column("expressions")
+            made = []
+            for n in range(len(batch)):
+                mine = said.slice(n, 1).flatten()
+                made.append(digest(mine.field("said").to_pylist(), mine.field("at").to_pylist(), texts.slice(n, 1).flatten().to_pylist()))
+            yield pa.record_batch([*(batch.column(c) for c in others), pa.array(made, pa.string())], names=[*others, name])
 
-    return blocks.select(rest(F.get(of("P"), 0)).alias("path"), rest(F.get(of("H"), 0)).alias("hash"), F.transform(of("T"), tag).alias("tags"), F.array_contains(lines, "U").alias("unsupported"))
+    return rows.mapInArrow(run, schema)

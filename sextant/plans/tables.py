@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import words
@@ -34,15 +34,24 @@ TAGS = f"""{DOCS}, tok AS (SELECT path, node, lang, unnest(regexp_extract_all(te
 tags AS (SELECT path, node, lang, lower(token) AS name, CASE WHEN regexp_matches(token, '^[A-Z]') THEN 'def' ELSE 'ref' END AS role FROM tok WHERE length(token) >= 4)"""
 
 
-def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per line (path, node, line from 0, its trimmed text as expression) with its occurrences (name, role, kind: call if a comma follows), stored as tags are."""
+def said(text: Column) -> Column:
+    """The occurrences in a text: array of name, role and kind (call if a comma follows). White space around it changes nothing."""
     token = lambda x: F.rtrim(x, F.lit(","))
     shape = lambda x: F.struct(F.lower(token(x)).alias("name"), F.when(x.rlike("^[A-Z]"), "def").otherwise("ref").alias("role"), F.when(x.endswith(","), "call").otherwise("name").alias("kind"))
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(f"({words.WORD}),?"), F.lit(0)), lambda x: F.length(token(x)) >= 4), shape)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line: path, line from 0, its trimmed text as expression."""
+    each = documents(spark, sf_dir).select("path", F.posexplode(F.split("text", "\n", -1)).alias("line", "expression"))
+    return each.select("path", "line", F.trim("expression").alias("expression"))
 
+
+def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line (path, node, line from 0, its trimmed text as expression) with its occurrences (name, role, kind: call if a comma follows), stored as tags are."""
     def build() -> DataFrame:
         lines = spread(documents(spark, sf_dir)).select("path", "node", F.posexplode(F.split("text", "\n", -1)).alias("line", "expression"))
-        said = F.filter(F.regexp_extract_all("expression", F.lit(f"({words.WORD}),?"), F.lit(0)), lambda x: F.length(token(x)) >= 4)
-        return lines.select("path", "node", "line", F.trim("expression").alias("expression"), F.transform(said, shape).alias("found"))
+        return lines.select("path", "node", "line", F.trim("expression").alias("expression"), said(F.col("expression")).alias("found"))
 
     return kept(table(spark, sf_dir, "documents"), "lines", build)
 

@@ -3,7 +3,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from sextant import catalog
 from sextant.operators import cache, index, links, rank, refs, report, search, verify, vocab
+from sextant.plans import queries
 from sextant.sources import extract, files, frontmatter
 from sextant.streaming import events
 
@@ -309,3 +311,34 @@ def test_predicates_that_cannot_be_told_drop_a_pattern(spark):
     m = spark.createDataFrame([("p", k, {"name": ("x", 0, 1), "definition.f": ("x", 0, 1)}) for k in range(5)], "path string, pattern int, captures map<string, struct<text: string, start: int, end: int>>")
     patterns = {0: [("match?", ["@name", "^x"])], 1: [("eq?", ["x", "@name"])], 2: [("set!", ["a", "b"]), ("eq?", ["@name"])], 3: [("not-eq?", ["@name", "@gone"])], 4: [("eq?", ["@name", "@name"])]}
     assert [r["name"] for r in extract.query_tags(m, patterns).collect()] == ["x", "x"]
+
+
+LONG = " ".join(f"Word{i % 700}{',' * (i % 3 == 0)}" for i in range(2000))
+
+
+def long_line(spark, tmp_path):
+    """Documents of which one has a long line, two have the same path, and one lies in an unsupported source."""
+    given = [(1, LONG + "\n  that, is\nthat ", "en", "src1"), (2, "that one", "en", "src1"), (2, "that one\nthat two", "en", "src1"), (3, "that", "de", "src6"), (4, "that", "de", "src4"), (5, None, "de", "src1"), (6, "a b", "fr", "src2")]
+    spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in given], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def sql(name, d):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{d}/documents.parquet/*.parquet')")
+    found = con.execute(catalog.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    return sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in found.fetchall()), key=str)
+
+
+def mine(df):
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+
+
+def test_outcomes_of_long_lines(spark, tmp_path):
+    """A cached file holds a line's text once, not once for each occurrence."""
+    d = long_line(spark, tmp_path)
+    assert mine(catalog.queries()["cache_outcomes"](spark, d)) == sql("cache_outcomes", d)
+    assert queries._cached(spark, d).select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] < 20 * len(LONG)
