@@ -342,3 +342,12 @@ def test_outcomes_of_long_lines(spark, tmp_path):
     d = long_line(spark, tmp_path)
     assert mine(catalog.queries()["cache_outcomes"](spark, d)) == sql("cache_outcomes", d)
     assert queries._cached(spark, d).select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] < 20 * len(LONG)
+
+
+def test_round_trip_of_long_lines(spark, tmp_path):
+    d = long_line(spark, tmp_path)
+    assert mine(catalog.queries()["cache_round_trip"](spark, d)) == sql("cache_round_trip", d)
+    dumps = cache.dumped(queries._cached(spark, d))
+    assert dumps.select(F.max(F.length("value"))).first()[0] < 20 * len(LONG)
+    back = cache.loaded(dumps)
+    assert rows(back) == rows(queries._cached(spark, d).select(back.columns))
