@@ -87,66 +87,144 @@ def dumped(cache: DataFrame) -> DataFrame:
     return cache.select(F.array_join(F.concat(head, F.when(F.col("unsupported"), F.array(F.lit("U"))).otherwise(F.concat(text, tag))), "\n").alias("value"))
 
 
-def loaded(blocks: DataFrame, value: str = "value") -> DataFrame:
-    """The inverse of dumped, from a block of lines per row: path, hash, tags (name, role, kind, line, at), expressions, unsupported."""
-    lines = F.col("__lines")
-    of = lambda k: F.filter(lines, lambda x: x.startswith(k + "\t"))
-    rest = lambda x: F.substring(x, 3, 1_000_000_000)
-
-    def tag(p):
-        return F.struct(p[3].alias("name"), p[1].alias("role"), p[4].alias("kind"), p[2].cast("int").alias("line"), p[5].cast("int").alias("at"))
-
-    parts = F.transform(of("T"), lambda x: F.split(x, "\t", 6))
-    split = blocks.select(F.split(value, "\n").alias("__lines"))
-    return split.select(rest(F.get(of("P"), 0)).alias("path"), rest(F.get(of("H"), 0)).alias("hash"), F.transform(parts, tag).alias("tags"), F.transform(of("X"), rest).alias("expressions"), F.array_contains(lines, "U").alias("unsupported"))
-
+def _parsed(values):
+    """What dumps (an Arrow array of strings) say: the number of each kind of line in each (array of kinds), and the lines of each kind in order.
 
-def _digest(said: list[str], at: list[int], texts: list[str]) -> str:
-    """MD5 of the sorted `said` + text, a line each; a text is as often in it as it has occurrences, so pieces are hashed as they come."""
+    P, H and X are what follows the mark, T the five columns role, line, name, kind and at, U only counts.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lines = pc.split_pattern(values, "\n")
+    of, lines = np.asarray(pc.list_parent_indices(lines)), lines.flatten()
+    counts, said = {"U": np.bincount(of[np.asarray(pc.equal(lines, "U"))], minlength=len(values))}, {}
+    for k in "PHXT":
+        mine = pc.starts_with(lines, f"{k}\t")
+        counts[k] = np.bincount(of[np.asarray(mine)], minlength=len(values))
+        said[k] = pc.utf8_slice_codeunits(lines.filter(mine), 2)
+    parts = pc.split_pattern(said["T"], "\t", max_splits=4)
+    if len(parts) and pc.min(pc.list_value_length(parts)).as_py() < 5:
+        raise ValueError("an occurrence in a dump lacks fields")
+    parts = parts.flatten()
+    role, line, name, kind, at = (parts.take(pa.array(np.arange(n, len(parts), 5))) for n in range(5))
+    said["T"] = [role, line.cast(pa.int32()), name, kind, at.cast(pa.int32())]
+    return counts, said
+
+
+def _heads(values, counts, said) -> list:
+    """path, hash and unsupported of dumps."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    first = lambda k: said[k].take(pa.array(np.cumsum(counts[k]) - counts[k], mask=counts[k] == 0))
+    return [first("P"), first("H"), pc.if_else(values.is_null(), None, pa.array(counts["U"] > 0))]
+
+
+def _rows(values):
+    """A row of path, hash, tags, expressions and unsupported for each of the dumps."""
+    import numpy as np
+    import pyarrow as pa
+
+    counts, said = _parsed(values)
+    path, hash_, unsupported = _heads(values, counts, said)
+    role, line, name, kind, at = said["T"]
+    gone = np.append(np.asarray(values.is_null()), False)
+    listed = lambda k, of: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[k])), pa.int32(), mask=gone), of)
+    tags = pa.StructArray.from_arrays([name, role, kind, line, at], ["name", "role", "kind", "line", "at"])
+    return [path, hash_, listed("T", tags), listed("X", said["X"]), unsupported]
+
+
+def _digests(values):
+    """A row of path, hash, unsupported, the number of occurrences and their digest for each of the dumps.
+
+    Lines of name, role, kind, line and text hold a text once an occurrence, so a file's are never built whole: places in their order are,
+    and pieces of about a MB are hashed.
+    """
     import hashlib
 
-    texts = [x.encode() for x in texts]
-    pairs = sorted(zip([x.encode() for x in said], [texts[i] for i in at], strict=True))
-    out, piece, size = hashlib.md5(), [], 0
-    for n, (before, text) in enumerate(pairs):
-        piece += (b"\n", before, text) if n else (before, text)
-        size += len(before) + len(text)
-        if size > 1 << 20:
-            out.update(b"".join(piece))
-            piece, size = [], 0
-    out.update(b"".join(piece))
-    return out.hexdigest()
-
-
-def digested(rows: DataFrame, name: str) -> DataFrame:
-    """Puts the digest of a file's occurrences, sorted, in place of said (array of said, which ends in a separator that it
-    holds as often everywhere, and at) and expressions: MD5 of lines of said and the text at `at`.
-
-    These lines hold a text once an occurrence, so they are never built whole: a long line would be many times its length.
-    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    counts, said = _parsed(values)
+    role, line, name, kind, at = said["T"]
+
+    def ordered(x):
+        """Different values in order, as bytes, and the place of each value among them."""
+        x = x.dictionary_encode()
+        order = np.asarray(pc.sort_indices(x.dictionary))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return x.dictionary.take(pa.array(order)).cast(pa.binary()).to_pylist(), place[np.asarray(x.indices)]
+
+    # Every field ends in the separator, which none holds, so that the order of fields is the order of lines.
+    heads, head = ordered(pc.binary_join_element_wise(name, role, kind, "", "|"))
+    lines, line = ordered(pc.binary_join_element_wise(line.cast(pa.string()), "", "|"))
+    texts, text = ordered(said["X"])
+    n, ends = counts["T"], np.cumsum(counts["T"])
+    row, at = np.repeat(np.arange(len(values)), n), np.asarray(at)
+    if len(at) and (at.min() < 0 or (at >= counts["X"][row]).any()):
+        raise ValueError("an occurrence in a dump is at a text that it lacks")
+    text = text[(np.cumsum(counts["X"]) - counts["X"])[row] + at]
+    order = np.lexsort((line * max(1, len(texts)) + text, row * max(1, len(heads)) + head))
+    longest = np.fromiter(map(len, texts), np.int64, len(texts))[text]
+    ended, pieces, found = [x + b"\n" for x in texts], [b""] * (3 * len(at)), []
+    pieces[0::3], pieces[1::3], pieces[2::3] = ([x[i] for i in of[order].tolist()] for x, of in ((heads, head), (lines, line), (ended, text)))
+    for end, many in zip(ends.tolist(), n.tolist(), strict=True):
+        out = hashlib.md5()
+        if many:
+            pieces[3 * end - 1] = texts[text[order[end - 1]]]
+            step = 3 * max(1, (1 << 20) // (64 + int(longest[end - many : end].max())))
+            for i in range(3 * (end - many), 3 * end, step):
+                out.update(b"".join(pieces[i : min(i + step, 3 * end)]))
+        found.append(out.hexdigest())
+    gone = np.asarray(values.is_null())
+    path, hash_, unsupported = _heads(values, counts, said)
+    return [path, hash_, unsupported, pa.array(n, pa.int32(), mask=gone), pa.array(found, pa.string(), mask=gone)]
+
+
+#: Bytes of dumps that are read at once; a file's dump is not cut.
+PIECE = 4 << 20
+
+
+def _read(blocks: DataFrame, value: str, how: str, **columns: str) -> DataFrame:
+    """The rows that this module's function `how` makes of dumps, a piece of a batch at a time."""
     import os
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    root, module = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), __name__
-    others = [c for c in rows.columns if c not in ("said", "expressions")]
-    schema = StructType([*(rows.schema[c] for c in others), StructField(name, StringType())])
+    root, module, size = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), __name__, PIECE
+    names = [*columns]
 
     def run(batches):
         import importlib
         import sys
 
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         if root not in sys.path:  # workers that were started elsewhere
             sys.path.append(root)
-        digest = importlib.import_module(module)._digest
+        made = getattr(importlib.import_module(module), how)
         for batch in batches:
-            said, texts = batch.column("said"), batch.column("expressions")
-            made = []
-            for n in range(len(batch)):
-                mine = said.slice(n, 1).flatten()
-                made.append(digest(mine.field("said").to_pylist(), mine.field("at").to_pylist(), texts.slice(n, 1).flatten().to_pylist()))
-            yield pa.record_batch([*(batch.column(c) for c in others), pa.array(made, pa.string())], names=[*others, name])
-
-    return rows.mapInArrow(run, schema)
+            values = batch.column(0)
+            piece = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(values), 0), np.int64)) // size
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(values)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start < end:
+                    yield pa.record_batch(made(values.slice(start, end - start)), names=names)
+
+    return blocks.select(value).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in columns.items()))
+
+
+def loaded(blocks: DataFrame, value: str = "value") -> DataFrame:
+    """The inverse of dumped, from a block of lines per row: path, hash, tags (name, role, kind, line, at), expressions, unsupported."""
+    tag = "struct<name: string, role: string, kind: string, line: int, at: int>"
+    return _read(blocks, value, "_rows", path="string", hash="string", tags=f"array<{tag}>", expressions="array<string>", unsupported="boolean")
+
+
+def loaded_digests(blocks: DataFrame, value: str = "value") -> DataFrame:
+    """As loaded, with the number n of a file's occurrences and their digest `tags` in place of the occurrences: MD5 of sorted lines of
+    name, role, kind, line and text, separated by bars."""
+    return _read(blocks, value, "_digests", path="string", hash="string", unsupported="boolean", n="int", tags="string")

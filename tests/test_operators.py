@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -353,6 +354,33 @@ def test_round_trip_of_long_lines(spark, tmp_path):
     assert rows(back) == rows(queries._cached(spark, d).select(back.columns))
 
 
+def test_digests_of_dumps(spark, tmp_path, monkeypatch):
+    """Digests are those of the sorted lines of whatever files come together, and only dumps go to Python, not an entry for each occurrence."""
+    words = ["that", "thatch", "that1", "word", "a"]
+    files = []
+    for n in range(40):
+        texts = [f"{'é' * (n % 3)}text {i % 4} of {n % 7}" for i in range(n % 12)] + ["x" * 300_000] * (n == 13)
+        tags = [(words[(i * 7 + n) % 5], ("def", "ref")[i % 2], ("call", "name")[i % 3 == 0], i * 5 % 13 if n % 2 else 1, i % len(texts)) for i in range(3 * n)] if texts else []
+        files.append((f"p{n}", f"h{n}", tags, texts, False))
+    files.append(("q", "h", [], [], True))
+    c = spark.createDataFrame(files, "path string, hash string, tags array<struct<name: string, role: string, kind: string, line: int, at: int>>, expressions array<string>, unsupported boolean").coalesce(1)
+    want = {}
+    for path, hash_, tags, texts, unsupported in files:
+        lines = sorted(f"{name}|{role}|{kind}|{line}|{texts[at]}".encode() for name, role, kind, line, at in tags)
+        want[path] = (hash_, unsupported, len(tags), hashlib.md5(b"\n".join(lines)).hexdigest())
+    dumps = cache.dumped(c).union(spark.createDataFrame([(None,)], "value string"))
+    for size in (cache.PIECE, 100):
+        monkeypatch.setattr(cache, "PIECE", size)
+        found = {r["path"]: tuple(r)[1:] for r in cache.loaded_digests(dumps).collect()}
+        assert found.pop(None) == (None, None, None, None) and found == want
+        assert rows(cache.loaded(dumps).where("path is not null")) == rows(c)
+    bad = spark.createDataFrame([("P\tp\nH\th\nX\tx\nT\tdef\t0\tword\tname\t1",)], "value string")
+    with pytest.raises(Exception, match="at a text that it lacks"):
+        cache.loaded_digests(bad).collect()
+    plan = catalog.queries()["cache_round_trip"](spark, long_line(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"MapInArrow run\(value#\d+\)", plan)
+
+
 def test_index_of_long_lines(spark, tmp_path):
     """Lines are told apart before their occurrences stand apart, each with the line's text."""
     d = long_line(spark, tmp_path)
