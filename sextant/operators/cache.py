@@ -139,8 +139,7 @@ def _rows(values):
 def _digests(values):
     """A row of path, hash, unsupported, the number of occurrences and their digest for each of the dumps.
 
-    Lines of name, role, kind, line and text hold a text once an occurrence, so a file's are never built whole: places in their order are,
-    and pieces of about a MB are hashed.
+    Lines of name, role, kind, line and text hold a text once an occurrence, so a file's are never built whole: pieces of about a MB are.
     """
     import hashlib
 
@@ -170,15 +169,17 @@ def _digests(values):
     text = text[(np.cumsum(counts["X"]) - counts["X"])[row] + at]
     order = np.lexsort((line * max(1, len(texts)) + text, row * max(1, len(heads)) + head))
     longest = np.fromiter(map(len, texts), np.int64, len(texts))[text]
-    ended, pieces, found = [x + b"\n" for x in texts], [b""] * (3 * len(at)), []
-    pieces[0::3], pieces[1::3], pieces[2::3] = ([x[i] for i in of[order].tolist()] for x, of in ((heads, head), (lines, line), (ended, text)))
+    ended, found = [x + b"\n" for x in texts], []
     for end, many in zip(ends.tolist(), n.tolist(), strict=True):
         out = hashlib.md5()
-        if many:
-            pieces[3 * end - 1] = texts[text[order[end - 1]]]
-            step = 3 * max(1, (1 << 20) // (64 + int(longest[end - many : end].max())))
-            for i in range(3 * (end - many), 3 * end, step):
-                out.update(b"".join(pieces[i : min(i + step, 3 * end)]))
+        step = max(1, (1 << 20) // (64 + int(longest[end - many : end].max(initial=0))))
+        for start in range(end - many, end, step):
+            mine = order[start : min(start + step, end)]
+            pieces = [b""] * (3 * len(mine))
+            pieces[0::3], pieces[1::3], pieces[2::3] = ([x[i] for i in of[mine].tolist()] for x, of in ((heads, head), (lines, line), (ended, text)))
+            if start + step >= end:
+                pieces[-1] = texts[text[mine[-1]]]
+            out.update(b"".join(pieces))
         found.append(out.hexdigest())
     gone = np.asarray(values.is_null())
     path, hash_, unsupported = _heads(values, counts, said)
